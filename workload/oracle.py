@@ -393,7 +393,7 @@ SOURCES = {
         UNION ALL SELECT 1, CAST(roster_id AS VARCHAR), title FROM {rosters}""",
     "unit_search": f"""{LISTED}
         WHERE u.nation_id = 7 AND u.category_id = 'PROMO' AND u.rating >= 901.5
-          AND u.rating <= 990.5 AND LOWER(u.name) LIKE '%e_%n%'""",
+          AND u.rating <= 990.5 AND LOWER(u.name) LIKE '%l%_n%'""",
     "unit_search_all": LISTED,
     "unit_detail": f"""
         SELECT u.*, {NATION} AS nation, {CATEGORY} AS category, s.front, s.side, s.rear,

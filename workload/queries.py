@@ -38,7 +38,7 @@ SEARCH = {
     "category_id": "PROMO",
     "rating_min": 901.5,
     "rating_max": 990.5,
-    "keyword": "E_%N",
+    "keyword": "L%_N",
 }
 CREATED_AT = "2024-06-01 00:00:00"
 

@@ -23,7 +23,7 @@ def peer_averages(
     cap: str = "cap_all",
     half_width: float = fv.BAND_HALF_WIDTH,
 ) -> DataFrame:
-    """Per distinct cap: number of peers and their average pen, front, side and rear.
+    """Per distinct cap: its band, the number of peers and their average pen, front, side, rear.
 
     Peers are all units with a spec and a representative munition; a unit with several
     representative munitions weighs once for each.
@@ -39,8 +39,12 @@ def peer_averages(
         totals[f"sum_{m}"] = F.coalesce(F.sum(m), F.lit(0))
         totals[f"n_{m}"] = F.count(m)
     added = band_totals(peers, "rating", totals, caps, cap, half_width)
+    low, high = F.col(cap) - half_width, F.col(cap) + half_width
     return added.select(
         cap,
+        low.alias("band_low"),
+        high.alias("band_high"),
+        F.format_string("%.1f ~ %.1f", low, high).alias("band_label"),
         "peer_count",
         *[
             F.when(F.col(f"n_{m}") > 0, F.col(f"sum_{m}") / F.col(f"n_{m}")).alias(f"avg_{m}")
@@ -90,8 +94,9 @@ def peer_benchmark(
             "roster_id",
             "unit_id",
             "cap_all",
-            (F.col("cap_all") - half_width).alias("band_low"),
-            (F.col("cap_all") + half_width).alias("band_high"),
+            "band_low",
+            "band_high",
+            F.coalesce("band_label", F.lit(fv.NO_VALUE)).alias("band_label"),
             "unit_name",
             "rating",
             "munition_id",
@@ -127,8 +132,8 @@ def peer_benchmark_long(
         )
     )
     context = (
-        "roster_id", "unit_id", "cap_all", "band_low", "band_high", "peer_count", "unit_name",
-        "rating", "munition_name", "munition_kind",
+        "roster_id", "unit_id", "cap_all", "band_label", "peer_count", "unit_name", "rating",
+        "munition_name", "munition_kind",
     )
     gap = ex.percent_gap(F.col("m.selected"), F.col("m.average"))
     return (
@@ -139,15 +144,13 @@ def peer_benchmark_long(
             "unit_id",
             "m.metric",
             "m.metric_family",
-            F.round("m.selected", 1).alias("selected"),
+            "m.selected",
             F.round("m.average", 1).alias("average"),
             F.round("gap", 1).alias("gap_pct"),
             ex.verdict(F.col("gap")).alias("verdict"),
             "m.measure",
             "cap_all",
-            F.when(F.col("cap_all").isNull(), fv.NO_VALUE)
-            .otherwise(F.format_string("%.1f ~ %.1f", "band_low", "band_high"))
-            .alias("band_label"),
+            "band_label",
             "peer_count",
             "unit_name",
             "rating",

@@ -121,6 +121,7 @@ def roster_cap(slots: DataFrame, units: DataFrame) -> DataFrame:
     """Highest rating over all slots of a roster, whatever the unit's nation."""
     return (
         slots.select("roster_id", "unit_id")
+        .where(F.col("roster_id").isNotNull())
         .join(units.select("unit_id", "rating"), "unit_id")
         .groupBy("roster_id")
         .agg(F.max("rating").alias("cap_all"))

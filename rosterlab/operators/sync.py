@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from rosterlab.functions import fixed_values as fv
 from rosterlab.plans.durable import freeze
 from rosterlab.plans.numbering import highest, number_rows
 
+# A provided unit is the stored one with the same nation and name.
+_MATCH = ["nation_id", "name"]
+
 
 @dataclass(frozen=True)
 class DimSync:
@@ -48,22 +52,8 @@ def sync_dims(table: DataFrame, provided: DataFrame, key: str, order_by: str = "
     )
 
 
-@dataclass(frozen=True)
 class UnitSync:
-    unit: DataFrame
-    spec: DataFrame
-    munition: DataFrame
-
-
-def sync_units(
-    units: DataFrame,
-    specs: DataFrame,
-    munitions: DataFrame,
-    provided: DataFrame,
-    default: str = fv.DEFAULT_MEDIA_PATH,
-    order_by: str = "position",
-) -> UnitSync:
-    """Add provided units that are not stored and complete those that are.
+    """Stored units brought up to date with a provider; each table is worked out when asked for.
 
     Units are matched on nation and exact name. A stored unit only gets its media path
     filled where that is unset. A new unit keeps its preferred id if that is free, others get
@@ -73,68 +63,108 @@ def sync_units(
     ``provided`` has the staged columns, ``preferred_id`` and ``order_by``; several rows for one
     unit count in that order: the first gives the values, later ones can only fill the path.
     """
-    match = ["nation_id", "name"]
-    values = [
-        c for c in provided.columns if c not in (*match, order_by, "media_path", "preferred_id")
-    ]
-    path_set = ~ex.is_unset(F.col("media_path"), default)
-    # Rows of one unit fold into one: the first row, the first path that is set and the last path.
-    offers = provided.groupBy(*match).agg(
-        F.min(F.struct(order_by, "preferred_id", *values)).alias("r"),
-        F.min_by("media_path", F.when(path_set, F.col(order_by))).alias("_set_path"),
-        F.max_by("media_path", order_by).alias("_last_path"),
-    ).select(
-        *match, "r.*", F.coalesce("_set_path", "_last_path").alias("_offered_path")
-    )
-    stored = units.groupBy(*match).agg(F.min("unit_id").alias("unit_id"))
-    known = offers.join(stored, match)
-    fresh = offers.join(stored.select(*match), match, "left_anti")
-
-    # Of the rows that prefer one id the first may have it, unless a stored unit has it.
-    holders = fresh.groupBy("preferred_id").agg(F.min(order_by).alias("_holder"))
-    free = holders.join(
-        units.select(F.col("unit_id").alias("preferred_id")), "preferred_id", "left_anti"
-    )
-    wanted = F.when(F.col("_holder") == F.col(order_by), F.col("preferred_id").cast("bigint"))
-    placed = freeze(
-        fresh.join(free, "preferred_id", "left").withColumn("unit_id", wanted).drop("_holder")
-    )
-    granted = placed.where(F.col("unit_id").isNotNull())
-    top = max(highest(units, "unit_id"), highest(granted, "unit_id"))
-    shifted = number_rows(placed.where(F.col("unit_id").isNull()), [order_by], "_n").withColumn(
-        "unit_id", F.col("_n") + F.lit(top)
-    ).drop("_n")
-    added = granted.unionByName(shifted).withColumn("media_path", F.col("_offered_path"))
-
-    updates = known.select("unit_id", "_offered_path", F.lit(True).alias("_known"))
-    path = F.when(
-        F.col("_known") & ex.is_unset(F.col("media_path"), default), F.col("_offered_path")
-    ).otherwise(F.col("media_path"))
-    synced = (
-        units.join(updates, "unit_id", "left")
-        .withColumn("media_path", path)
-        .select(*units.columns)
-        .unionByName(added.select(*units.columns))
-    )
 
-    offered = known.select("unit_id", order_by, *values).unionByName(
-        added.select("unit_id", order_by, *values)
-    )
-    spec_rows = offered.join(specs.select("unit_id").distinct(), "unit_id", "left_anti")
-    shown = munitions.where("is_representative").select("unit_id").distinct()
-    shot_rows = number_rows(
-        offered.join(shown, "unit_id", "left_anti"), [order_by], "_n"
-    ).withColumn("munition_id", F.col("_n") + F.lit(highest(munitions, "munition_id")))
-    new_shots = shot_rows.select(
-        "munition_id",
-        "unit_id",
-        F.col("munition_name").alias("name"),
-        F.col("munition_kind").alias("kind"),
-        "pen",
-        F.lit(True).alias("is_representative"),
-    )
-    return UnitSync(
-        synced,
-        specs.unionByName(spec_rows.select(*specs.columns)),
-        munitions.unionByName(new_shots.select(*munitions.columns)),
-    )
+    def __init__(
+        self,
+        units: DataFrame,
+        specs: DataFrame,
+        munitions: DataFrame,
+        provided: DataFrame,
+        default: str = fv.DEFAULT_MEDIA_PATH,
+        order_by: str = "position",
+    ):
+        self._units, self._specs, self._munitions = units, specs, munitions
+        self._provided, self._default, self._order = provided, default, order_by
+        taken = (*_MATCH, order_by, "media_path", "preferred_id")
+        self._values = [c for c in provided.columns if c not in taken]
+
+    @cached_property
+    def _offers(self) -> DataFrame:
+        """One row per provided unit: its first row and the path that the rows amount to.
+
+        That is the first path that is set, or else the last one.
+        """
+        path_set = ~ex.is_unset(F.col("media_path"), self._default)
+        return (
+            self._provided.groupBy(*_MATCH)
+            .agg(
+                F.min(F.struct(self._order, "preferred_id", *self._values)).alias("r"),
+                F.min_by("media_path", F.when(path_set, F.col(self._order))).alias("_set_path"),
+                F.max_by("media_path", self._order).alias("_last_path"),
+            )
+            .select(*_MATCH, "r.*", F.coalesce("_set_path", "_last_path").alias("_offered_path"))
+        )
+
+    @cached_property
+    def _known(self) -> DataFrame:
+        """Offers for stored units, with the stored id."""
+        stored = self._units.groupBy(*_MATCH).agg(F.min("unit_id").alias("unit_id"))
+        return self._offers.join(stored, _MATCH)
+
+    @cached_property
+    def _added(self) -> DataFrame:
+        """Offers for new units, with the id that each one gets."""
+        fresh = self._offers.join(self._units.select(*_MATCH), _MATCH, "left_anti")
+        # Of the rows that prefer one id the first may have it, unless a stored unit has it.
+        free = (
+            fresh.groupBy("preferred_id")
+            .agg(F.min(self._order).alias("_holder"))
+            .join(
+                self._units.select(F.col("unit_id").alias("preferred_id")),
+                "preferred_id",
+                "left_anti",
+            )
+        )
+        kept = F.when(F.col("_holder") == F.col(self._order), F.col("preferred_id"))
+        placed = freeze(
+            fresh.join(free, "preferred_id", "left")
+            .withColumn("unit_id", kept.cast("bigint"))
+            .drop("_holder")
+        )
+        granted = placed.where(F.col("unit_id").isNotNull())
+        top = max(highest(self._units, "unit_id"), highest(granted, "unit_id"))
+        moved = number_rows(
+            placed.where(F.col("unit_id").isNull()).drop("unit_id"), [self._order], "unit_id"
+        ).withColumn("unit_id", F.col("unit_id") + F.lit(top))
+        return granted.unionByName(moved)
+
+    @cached_property
+    def _offered(self) -> DataFrame:
+        columns = ("unit_id", self._order, *self._values)
+        return self._known.select(*columns).unionByName(self._added.select(*columns))
+
+    @cached_property
+    def unit(self) -> DataFrame:
+        filled = F.when(
+            F.col("_known") & ex.is_unset(F.col("media_path"), self._default),
+            F.col("_offered_path"),
+        ).otherwise(F.col("media_path"))
+        updates = self._known.select("unit_id", "_offered_path", F.lit(True).alias("_known"))
+        new = self._added.withColumn("media_path", F.col("_offered_path"))
+        return (
+            self._units.join(updates, "unit_id", "left")
+            .withColumn("media_path", filled)
+            .select(*self._units.columns)
+            .unionByName(new.select(*self._units.columns))
+        )
+
+    @cached_property
+    def spec(self) -> DataFrame:
+        present = self._specs.select("unit_id").distinct()
+        missing = self._offered.join(present, "unit_id", "left_anti")
+        return self._specs.unionByName(missing.select(*self._specs.columns))
+
+    @cached_property
+    def munition(self) -> DataFrame:
+        shown = self._munitions.where("is_representative").select("unit_id").distinct()
+        missing = self._offered.join(shown, "unit_id", "left_anti")
+        top = highest(self._munitions, "munition_id")
+        new = number_rows(missing, [self._order], "_n").select(
+            (F.col("_n") + F.lit(top)).alias("munition_id"),
+            "unit_id",
+            F.col("munition_name").alias("name"),
+            F.col("munition_kind").alias("kind"),
+            "pen",
+            F.lit(True).alias("is_representative"),
+        )
+        return self._munitions.unionByName(new.select(*self._munitions.columns))

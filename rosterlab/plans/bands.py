@@ -52,8 +52,9 @@ def band_totals(
             )
         ).alias("edge"),
     ).select(centre, f"edge.{_AT}", f"edge.{_SIDE}", *nothing)
+    # The slice is never NULL; saying so keeps both uses of ``line`` the same plan, run once.
     line = per_value.unionByName(edges).withColumn(
-        _SLICE, F.floor(F.col(_AT) * SLICES_PER_UNIT)
+        _SLICE, F.coalesce(F.floor(F.col(_AT) * SLICES_PER_UNIT), F.lit(0))
     )
     up_to = Window.partitionBy(_SLICE).orderBy(_AT, _SIDE).rowsBetween(Window.unboundedPreceding, 0)
     running = line.select(

@@ -62,7 +62,10 @@ def _benchmark(shots: str) -> str:
     shot AS ({shots}),
     wide AS (
         SELECT p.roster_id, p.unit_id, k.cap_all, k.cap_all - CAST(1.0 AS DOUBLE) AS band_low,
-               k.cap_all + CAST(1.0 AS DOUBLE) AS band_high, u.name AS unit_name, u.rating,
+               k.cap_all + CAST(1.0 AS DOUBLE) AS band_high,
+               CASE WHEN k.cap_all IS NULL THEN '-'
+                    ELSE format('{{{{:.1f}}}} ~ {{{{:.1f}}}}', k.cap_all - CAST(1.0 AS DOUBLE),
+                                k.cap_all + CAST(1.0 AS DOUBLE)) END AS band_label, u.name AS unit_name, u.rating,
                m.munition_id, m.name AS munition_name, m.kind AS munition_kind, m.pen,
                s.front, s.side, s.rear, COALESCE(b.peer_count, 0) AS peer_count,
                b.avg_pen, b.avg_front, b.avg_side, b.avg_rear
@@ -100,10 +103,7 @@ LONG = f"""
            CASE WHEN g >= 35 THEN '매우 높음' WHEN g >= 15 THEN '높음' WHEN g >= 5 THEN '약간 높음'
                 WHEN g <= -35 THEN '매우 낮음' WHEN g <= -15 THEN '낮음'
                 WHEN g <= -5 THEN '약간 낮음' ELSE '비슷함' END AS verdict,
-           measure, cap_all,
-           CASE WHEN cap_all IS NULL THEN '-'
-                ELSE format('{{{{:.1f}}}} ~ {{{{:.1f}}}}', band_low, band_high) END AS band_label,
-           peer_count, unit_name, rating, munition_name, munition_kind
+           measure, cap_all, band_label, peer_count, unit_name, rating, munition_name, munition_kind
     FROM gap"""
 
 

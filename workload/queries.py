@@ -432,7 +432,7 @@ def sync_dims_rejected(t):
 
 
 def _synced(t):
-    return sync.sync_units(t.old_units, t.old_specs, t.old_munitions, t.provided_units)
+    return sync.UnitSync(t.old_units, t.old_specs, t.old_munitions, t.provided_units)
 
 
 @query

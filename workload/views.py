@@ -11,8 +11,23 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "pages")
+# Declared types of the test tables, so that reading one starts no job to look at its files.
+TABLES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double,"
+    " c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int,"
+    " p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double,"
+    " props string",
+    "pages": "page_id long, url string, html string",
+}
 
 DEFAULT_PATH = "assets/vehicle_placeholder.svg"
 GAME_MODES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
@@ -46,7 +61,8 @@ VIEWS = {
                l_returnflag AS role_note
         FROM {lineitem}""",
     "slot_clean": """
-        SELECT roster_id, slot_no, MAX(unit_id) AS unit_id, MAX(role_note) AS role_note
+        SELECT roster_id, slot_no, MAX(unit_id) AS unit_id,
+               CHR(MAX(ASCII(role_note))) AS role_note
         FROM {slots} GROUP BY roster_id, slot_no""",
     "own_slots": """
         SELECT s.roster_id, s.slot_no, s.unit_id, s.role_note
@@ -63,7 +79,7 @@ VIEWS = {
     "munitions": """
         SELECT l_partkey * 10000000 + l_suppkey AS munition_id, l_partkey AS unit_id,
                CONCAT('M-', CAST(l_suppkey AS STRING)) AS name,
-               MAX(l_linestatus) AS kind, CAST(MAX(l_quantity) AS INT) AS pen,
+               CONCAT('K', CAST(l_suppkey % 7 AS STRING)) AS kind, CAST(MAX(l_quantity) AS INT) AS pen,
                l_suppkey = first_supplier AS is_representative
         FROM {lineitem} JOIN {first_suppliers} ON l_partkey = part_id
         GROUP BY l_partkey, l_suppkey, first_supplier""",
@@ -219,7 +235,9 @@ class Inputs:
             raise AttributeError(name)
         if name not in self._made:
             if name in TABLES:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._made[name] = self.spark.read.schema(TABLES[name]).parquet(
+                    f"{self.sf_dir}/{name}.parquet"
+                )
             else:
                 template = VIEWS[name]
                 parts = {need: getattr(self, need) for need in _needs(template)}

@@ -7,7 +7,7 @@ holds most of the slots is already a handful of rows when it is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlab.functions import fixed_values as fv
@@ -20,10 +20,13 @@ def roster_list(
     rosters: DataFrame,
     nations: DataFrame,
     nation_id=None,
+    roster_id=None,
     nation_labels: Labels = fv.NATION_LABELS,
 ) -> DataFrame:
-    """Rosters with nation label, newest first; all of them unless a nation is given."""
+    """Rosters with nation label, newest first; all of them unless a nation or an id is given."""
     wanted = rosters.where(F.col("nation_id") == F.lit(nation_id)) if nation_id else rosters
+    if roster_id is not None:
+        wanted = wanted.where(F.col("roster_id") == F.lit(roster_id))
     return (
         wanted.join(nation_names(nations, "nation", nation_labels), "nation_id")
         .select(*rosters.columns, "nation")
@@ -109,11 +112,23 @@ def roster_summary(
     )
 
 
+def _or_dash(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(fv.NO_VALUE))
+
+
 def roster_cap_list(summary: DataFrame) -> DataFrame:
     """Cap of every roster as text, with a dash where there is none."""
+    return summary.select("roster_id", _or_dash("cap_same_nation").alias("cap_text"))
+
+
+def roster_cards(summary: DataFrame) -> DataFrame:
+    """The four figures of a roster as they are shown: dashes for no rating, 0 for no cost."""
     return summary.select(
         "roster_id",
-        F.coalesce(F.col("cap_same_nation").cast("string"), F.lit(fv.NO_VALUE)).alias("cap_text"),
+        _or_dash("cap_same_nation").alias("cap_text"),
+        _or_dash("average_rating").alias("average_text"),
+        F.coalesce("total_cost", F.lit(0)).cast("bigint").alias("total_cost"),
+        "unit_count",
     )
 
 
@@ -153,23 +168,38 @@ def category_counts(
     return counts.orderBy("roster_id", F.col("unit_count").desc(), "category")
 
 
-def slot_grid(rosters: DataFrame, detail: DataFrame) -> DataFrame:
-    """Ten rows for every roster, blank where no slot of ``detail`` fills them.
+def slot_grid(
+    rosters: DataFrame,
+    nations: DataFrame,
+    slots: DataFrame,
+    units: DataFrame,
+    categories: DataFrame,
+    category_labels: Labels = fv.CATEGORY_LABELS,
+) -> DataFrame:
+    """Ten rows for every roster, blank where no unit of its nation fills the slot.
 
     Each roster's slots become one row of ten entries by a mergeable maximum; the grid is
     unfolded after the join, so only one row per roster is shuffled. Where a slot number
     occurs twice, the highest unit id is shown.
     """
+    labelled = units.join(
+        category_names(categories, "category", category_labels), "category_id"
+    ).select("unit_id", "nation_id", F.col("name").alias("unit_name"), "category", "rating")
     shown = F.struct("unit_id", "unit_name", "category", "rating")
-    filled = detail.groupBy("roster_id").agg(
-        *[F.max(F.when(F.col("slot_no") == n, shown)).alias(f"slot_{n}") for n in SLOT_NUMBERS]
+    filled = (
+        slots.select("roster_id", "unit_id", "slot_no")
+        .where(F.col("slot_no").between(fv.FIRST_SLOT, fv.LAST_SLOT))
+        .join(labelled, "unit_id")
+        .groupBy("roster_id", "nation_id")
+        .agg(*[F.max(F.when(F.col("slot_no") == n, shown)).alias(f"slot_{n}") for n in SLOT_NUMBERS])
     )
     entries = F.array(
         *[F.struct(F.lit(n).alias("slot_no"), F.col(f"slot_{n}").alias("held")) for n in SLOT_NUMBERS]
     )
     return (
-        rosters.select("roster_id")
-        .join(filled, "roster_id", "left")
+        rosters.select("roster_id", "nation_id")
+        .join(nations.select("nation_id"), "nation_id", "left_semi")
+        .join(filled, ["roster_id", "nation_id"], "left")
         .select("roster_id", F.explode(entries).alias("entry"))
         .select("roster_id", "entry.slot_no", "entry.held.*")
     )

@@ -50,6 +50,25 @@ def test_search_filters_and_columns_reach_the_files(spark, world, tmp_path, sett
     assert "media_path" not in re.search(r"ReadSchema: struct<(.*?)>", plan).group(1)
 
 
+def test_one_roster_is_a_filter_that_reaches_the_slot_files(spark, world, tmp_path, settings):
+    settings(maxMetadataStringLength="10000")
+    root = str(tmp_path / "t")
+    for name in ("roster", "slot"):
+        tables.write_table(world[name], root, name)
+    rosters, slots = (tables.read_table(spark, root, name) for name in ("roster", "slot"))
+    for result in (
+        roster.roster_summary(rosters, world["nation"], slots, world["unit"]),
+        roster.roster_detail(
+            rosters, world["nation"], slots, world["unit"], world["category"], sort=False
+        ),
+        roster.slot_grid(rosters, world["nation"], slots, world["unit"], world["category"]),
+    ):
+        plan = plan_of(result.where("roster_id = 1"))
+        scans = [line for line in plan.splitlines() if "FileScan" in line]
+        assert len(scans) == 2
+        assert all("EqualTo(roster_id,1)" in scan for scan in scans)
+
+
 def test_slots_are_added_up_before_they_meet_the_rosters(world):
     plan = plan_of(
         roster.roster_summary(world["roster"], world["nation"], world["slot"], world["unit"])

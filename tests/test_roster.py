@@ -15,6 +15,17 @@ def test_list_is_newest_first_and_zero_means_all(world):
     assert [r["roster_id"] for r in listed] == [4, 3, 2, 1]
     assert listed[-1]["nation"] == "독일"
     assert rows(roster.roster_list(world["roster"], world["nation"], 1), "roster_id") == [(1,), (2,)]
+    assert rows(roster.roster_list(world["roster"], world["nation"], roster_id=3), "title") == [
+        ("foreign only",)
+    ]
+
+
+def test_a_duplicate_slot_shows_the_highest_unit(world, make):
+    slots = make("slot", [(1, 1, 1, None), (1, 2, 1, None), (1, 3, 11, None)])
+    grid = roster.slot_grid(
+        world["roster"], world["nation"], slots, world["unit"], world["category"]
+    )
+    assert rows(grid.where("unit_id IS NOT NULL"), "roster_id", "slot_no", "unit_id") == [(1, 1, 2)]
 
 
 def test_detail_drops_foreign_slots(world):
@@ -33,6 +44,9 @@ def test_summary_keeps_empty_and_foreign_rosters(world):
     ]
     caps = dict(rows(roster.roster_cap_list(summary)))
     assert caps == {1: "5.7", 2: "-", 3: "-", 4: "4.6"}
+    assert rows(roster.roster_cards(summary))[:2] == [
+        (1, "5.7", "5.0", 8100, 3), (2, "-", "-", 0, 0),
+    ]
 
 
 def test_cap_over_all_slots_ignores_the_nation(world):
@@ -50,7 +64,9 @@ def test_category_counts_merge_equal_labels(world):
 
 
 def test_grid_has_ten_rows_per_roster(world):
-    grid = roster.slot_grid(world["roster"], detail(world, sort=False))
+    grid = roster.slot_grid(
+        world["roster"], world["nation"], world["slot"], world["unit"], world["category"]
+    )
     assert rows(grid.groupBy("roster_id").count()) == [(i, 10) for i in (1, 2, 3, 4)]
     filled = rows(grid.where("unit_id IS NOT NULL"), "roster_id", "slot_no", "unit_name")
     assert filled == [(1, 1, "Alpha"), (1, 10, "Gamma"), (1, 2, "Beta"), (4, 3, "Eta\\x")]

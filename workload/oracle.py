@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload.queries import CREATED_AT
+from workload.queries import CREATED_AT, MEDIA_HOST
 from workload.views import CATEGORY_LABELS, DEFAULT_PATH, GAME_MODES, NATION_LABELS, duckdb_sql
 
 
@@ -427,6 +427,11 @@ SOURCES = {
     "roster_cap_list": f"""
         SELECT roster_id, COALESCE(CAST(cap_same_nation AS VARCHAR), '-') AS cap_text
         FROM ({SUMMARY})""",
+    "roster_cards": f"""
+        SELECT roster_id, COALESCE(CAST(cap_same_nation AS VARCHAR), '-') AS cap_text,
+               COALESCE(CAST(average_rating AS VARCHAR), '-') AS average_text,
+               COALESCE(total_cost, 0) AS total_cost, unit_count
+        FROM ({SUMMARY})""",
     "roster_cap": CAP,
     "category_counts": f"""
         SELECT roster_id, category, COUNT(*) AS unit_count FROM ({DETAIL})
@@ -469,7 +474,7 @@ SOURCES = {
         SELECT o_orderkey, (SELECT MAX(unit_id) FROM {units})
                + ROW_NUMBER() OVER (ORDER BY o_orderkey) AS new_id FROM {orders}""",
     "media_enrich": f"""
-        SELECT u.unit_id, u.name, COALESCE(p.path, '{DEFAULT_PATH}') AS media_path
+        SELECT u.unit_id, u.name, COALESCE('{MEDIA_HOST}' || p.path, '{DEFAULT_PATH}') AS media_path
         FROM {{units}} u LEFT JOIN {{media_paths}} p ON u.name = p.name""",
     "media_backfill": f"""
         SELECT u.* REPLACE (CASE WHEN {UNSET.format('u.media_path')}

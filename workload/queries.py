@@ -40,6 +40,7 @@ SEARCH = {
     "rating_max": 990.5,
     "keyword": "L%_N",
 }
+MEDIA_HOST = "https://media.invalid/"
 CREATED_AT = "2024-06-01 00:00:00"
 
 
@@ -122,15 +123,11 @@ def roster_slots(t):
     return roster.roster_slots(t.slots)
 
 
-def _detail(t, sort):
-    return roster.roster_detail(
-        t.rosters, t.nations, t.slot_clean, t.units, t.categories, **LABELS, sort=sort
-    )
-
-
 @query
 def roster_detail(t):
-    return _detail(t, sort=True)
+    return roster.roster_detail(
+        t.rosters, t.nations, t.slot_clean, t.units, t.categories, **LABELS
+    )
 
 
 @query
@@ -143,6 +140,11 @@ def roster_cap_list(t):
     return roster.roster_cap_list(roster_summary(t.spark, t.sf_dir))
 
 
+@query
+def roster_cards(t):
+    return roster.roster_cards(roster_summary(t.spark, t.sf_dir))
+
+
 @query
 def roster_cap(t):
     return roster.roster_cap(t.slots, t.units)
@@ -155,7 +157,9 @@ def category_counts(t):
 
 @query
 def slot_grid(t):
-    return roster.slot_grid(t.rosters, _detail(t, sort=False))
+    return roster.slot_grid(
+        t.rosters, t.nations, t.slot_clean, t.units, t.categories, **CATEGORIES
+    )
 
 
 @query
@@ -209,7 +213,10 @@ def assign_ids(t):
 
 @query
 def media_enrich(t):
-    return media.media_enrich(t.units.select("unit_id", "name"), t.media_paths)
+    hosted = t.media_paths.select(
+        "name", media.media_url(F.col("path"), MEDIA_HOST, suffix="").alias("path")
+    )
+    return media.media_enrich(t.units.select("unit_id", "name"), hosted)
 
 
 @query

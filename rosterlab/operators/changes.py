@@ -46,6 +46,11 @@ def split_staged(staged: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def split_seed(staged: DataFrame, order_by: str) -> dict[str, DataFrame]:
+    """First load of wide rows that bring their unit ids; munitions are numbered in input order."""
+    return split_staged(number_rows(staged, [order_by], "munition_id"))
+
+
 def _flagged(keys: DataFrame, flag: str) -> DataFrame:
     return keys.withColumn(flag, F.lit(True))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rosterlab.functions import expressions as ex
 from rosterlab.functions import fixed_values as fv
+from rosterlab.operators.media import media_backfill
 from rosterlab.plans.durable import freeze
 from rosterlab.plans.numbering import highest, number_rows
 
@@ -168,3 +170,26 @@ class UnitSync:
             F.lit(True).alias("is_representative"),
         )
         return self._munitions.unionByName(new.select(*self._munitions.columns))
+
+
+def refresh(
+    stored: Mapping[str, DataFrame],
+    provided: Mapping[str, DataFrame],
+    paths: DataFrame,
+    default: str = fv.DEFAULT_MEDIA_PATH,
+) -> dict[str, DataFrame]:
+    """The whole reference load: nations and categories, then units, then media paths.
+
+    ``stored`` and ``provided`` hold nation, category and unit (provided: wide rows), ``stored``
+    also spec and munition; provided rows carry their ``position``. ``paths`` lists media by name.
+    """
+    units = UnitSync(
+        stored["unit"], stored["spec"], stored["munition"], provided["unit"], default
+    )
+    return {
+        "nation": sync_dims(stored["nation"], provided["nation"], "nation_id").table,
+        "category": sync_dims(stored["category"], provided["category"], "category_id").table,
+        "unit": media_backfill(units.unit, paths, default),
+        "spec": units.spec,
+        "munition": units.munition,
+    }

@@ -12,10 +12,31 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A catalogue of some million units, cut to the columns a figure needs, stays below this,
+    # which spares the slots a shuffle by unit. It bounds every broadcast.
+    "spark.sql.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
 }
 
 
+# Shuffled bytes per task: few enough to sort with little spill, enough that a shuffle of some
+# terabytes stays at some ten thousand partitions.
+BYTES_PER_TASK = 512 * 1024 * 1024
+
+
+def sized_for(shuffled_bytes: int, cores: int) -> dict[str, str]:
+    """Shuffle settings for a cluster job, from its largest shuffle and the cores it has.
+
+    Count the bytes of the columns that are shuffled, not those of the tables. Partitions that
+    turn out small are merged while running.
+    """
+    tasks = max(2 * cores, -(-shuffled_bytes // BYTES_PER_TASK))
+    return {
+        "spark.sql.shuffle.partitions": str(tasks),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(BYTES_PER_TASK // 2),
+    }
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Set what the caller's session leaves open; never override a setting that is there."""
     present = spark.conf.getAll

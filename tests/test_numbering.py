@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from rosterlab.operators import changes
 from rosterlab.plans import durable
 from rosterlab.plans.numbering import highest, number_rows
+from rosterlab.session import sized_for
 
 
 def test_numbers_are_consecutive_in_order_and_stable(spark):
@@ -36,6 +37,26 @@ def test_ids_follow_the_highest_in_use(spark, world):
     assert {r["t"]: r["unit_id"] for r in got.collect()} == {"a": 10, "b": 11, "c": 12}
 
 
+def test_first_load_splits_wide_rows(spark):
+    staged = spark.createDataFrame(
+        [(2, 8, "b", 60), (1, 9, "a", 50)], "line int, unit_id long, name string, pen int"
+    )
+    for column in ("nation_id", "category_id", "tier", "cost", "front", "side", "rear"):
+        staged = staged.withColumn(column, F.lit(1))
+    for column in ("media_path", "munition_name", "munition_kind"):
+        staged = staged.withColumn(column, F.lit("x"))
+    tables = changes.split_seed(staged.withColumn("rating", F.lit(2.0)), "line")
+    got = tables["munition"].select("munition_id", "unit_id", "pen", "is_representative")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 9, 50, True), (2, 8, 60, True)]
+    assert tables["unit"].count() == tables["spec"].count() == 2
+
+
+def test_shuffle_settings_grow_with_the_data():
+    small, large = sized_for(10, 8), sized_for(10 * 1024**4, 4000)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    assert large["spark.sql.shuffle.partitions"] == str(20 * 1024)
+
+
 def test_cluster_without_shared_folder_is_refused(spark, monkeypatch):
     class Context:
         master = "spark://host:7077"

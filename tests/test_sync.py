@@ -1,5 +1,5 @@
 from rosterlab.functions import fixed_values as fv
-from rosterlab.operators.sync import UnitSync, sync_dims
+from rosterlab.operators.sync import UnitSync, refresh, sync_dims
 from tests.conftest import rows
 
 PROVIDED = (
@@ -95,3 +95,24 @@ def test_dims_insert_only_and_refuse_taken_names(spark, world):
     assert rows(done.rejected) == [(4, "Elbonia", "name_taken"), (5, "Third", "name_taken")]
     again = sync_dims(done.table, provided, "nation_id")
     assert rows(again.table) == rows(done.table)
+
+
+def test_refresh_runs_all_three_steps(spark, world):
+    provided = {
+        "nation": spark.createDataFrame(
+            [(1, 3, "Third", None)], "position long, nation_id int, name string, flag_path string"
+        ),
+        "category": spark.createDataFrame(
+            [(1, 9, "Ninth", None)],
+            "position long, category_id int, name string, description string",
+        ),
+        "unit": spark.createDataFrame([offer(1, 60, "n", path=" ")], PROVIDED),
+    }
+    paths = spark.createDataFrame([("n", "n.png"), ("Beta", "b.png")], "name string, path string")
+    new = refresh(world, provided, paths)
+    assert rows(new["nation"], "nation_id") == [(1,), (2,), (3,)]
+    assert rows(new["category"], "category_id") == [(1,), (2,), (3,), (9,)]
+    found = dict(rows(new["unit"], "unit_id", "media_path"))
+    assert (found[60], found[2], found[1]) == ("n.png", "b.png", "a.png")
+    assert found[8] == fv.DEFAULT_MEDIA_PATH
+    assert new["spec"].count() == 7

@@ -348,6 +348,13 @@ SYNC = f"""
         UNION ALL
         SELECT unit_id, position, front, side, rear, munition_name, munition_kind, pen FROM added)"""
 
+SYNCED = f"""
+    SELECT u.* REPLACE (CASE WHEN o.name IS NOT NULL AND {UNSET.format('u.media_path')}
+                             THEN o.offered_path ELSE u.media_path END AS media_path)
+    FROM {{old_units}} u LEFT JOIN one o ON u.nation_id = o.nation_id AND u.name = o.name
+    UNION ALL
+    SELECT unit_id, nation_id, category_id, name, tier, rating, cost, offered_path FROM added"""
+
 TEXT = "TRIM({0}, ' \t\r\n')"
 
 
@@ -574,14 +581,15 @@ SOURCES = {
     "sync_dims_rejected": f"""
         WITH {OWNER_NEW}
         SELECT owner_id, name, 'name_taken' AS reason FROM judged WHERE taken""",
-    "sync_units": f"""
-        WITH {SYNC}
-        SELECT u.* REPLACE (CASE WHEN o.name IS NOT NULL AND {UNSET.format('u.media_path')}
-                                 THEN o.offered_path ELSE u.media_path END AS media_path)
-        FROM {{old_units}} u LEFT JOIN one o ON u.nation_id = o.nation_id AND u.name = o.name
-        UNION ALL
-        SELECT unit_id, nation_id, category_id, name, tier, rating, cost, offered_path
-        FROM added""",
+    "sync_units": f"WITH {SYNC} {SYNCED}",
+    "refresh_units": f"""
+        WITH {SYNC},
+        synced AS ({SYNCED}),
+        named AS (SELECT name, MAX(media_path) AS path FROM {{provided_units}} GROUP BY name)
+        SELECT s.* REPLACE (CASE WHEN {UNSET.format('s.media_path')}
+                                 THEN COALESCE(n.path, '{DEFAULT_PATH}')
+                                 ELSE s.media_path END AS media_path)
+        FROM synced s LEFT JOIN named n ON s.name = n.name""",
     "sync_units_specs": f"""
         WITH {SYNC}
         SELECT unit_id, front, side, rear FROM {{old_specs}}

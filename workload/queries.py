@@ -455,3 +455,21 @@ def sync_units_specs(t):
 @query
 def sync_units_munitions(t):
     return _synced(t).munition
+
+
+@query
+def refresh_units(t):
+    provided = {
+        "nation": t.nations.withColumn("position", F.col("nation_id")),
+        "category": t.categories.withColumn("position", F.col("category_id")),
+        "unit": t.provided_units,
+    }
+    stored = {
+        "nation": t.nations,
+        "category": t.categories,
+        "unit": t.old_units,
+        "spec": t.old_specs,
+        "munition": t.old_munitions,
+    }
+    named = t.provided_units.groupBy("name").agg(F.max("media_path").alias("path"))
+    return sync.refresh(stored, provided, named)["unit"]

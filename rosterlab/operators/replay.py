@@ -134,11 +134,13 @@ def apply_slot_changes(
     nations: DataFrame,
     categories: DataFrame,
     round_rows: int = 2_000_000,
+    store: bool = False,
 ) -> Replay:
     """Apply changes in (change_ts, change_id) order, as if one after the other.
 
     Changes that are refused whatever the slots hold never enter the walk. Slots of rosters
-    without a change are passed through as they are.
+    without a change are passed through as they are. ``store`` keeps the outcome of the walk in
+    the shared folder, for callers that read both the slots and the log.
     """
     judged = freeze(static_reason(changes, rosters, units, nations, categories))
     movable = judged.where(F.col("reason").isNull()).drop("reason")
@@ -152,6 +154,8 @@ def apply_slot_changes(
     )
     if longest <= round_rows:
         walked = _replay_once(base, movable)
+        if store:
+            walked = freeze(walked)
         moved, log = walked.where("is_slot"), walked.where("NOT is_slot")
     else:
         moved, log = _replay_in_rounds(base, movable, round_rows, longest)

@@ -15,7 +15,6 @@ RUNTIME = {
     # A catalogue of some million units, cut to the columns a figure needs, stays below this,
     # which spares the slots a shuffle by unit. It bounds every broadcast.
     "spark.sql.autoBroadcastJoinThreshold": "64MB",
-    "spark.sql.session.timeZone": "UTC",
 }
 
 
@@ -53,6 +52,7 @@ def local_session(cores: int | str = 8, name: str = "rosterlab", **extra: str) -
         .appName(name)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
     )
     for key, value in {**RUNTIME, **extra}.items():

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from rosterlab.operators.replay import apply_slot_changes
-from rosterlab.streaming import feed
+from rosterlab.streaming.feed import SlotFeed
 from tests.conftest import rows
 
 START = datetime(2024, 1, 1)
@@ -26,10 +26,18 @@ def tables(world):
 
 
 @pytest.fixture
-def run(spark, world, tmp_path):
+def open_feed(world, tmp_path):
+    def build(name):
+        return SlotFeed(str(tmp_path / name), *tables(world), buckets=4)
+
+    return build
+
+
+@pytest.fixture
+def run(spark, world, tmp_path, open_feed):
     """run(parts) feeds each list of changes as one file and one micro-batch."""
-    inbox, target = tmp_path / "inbox", str(tmp_path / "target")
-    feed.start_version(world["slot"], target)
+    inbox, feed = tmp_path / "inbox", open_feed("target")
+    feed.start(world["slot"])
 
     def go(*parts):
         for part in parts:
@@ -37,43 +45,59 @@ def run(spark, world, tmp_path):
         stream = (
             spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).parquet(str(inbox))
         )
-        feed.run_slot_feed(
-            stream, target, str(tmp_path / "progress"), *tables(world)
-        ).awaitTermination()
-        return target
+        feed.run(stream, str(tmp_path / "progress")).awaitTermination()
+        return feed
 
     return go
 
 
 def test_many_batches_equal_one_batch(spark, world, run):
     changes = changes_in_order(60)
-    target = run(changes[:25])
-    run(changes[25:40], changes[40:])  # the feed goes on where it stopped
+    run(changes[:25])
+    feed = run(changes[25:40], changes[40:])  # the feed goes on where it stopped
     at_once = apply_slot_changes(
         world["slot"], spark.createDataFrame(changes, CHANGE), *tables(world)
     )
-    assert rows(feed.current_slots(spark, target), *SLOT) == rows(at_once.slots, *SLOT)
-    log = feed.feed_log(spark, target)
-    assert dict(rows(log, "change_id", "verdict")) == dict(rows(at_once.log, "change_id", "verdict"))
+    assert rows(feed.slots(), *SLOT) == rows(at_once.slots, *SLOT)
+    outcome = dict(rows(feed.log(), "change_id", "verdict"))
+    assert outcome == dict(rows(at_once.log, "change_id", "verdict"))
 
 
-def test_repeats_are_dropped_and_older_changes_are_stale(spark, world, run):
+def test_repeats_are_dropped_and_older_changes_are_stale(run):
     late = (3, START - timedelta(days=900), 1, 3, 4)
-    target = run(
+    feed = run(
         [(1, START, 1, 3, 4), (1, START, 1, 3, 4)],
         [(1, START, 1, 3, 4), (2, START - timedelta(minutes=1), 1, 3, 2)],
         [late],
     )
-    log = rows(feed.feed_log(spark, target), "change_id", "verdict")
     # However late a change is, it is logged.
-    assert log == [(1, "add"), (2, "stale"), (3, "stale")]
+    assert rows(feed.log(), "change_id", "verdict") == [(1, "add"), (2, "stale"), (3, "stale")]
+
+
+def test_compacting_keeps_slots_and_stamps(spark, run, open_feed):
+    feed, moved = run([(1, START, 1, 3, 4)]), open_feed("compacted")
+    feed.compact(moved)
+    assert rows(moved.slots()) == rows(feed.slots())
+    moved.apply_batch(spark.createDataFrame([(2, START - timedelta(1), 1, 3, 2)], CHANGE), 0)
+    assert rows(moved.log(), "change_id", "verdict") == [(2, "stale")]
+
+
+def test_only_touched_rosters_are_written(spark, world, open_feed):
+    feed = open_feed("narrow")
+    feed.start(world["slot"])
+    feed.apply_batch(
+        spark.createDataFrame([(1, START, 4, 5, 5), (2, START, 77, 1, 1)], CHANGE), 0
+    )
+    written = spark.read.parquet(f"{feed.target}/slots/version=1")
+    assert rows(written, "roster_id", "slot_no") == [(4, 3), (4, 5)]
+    assert feed.slots().count() == 7
 
 
-def test_a_batch_run_again_gives_the_same_version(spark, world, tmp_path):
-    target = str(tmp_path / "again")
-    feed.start_version(world["slot"], target)
+def test_a_batch_run_again_gives_the_same_version(spark, world, open_feed):
+    feed = open_feed("again")
+    feed.start(world["slot"])
     batch = spark.createDataFrame(changes_in_order(30), CHANGE)
-    feed.apply_batch(batch, 0, target, *tables(world))
-    before = rows(feed.current_slots(spark, target)), rows(feed.feed_log(spark, target))
-    feed.apply_batch(batch, 0, target, *tables(world))
-    assert (rows(feed.current_slots(spark, target)), rows(feed.feed_log(spark, target))) == before
+    feed.apply_batch(batch, 0)
+    before = rows(feed.slots()), rows(feed.log())
+    feed.apply_batch(batch, 0)
+    assert (rows(feed.slots()), rows(feed.log())) == before

@@ -398,20 +398,16 @@ def apply_slot_changes_log(t):
 @query
 def slot_feed(t):
     target = new_folder(t.spark, "slot-feed")
-    feed.start_version(t.slot_clean, target)
-    # The events arrive as files; the view then shapes them as it does for the batch queries.
-    arriving = (
-        t.spark.readStream.schema(t.events.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(t.sf_dir)
-    )
+    changed = feed.SlotFeed(target, t.rosters, t.units, t.nations, t.categories, buckets=8)
+    changed.start(t.slot_clean)
+    # The events arrive as files (the pattern stands for one file or a folder of them); the view
+    # then shapes them as it does for the batch queries.
+    arriving = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet*")
     stream = t.spark.sql(
         VIEWS["slot_changes"], events=arriving, rosters=t.rosters, own_units=t.own_units
     )
-    feed.run_slot_feed(
-        stream, target, f"{target}/progress", t.rosters, t.units, t.nations, t.categories
-    ).awaitTermination()
-    return feed.current_slots(t.spark, target)
+    changed.run(stream, f"{target}/progress").awaitTermination()
+    return changed.slots()
 
 
 @query

@@ -64,6 +64,7 @@ VIEWS = {
         SELECT roster_id, slot_no, MAX(unit_id) AS unit_id,
                CHR(MAX(ASCII(role_note))) AS role_note
         FROM {slots} GROUP BY roster_id, slot_no""",
+    # The slots that the placement rules allow: unit and roster of one nation.
     "own_slots": """
         SELECT s.roster_id, s.slot_no, s.unit_id, s.role_note
         FROM {slot_clean} s

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlab.operators.changes import static_reason
-from rosterlab.plans.durable import freeze
+from rosterlab.plans.durable import freeze, new_folder
 from rosterlab.plans.numbering import number_rows
 
 # Input of a walk: the roster's slots (step 0), then its changes (step 1) in order.
@@ -171,11 +171,14 @@ def _replay_in_rounds(
     """Same result, with at most ``round_rows`` changes of a roster per round."""
     numbered = number_rows(movable, ["roster_id", "change_ts", "change_id"], "_n")
     first = numbered.groupBy("roster_id").agg(F.min("_n").alias("_first"))
-    laid = freeze(
-        numbered.join(first, "roster_id").withColumn(
-            "_round", F.floor((F.col("_n") - F.col("_first")) / F.lit(round_rows))
-        )
-    )
+    turn_of = F.expr(f"CAST((_n - _first) DIV {round_rows} AS INT)")
+    # One folder per round, so that a round reads only its own changes.
+    spark = movable.sparkSession
+    folder = new_folder(spark, "replay")
+    numbered.join(first, "roster_id").withColumn("_round", turn_of).select(
+        *movable.columns, "_round"
+    ).write.partitionBy("_round").parquet(folder)
+    laid = spark.read.parquet(folder)
     state, finished, logs = slots, [], []
     for turn in range((longest + round_rows - 1) // round_rows):
         due = laid.where(F.col("_round") == turn).select(*movable.columns)

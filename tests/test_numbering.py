@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from rosterlab.operators import changes
 from rosterlab.plans import durable
 from rosterlab.plans.numbering import highest, number_rows
-from rosterlab.session import sized_for
+from rosterlab.session import sized_for, tune
 
 
 def test_numbers_are_consecutive_in_order_and_stable(spark):
@@ -57,6 +57,18 @@ def test_shuffle_settings_grow_with_the_data():
     assert large["spark.sql.shuffle.partitions"] == str(20 * 1024)
 
 
+def test_settings_of_the_caller_stay(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "123")
+    try:
+        assert tune(spark).conf.get(name) == "123"
+        spark.conf.unset(name)
+        assert tune(spark).conf.get(name) == "64MB"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_cluster_without_shared_folder_is_refused(spark, monkeypatch):
     class Context:
         master = "spark://host:7077"

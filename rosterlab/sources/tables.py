@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from rosterlab.schemas import TABLES
@@ -83,8 +84,8 @@ def seed(spark: SparkSession, root: str, provided: dict[str, DataFrame]) -> bool
     try:
         if not read_table(spark, root, "nation").isEmpty():
             return False
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
     for name in sorted(provided, key=lambda table: table == "nation"):
         write_table(provided[name], root, name, mode="overwrite")

@@ -1,9 +1,10 @@
-"""Totals over a closed band around many centres, from running totals instead of pairs.
+"""Totals over a closed band around many centres, without joining centres with rows.
 
-Joining every centre with every row inside its band grows with the product of both. Here rows
-are first added up per distinct value; the total of a band is then the running total at its
-upper edge minus the running total just below its lower edge. The work is a sort of distinct
-values and edges.
+Such a join grows with the product of both. Here rows are first added up per distinct value,
+and the value axis is cut into slices of a sixteenth of the band's half width. The total of a
+band is then: the totals of the slices from its lower edge up to the one before its upper edge,
+plus what lies below the upper edge in that slice, minus what lies below the lower edge in its
+slice. Every centre meets some 32 slice totals, however many rows they stand for.
 """
 
 from __future__ import annotations
@@ -13,8 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Values are laid out in slices of 1/16; the only one-task step handles one row per slice.
-SLICES_PER_UNIT = 16
+SLICES_PER_HALF_WIDTH = 16
 
 _AT, _SIDE, _SLICE = "_at", "_side", "_slice"
 _BELOW, _ROW, _ABOVE = 0, 1, 2
@@ -34,44 +34,53 @@ def band_totals(
     sums), which keeps the difference of two running totals exact.
     """
     names = list(totals)
+    scale = SLICES_PER_HALF_WIDTH / half_width if half_width else 1.0
+
+    def slice_of(at: Column) -> Column:
+        # Never NULL; saying so keeps repeated uses of a plan equal, so that it runs once.
+        return F.coalesce(F.floor(at * scale), F.lit(0))
+
+    low, high = F.col(centre) - half_width, F.col(centre) + half_width
+    distinct = centres.select(centre).where(F.col(centre).isNotNull()).distinct()
     per_value = (
         rows.where(F.col(value).isNotNull() & ~F.isnan(value))
         .groupBy(F.col(value).alias(_AT))
         .agg(*[agg.cast("bigint").alias(name) for name, agg in totals.items()])
         .select(F.lit(None).cast("double").alias(centre), _AT, F.lit(_ROW).alias(_SIDE), *names)
     )
-    nothing = [F.lit(0).cast("bigint").alias(name) for name in names]
-    distinct = centres.select(centre).where(F.col(centre).isNotNull()).distinct()
     # Edges sort before (lower) or after (upper) the rows of the same value: the band is closed.
+    nothing = [F.lit(0).cast("bigint").alias(name) for name in names]
     edges = distinct.select(
         centre,
         F.explode(
             F.array(
-                F.struct((F.col(centre) - half_width).alias(_AT), F.lit(_BELOW).alias(_SIDE)),
-                F.struct((F.col(centre) + half_width).alias(_AT), F.lit(_ABOVE).alias(_SIDE)),
+                F.struct(low.alias(_AT), F.lit(_BELOW).alias(_SIDE)),
+                F.struct(high.alias(_AT), F.lit(_ABOVE).alias(_SIDE)),
             )
         ).alias("edge"),
     ).select(centre, f"edge.{_AT}", f"edge.{_SIDE}", *nothing)
-    # The slice is never NULL; saying so keeps both uses of ``line`` the same plan, run once.
-    line = per_value.unionByName(edges).withColumn(
-        _SLICE, F.coalesce(F.floor(F.col(_AT) * SLICES_PER_UNIT), F.lit(0))
-    )
     up_to = Window.partitionBy(_SLICE).orderBy(_AT, _SIDE).rowsBetween(Window.unboundedPreceding, 0)
-    running = line.select(
-        centre, _SIDE, _SLICE, *[F.sum(name).over(up_to).alias(name) for name in names]
-    ).where(F.col(_SIDE) != _ROW)
-    lower = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        line.groupBy(_SLICE)
+    sign = F.when(F.col(_SIDE) == _ABOVE, 1).otherwise(-1)
+    at_edges = (
+        per_value.unionByName(edges)
+        .withColumn(_SLICE, slice_of(F.col(_AT)))
+        .select(centre, _SIDE, *[F.sum(name).over(up_to).alias(name) for name in names])
+        .where(F.col(_SIDE) != _ROW)
+        .select(centre, *[(sign * F.col(name)).alias(name) for name in names])
+    )
+    per_slice = (
+        per_value.groupBy(slice_of(F.col(_AT)).alias(_SLICE))
         .agg(*[F.sum(name).alias(name) for name in names])
-        .select(
-            _SLICE,
-            *[F.coalesce(F.sum(name).over(lower), F.lit(0)).alias(f"_{name}") for name in names],
-        )
     )
-    sign = F.when(F.col(_SIDE) == _ABOVE, 1).otherwise(-1)
+    between = (
+        distinct.withColumns({"_from": slice_of(low), "_to": slice_of(high) - 1})
+        .where("_from <= _to")
+        .select(centre, F.explode(F.sequence("_from", "_to")).alias(_SLICE))
+        .join(per_slice, _SLICE)
+        .select(centre, *names)
+    )
     return (
-        running.join(carried, _SLICE)
+        at_edges.unionByName(between)
         .groupBy(centre)
-        .agg(*[F.sum(sign * (F.col(name) + F.col(f"_{name}"))).alias(name) for name in names])
+        .agg(*[F.sum(name).alias(name) for name in names])
     )

@@ -91,8 +91,8 @@ def test_roster_without_units_and_empty_peer_set(spark, world, make):
     assert {(r["gap_pct"], r["verdict"]) for r in long.collect()} == {(0.0, fv.VERDICTS["similar"])}
 
 
-@pytest.mark.parametrize("step", [0.1, None])
-def test_band_totals_equal_brute_force(spark, step):
+@pytest.mark.parametrize(("step", "half_width"), [(0.1, 1.0), (None, 1.0), (None, 0.003), (0.5, 7.5)])
+def test_band_totals_equal_brute_force(spark, step, half_width):
     rng = random.Random(5)
 
     def rating():
@@ -106,10 +106,10 @@ def test_band_totals_equal_brute_force(spark, step):
         {"n": F.count(F.lit(1)), "w": F.sum("w")},
         spark.createDataFrame([(c,) for c in [*centres, *centres, None]], "c double"),
         "c",
-        1.0,
+        half_width,
     )
     expected = {}
     for c in centres:
-        inside = [w for v, w in values if c - 1.0 <= v <= c + 1.0]
+        inside = [w for v, w in values if c - half_width <= v <= c + half_width]
         expected[c] = (len(inside), sum(inside))
     assert {r["c"]: (r["n"], r["w"]) for r in got.collect()} == expected

@@ -68,11 +68,20 @@ def in_slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iter
             yield batch.slice(begin)
 
 
-def added(batch: pa.RecordBatch, drop: Iterable[str] = (), **columns: pa.Array) -> pa.RecordBatch:
-    """The batch without some columns and with new ones at its end."""
-    kept = [n for n in batch.schema.names if n not in set(drop)]
-    arrays = [batch.column(n) for n in kept] + list(columns.values())
-    return pa.RecordBatch.from_arrays(arrays, names=kept + list(columns))
+def document_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Documents of a task in groups of some ``most`` bytes."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for batch in in_slices(batches, "text", most):
+        keys = (batch.column(n).to_pylist() for n in KEYS)
+        for doc, tie, text in zip(*keys, encoded(batch.column("text")), strict=True):
+            held.append((doc, tie, text))
+            size += len(text)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def extended(schema: StructType, **types: str) -> StructType:

@@ -1,7 +1,123 @@
-"""The queries of the text operators in SQL, where SQL can express them."""
+"""The queries of the text operators in SQL, where SQL can express them.
+
+The others are compared with brute force on small tables in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
+SUBSTRING = r"""
+WITH pieces AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS p
+  FROM documents
+), numbered AS (
+  SELECT doc_id, p, list_transform(p, x -> trim(x, chr(32) || chr(9) || chr(13) || chr(10))) AS t
+  FROM pieces
+), sentences AS (
+  SELECT doc_id, p, t, list_filter(t, x -> x <> '') AS s FROM numbered
+), starts AS (
+  SELECT doc_id, s, unnest(range(0, greatest(1, len(s) - 2))) AS i FROM sentences
+), spans AS (
+  SELECT doc_id, i, array_to_string(s[i + 1 : i + 3], ' ') AS span FROM starts
+), kept AS (
+  SELECT * FROM spans WHERE length(span) >= 80
+), later AS (
+  SELECT doc_id, i FROM kept
+  QUALIFY row_number() OVER (PARTITION BY span ORDER BY doc_id, i) > 1
+), dropped AS (
+  SELECT DISTINCT doc_id, i + k AS n FROM later, (SELECT unnest([0, 1, 2]) AS k)
+), parts AS (
+  SELECT doc_id, unnest(p) AS piece, unnest(t) AS words, unnest(range(0, len(p))) AS at FROM numbered
+), counted AS (
+  SELECT *, sum(CASE WHEN words <> '' THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY at ROWS UNBOUNDED PRECEDING) - 1 AS n
+  FROM parts
+), marked AS (
+  SELECT c.*, d.n IS NOT NULL AND words <> '' AS gone
+  FROM counted c LEFT JOIN dropped d ON d.doc_id = c.doc_id AND d.n = c.n
+), cleaned AS (
+  SELECT doc_id, string_agg(CASE WHEN gone THEN '' ELSE piece END, '' ORDER BY at) AS text,
+    count(*) FILTER (words <> '') AS n_sentences, count(*) FILTER (gone) AS n_removed
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(c.text, '') AS text, coalesce(n_sentences, 0) AS n_sentences,
+  coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN cleaned c USING (doc_id)
+"""
+
+URLS = r"""
+WITH split AS (
+  SELECT page_id, url,
+    CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), hosts AS (
+  SELECT page_id, url, rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw FROM split
+), parted AS (
+  SELECT page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(coalesce(rest, ''), length(raw) + 1), '^[^?#]*') AS path
+  FROM hosts
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parted
+), words AS (
+  SELECT page_id, url, host, path, rule, list_distinct(list_filter(list_concat(
+    list_transform(string_split(host, '.'), w -> 'h:' || w),
+    list_transform(regexp_split_to_array(regexp_replace(lower(path), '[0-9]+', '#', 'g'), '[^a-z#]+'),
+      w -> 'p:' || w)), w -> length(w) > 2)) AS items
+  FROM ruled
+), asked AS (
+  SELECT row_number() OVER () AS t, items,
+    CASE WHEN toxic = 1 OR quality = 0 THEN 'block' ELSE 'allow' END AS label
+  FROM words JOIN labels ON labels.doc_id = words.page_id
+), total AS (SELECT count(*) AS n FROM asked
+), flat AS (SELECT t, label, unnest(items) AS w FROM asked
+), sets AS (
+  SELECT t, label, [w] AS s FROM flat
+  UNION ALL SELECT a.t, a.label, [a.w, b.w] FROM flat a JOIN flat b ON a.t = b.t AND a.w < b.w
+  UNION ALL SELECT a.t, a.label, [a.w, b.w, c.w] FROM flat a JOIN flat b ON a.t = b.t AND a.w < b.w
+    JOIN flat c ON b.t = c.t AND b.w < c.w
+), counts AS (SELECT s, label, count(*) AS c FROM sets GROUP BY ALL
+), alls AS (SELECT s, sum(c) AS a FROM counts GROUP BY s
+), rules AS (
+  SELECT s, label, c / a AS confidence, c / n AS support
+  FROM counts JOIN alls USING (s), total
+  WHERE c >= ceil(0.02 * n) AND c / a >= 0.6
+), kept AS (
+  SELECT * FROM rules r WHERE NOT EXISTS (
+    SELECT 1 FROM rules f WHERE f.label = r.label AND len(f.s) < len(r.s)
+      AND list_has_all(r.s, f.s) AND f.confidence >= r.confidence)
+), hits AS (
+  SELECT url, confidence, support, label FROM (SELECT DISTINCT url, items FROM words WHERE rule IS NULL) u
+  JOIN kept ON list_has_all(u.items, kept.s)
+), best AS (
+  SELECT url, label, confidence FROM hits
+  QUALIFY row_number() OVER (PARTITION BY url
+    ORDER BY confidence DESC, support DESC, label DESC) = 1
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule = 'net/' OR rule = 'example.com/de/' THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    ELSE coalesce(label, 'allow') END AS verdict, confidence
+FROM words LEFT JOIN best ON best.url = words.url
+"""
+
+NEAREST = """
+WITH codes AS (SELECT vec_id, list_transform(embedding, x -> CASE WHEN x > 0 THEN '1' ELSE '0' END) AS c
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+strings AS (SELECT vec_id, CAST(array_to_string(c, '') AS BIT) AS b FROM codes),
+pairs AS (SELECT q.vec_id AS query_id, x.vec_id, bit_count(xor(q.b, x.b)) AS distance
+  FROM strings q JOIN strings x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER)
+  AS rank, vec_id, CAST(distance AS INTEGER) AS distance FROM pairs)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
 
 def statements() -> dict[str, str]:
-    return {}
+    return {
+        "op1_sentence_spans": SUBSTRING,
+        "op2_url_rules": URLS,
+        "op8_nearest_codes": NEAREST,
+    }

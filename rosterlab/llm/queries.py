@@ -8,13 +8,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlab.llm import language_id, packing, piece_codec, quality_rules, simhash, toxicity
+from rosterlab.llm import (
+    binary_search,
+    language_id,
+    packing,
+    piece_codec,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 from rosterlab.llm.common import fold, table
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+URL_RULES = (
+    url_filter.Rule(url_filter.BLOCK, "net", "/"),
+    url_filter.Rule(url_filter.ALLOW, "example.net", "/en/"),
+    url_filter.Rule(url_filter.BLOCK, "example.com", "/de/"),
+    url_filter.Rule(url_filter.ALLOW, "org", "/fr/"),
+)
+
+
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"),
+        F.when(bad, url_filter.BLOCK).otherwise(url_filter.ALLOW).alias("label"),
+    )
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def language_trees(docs: DataFrame) -> language_id.ContextTrees:
     return language_id.learn(docs.where(fold("doc_id", 3) != 1))
 
@@ -45,6 +77,14 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.compression_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op8_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -58,10 +98,14 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_sentence_spans,
+            op2_url_rules,
             op3_language_ppm,
             op4_simhash_ball,
             op5_toxicity_cnn,
             op6_compression_bands,
+            op7_suffix_ranges,
+            op8_nearest_codes,
             op9_piece_encoding,
             op10_best_fit_packing,
         )

@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from rosterlab.plans.durable import new_folder
 
-KEY, TIE = "_doc", "_tie"
+KEY, TIE = "_doc_key", "_doc_tie"
 KEYS = (KEY, TIE)
 BEFORE_ALL = -(1 << 63)
 

@@ -171,8 +171,12 @@ def judged(texts: list[bytes], trees: ContextTrees, how: Learning) -> tuple[list
     )
 
 
-def identify(docs: DataFrame, trees: ContextTrees, how: Learning = Learning()) -> DataFrame:
-    """The rows of ``docs`` with lang_pred, score and bits_per_byte."""
+def identify(
+    docs: DataFrame, trees: ContextTrees, how: Learning = Learning(), prefix: str = ""
+) -> DataFrame:
+    """The rows of ``docs`` with lang_pred, score and bits_per_byte (named with ``prefix``)."""
+    new = {f"{prefix}lang_pred": "string", f"{prefix}score": "double"}
+    new[f"{prefix}bits_per_byte"] = "double"
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the learning sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +184,7 @@ def identify(docs: DataFrame, trees: ContextTrees, how: Learning = Learning()) -
             found = judged(encoded(batch.column("text")), shared.value, how)
             types = (pa.string(), pa.float64(), pa.float64())
             arrays = [pa.array(x, t) for x, t in zip(found, types, strict=True)]
-            names = [*batch.schema.names, "lang_pred", "score", "bits_per_byte"]
+            names = [*batch.schema.names, *new]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
 
-    schema = extended(docs.schema, lang_pred="string", score="double", bits_per_byte="double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, extended(docs.schema, **new))

@@ -10,10 +10,10 @@ WITH pieces AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS p
   FROM documents
 ), numbered AS (
-  SELECT doc_id, p, list_transform(p, x -> trim(x, chr(32) || chr(9) || chr(13) || chr(10))) AS t
+  SELECT doc_id, p, list_transform(p, lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(10))) AS t
   FROM pieces
 ), sentences AS (
-  SELECT doc_id, p, t, list_filter(t, x -> x <> '') AS s FROM numbered
+  SELECT doc_id, p, t, list_filter(t, lambda x: x <> '') AS s FROM numbered
 ), starts AS (
   SELECT doc_id, s, unnest(range(0, greatest(1, len(s) - 2))) AS i FROM sentences
 ), spans AS (
@@ -26,16 +26,16 @@ WITH pieces AS (
 ), dropped AS (
   SELECT DISTINCT doc_id, i + k AS n FROM later, (SELECT unnest([0, 1, 2]) AS k)
 ), parts AS (
-  SELECT doc_id, unnest(p) AS piece, unnest(t) AS words, unnest(range(0, len(p))) AS at FROM numbered
+  SELECT doc_id, unnest(p) AS piece, unnest(t) AS words, unnest(range(0, len(p))) AS pos FROM numbered
 ), counted AS (
   SELECT *, sum(CASE WHEN words <> '' THEN 1 ELSE 0 END)
-    OVER (PARTITION BY doc_id ORDER BY at ROWS UNBOUNDED PRECEDING) - 1 AS n
+    OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS n
   FROM parts
 ), marked AS (
   SELECT c.*, d.n IS NOT NULL AND words <> '' AS gone
   FROM counted c LEFT JOIN dropped d ON d.doc_id = c.doc_id AND d.n = c.n
 ), cleaned AS (
-  SELECT doc_id, string_agg(CASE WHEN gone THEN '' ELSE piece END, '' ORDER BY at) AS text,
+  SELECT doc_id, string_agg(CASE WHEN gone THEN '' ELSE piece END, '' ORDER BY pos) AS text,
     count(*) FILTER (words <> '') AS n_sentences, count(*) FILTER (gone) AS n_removed
   FROM marked GROUP BY doc_id
 )
@@ -64,9 +64,9 @@ WITH split AS (
   FROM parted
 ), words AS (
   SELECT page_id, url, host, path, rule, list_distinct(list_filter(list_concat(
-    list_transform(string_split(host, '.'), w -> 'h:' || w),
+    list_transform(string_split(host, '.'), lambda w: 'h:' || w),
     list_transform(regexp_split_to_array(regexp_replace(lower(path), '[0-9]+', '#', 'g'), '[^a-z#]+'),
-      w -> 'p:' || w)), w -> length(w) > 2)) AS items
+      lambda w: 'p:' || w)), lambda w: length(w) > 2)) AS items
   FROM ruled
 ), asked AS (
   SELECT row_number() OVER () AS t, items,
@@ -104,7 +104,7 @@ FROM words LEFT JOIN best ON best.url = words.url
 """
 
 NEAREST = """
-WITH codes AS (SELECT vec_id, list_transform(embedding, x -> CASE WHEN x > 0 THEN '1' ELSE '0' END) AS c
+WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END) AS c
   FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
 strings AS (SELECT vec_id, CAST(array_to_string(c, '') AS BIT) AS b FROM codes),
 pairs AS (SELECT q.vec_id AS query_id, x.vec_id, bit_count(xor(q.b, x.b)) AS distance

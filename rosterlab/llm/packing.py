@@ -86,7 +86,7 @@ def cut(total: int, length: int) -> list[tuple[int, int]]:
 
 
 PIECES = (
-    "doc_id bigint, _doc bigint, _tie bigint, piece int, start bigint, length bigint,"
+    f"doc_id bigint, {KEY} bigint, {TIE} bigint, piece int, start bigint, length bigint,"
     " ids_crc32 bigint, ids binary"
 )
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlab.llm.common import BEFORE_ALL, KEY, KEYS, TIE, encoded, in_slices, keyed, stored
+from rosterlab.llm.common import BEFORE_ALL, KEY, KEYS, TIE, encoded, in_slices, keyed, order_key, stored
 from rosterlab.llm.graph import components
 
 BITS = 64
@@ -187,9 +187,8 @@ def one_of_each(docs: DataFrame, how: SimHash | None = None) -> DataFrame:
     """The first document of each group: all columns of ``docs``, one row a group."""
     found = near_duplicates(docs, how)
     # Of a group's smallest doc_id, the row with the smallest hash of its text.
-    first = (
-        found.where(f"{KEY} = _group").groupBy(KEY).agg(F.min(TIE).alias(TIE))
-    )
+    first = found.where(f"{KEY} = _group").groupBy(KEY).agg(F.min(TIE).alias(TIE))
     names = docs.columns
-    keys = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(BEFORE_ALL)).alias(KEY), F.xxhash64("text").alias(TIE)]
-    return docs.select("*", *keys).join(first, list(KEYS), "left_semi").dropDuplicates(list(KEYS)).select(*names)
+    own = docs.select("*", order_key().alias(KEY), F.xxhash64("text").alias(TIE))
+    kept = own.join(first, list(KEYS), "left_semi")
+    return kept.dropDuplicates(list(KEYS)).select(*names)

@@ -40,9 +40,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlab.llm.common import KEY, KEYS, TIE, document_runs, encoded, in_slices, keyed, stored
+from rosterlab.llm.common import KEY, KEYS, TIE, document_runs, encoded, extended, in_slices, keyed, stored
 
 _CHUNK = 1 << 20
+_PIECES, _OUT = "_removed_pieces", "_out_"
 _PLACE = 24  # low bits that hold a place in a chunk
 _OCCURRENCE = np.dtype([("stretch", "<i4"), ("doc", "<i8"), ("tie", "<i8"), ("at", "<i8")])
 _STRETCH = np.dtype([("size", "<i4"), ("lead", "<i4"), ("inner", "<i4")])
@@ -377,47 +378,44 @@ def without(text: bytes, pieces: list | None) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def remove_repeats(docs: DataFrame, how: Dedup | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, the columns of ``keep``, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
+def remove_repeats(docs: DataFrame, how: Dedup | None = None, keep_columns: bool = False) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
     ``kept_text`` drops bytes of characters that were cut in the middle; the digest is of all
-    remaining bytes.
+    remaining bytes. With ``keep_columns`` the result has the columns of ``docs`` instead, with
+    the kept text as text and its number of characters as n_chars, if there is one.
     """
     how = how or Dedup()
-    others = [F.col(c) for c in keep if c != "text"]
-    own = keyed(docs, F.col("doc_id").cast("bigint").alias("_id"), *others)
+    passed = [c for c in docs.columns if c not in ("text", "n_chars")] if keep_columns else ["doc_id"]
+    own = keyed(docs, *passed)
     pieces = stored(repeated_pieces(own.select(*KEYS, "text"), how), "pieces")
-    lists = pieces.groupBy(*KEYS).agg(F.collect_list(F.struct("begin", "end")).alias("_pieces"))
-    joined = own.join(lists, list(KEYS), "left").drop(*KEYS)
-    new = {
-        "n_bytes": pa.int64(),
-        "n_removed": pa.int64(),
-        "n_spans": pa.int64(),
-        "kept_sha256": pa.string(),
-        "kept_text": pa.string(),
-    }
+    lists = pieces.groupBy(*KEYS).agg(F.collect_list(F.struct("begin", "end")).alias(_PIECES))
+    joined = own.join(lists, list(KEYS), "left").select(*passed, "text", _PIECES)
+    new = {"kept_text": "string"}
+    if not keep_columns:
+        new = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"} | new
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text", 8 << 20):
             rows = []
             texts = encoded(batch.column("text"))
-            for text, found in zip(texts, batch.column("_pieces").to_pylist(), strict=True):
+            for text, found in zip(texts, batch.column(_PIECES).to_pylist(), strict=True):
                 left, runs = without(text, found)
-                digest = hashlib.sha256(left).hexdigest()
                 whole = left.decode("utf-8", "ignore")
+                digest = hashlib.sha256(left).hexdigest()
                 rows.append((len(text), len(text) - len(left), runs, digest, whole))
-            arrays = [
-                pa.array(c, t) for c, t in zip(zip(*rows, strict=True), new.values(), strict=True)
-            ]
-            names = [n for n in batch.schema.names if n not in ("text", "_pieces")]
+            columns = list(zip(*rows, strict=True))[-len(new) :]
+            types = [pa.int64() if t == "bigint" else pa.string() for t in new.values()]
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), *arrays], names=[*names, *new]
+                [*(batch.column(n) for n in passed), *arrays], names=[*passed, *(_OUT + n for n in new)]
             )
 
-    kept = [f for f in joined.schema.fields if f.name not in ("text", "_pieces")]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     out = joined.mapInArrow(
-        apply,
-        f"{ddl}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string",
+        apply, extended(joined.select(*passed).schema, **{_OUT + n: t for n, t in new.items()})
     )
-    return out.withColumnRenamed("_id", "doc_id") if "doc_id" not in keep else out.drop("_id")
+    if not keep_columns:
+        return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(_OUT + n).alias(n) for n in new))
+    text = F.col(_OUT + "kept_text")
+    made = {"text": text, "n_chars": F.length(text).cast("bigint")}
+    return out.select(*(made[c].alias(c) if c in made else c for c in docs.columns))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from rosterlab.llm.common import KEY, KEYS, TIE, document_runs, encoded, extended, in_slices, keyed, stored
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _PIECES, _OUT = "_removed_pieces", "_out_"
 _PLACE = 24  # low bits that hold a place in a chunk
 _OCCURRENCE = np.dtype([("stretch", "<i4"), ("doc", "<i8"), ("tie", "<i8"), ("at", "<i8")])
@@ -56,7 +56,7 @@ class Dedup:
     range_bytes: int = 2 << 20  # text whose windows a range holds on average
     sampled_per_range: int = 64
     hot: float = 2.0
-    flush_bytes: int = 12 << 20  # text of a task that is looked at together
+    flush_bytes: int = 6 << 20  # text of a task that is looked at together
     level: int = 3
 
 

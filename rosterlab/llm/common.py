@@ -95,15 +95,19 @@ def fold(column: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts, F.lit(0))
 
 
-def sampled(rows: DataFrame, by: str, most_rows: int, most_bytes: int, classes: int) -> DataFrame:
-    """A bounded sample of keyed ``rows``: per value of ``by``, in an order fixed by a hash.
-
-    At most ``classes`` values of ``by`` (the most frequent), ``most_rows`` rows and some
-    ``most_bytes`` bytes of text each. Only keys and sizes of candidates meet in the driver:
-    the hash is cut so that some twice as many pass as are wanted.
+def sampled_keys(
+    sizes: DataFrame, by: str, most_rows: int, most_bytes: int, classes: int
+) -> DataFrame:
+    """A bounded sample of documents: ``by`` and keys, for a broadcast join with the texts.
+
+    ``sizes`` has ``by``, the keys and ``_n`` (bytes). Per value of ``by``, in an order fixed by a
+    hash of the key: at most ``classes`` values of ``by`` (the most frequent), ``most_rows`` rows and
+    some ``most_bytes`` bytes each. Only keys and sizes of candidates meet in the driver: the hash is
+    cut so that some twice as many pass as are wanted.
     """
-    spark = rows.sparkSession
-    sizes = rows.select(by, KEY, TIE, F.coalesce(F.octet_length("text"), F.lit(0)).alias("_n"))
+    spark = sizes.sparkSession
+    kind = dict(sizes.dtypes)[by]
+    schema = f"`{by}` {kind}, {KEY} bigint, {TIE} bigint"
     totals = (
         sizes.where(F.col(by).isNotNull())
         .groupBy(by)
@@ -113,29 +117,32 @@ def sampled(rows: DataFrame, by: str, most_rows: int, most_bytes: int, classes:
         .collect()
     )
     if not totals:
-        return rows.limit(0)
+        return spark.createDataFrame([], schema)
     shares = [
         (r[0], min(1.0, 2.0 * max(1, most_rows) / r["n"], 2.0 * max(1, most_bytes) / max(1, r["b"])))
         for r in totals
     ]
     limits = spark.createDataFrame(
-        [(v, int(s * (1 << 62))) for v, s in shares], f"{by} {dict(rows.dtypes)[by]}, _upto bigint"
+        [(v, int(s * (1 << 62))) for v, s in shares], f"`{by}` {kind}, _upto bigint"
     )
     order = F.shiftright(F.xxhash64(KEY, TIE, F.lit(by)), 1).bitwiseAND(F.lit((1 << 62) - 1))
     found = (
         sizes.withColumn("_order", order)
         .join(F.broadcast(limits), by)  # a row per class
         .where("_order <= _upto")
-        .orderBy("_order")
+        .orderBy("_order", KEY, TIE, by)
         .limit(3 * most_rows * len(shares))
         .collect()
     )
-    kept: list[tuple[int, int]] = []
+    kept: set[tuple] = set()
     held: dict = {}
     for r in found:
         n, b = held.get(r[by], (0, 0))
         if n < most_rows and (n == 0 or b + r["_n"] <= most_bytes):
             held[r[by]] = (n + 1, b + r["_n"])
-            kept.append((r[KEY], r[TIE]))
-    keys = spark.createDataFrame(sorted(set(kept)), f"{KEY} bigint, {TIE} bigint")
-    return rows.join(F.broadcast(keys), [KEY, TIE], "left_semi")  # most_rows a class
+            kept.add((r[by], r[KEY], r[TIE]))
+    return spark.createDataFrame(sorted(kept), schema)
+
+
+def text_size() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("_n")

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlab.llm.common import KEY, TIE, encoded, extended, in_slices, keyed, sampled
+from rosterlab.llm.common import KEYS, encoded, extended, in_slices, keyed, sampled_keys, text_size
 
 UNKNOWN = "und"
 _LETTER = regex.compile(rb"[A-Za-z]").search
@@ -145,9 +145,11 @@ def has_letter(text: bytes) -> bool:
 def learn(labelled: DataFrame, how: Learning = Learning()) -> ContextTrees:
     """Trees from the rows (``text``, ``lang``, ``doc_id``) that may be learned from."""
     rows = keyed(labelled.where("lang IS NOT NULL AND text IS NOT NULL"), "lang")
-    chosen = sampled(rows, "lang", how.learn_rows, how.learn_bytes, how.languages)
+    sizes = rows.select("lang", *KEYS, text_size())
+    keys = sampled_keys(sizes, "lang", how.learn_rows, how.learn_bytes, how.languages)
+    chosen = rows.join(F.broadcast(keys), ["lang", *KEYS], "left_semi")  # learn_rows a language
     samples: dict[str, list[bytes]] = {}
-    for r in sorted(chosen.select("lang", KEY, TIE, "text").collect()):
+    for r in sorted(chosen.select("lang", *KEYS, "text").distinct().collect()):
         samples.setdefault(r["lang"], []).append(r["text"].encode())
     return ContextTrees(samples, how.order)
 

@@ -64,7 +64,7 @@ def op4_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Classifier:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold("doc_id", 5) != 0)
-    return toxicity.learn(docs.select("doc_id", "text", "lang").join(labels, "doc_id"))
+    return toxicity.learn(docs.select("doc_id", "text", "lang"), labels)
 
 
 def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ one code. A pair is taken only at the step that finds it first, and only the bes
 of a query are carried on, which a ranking cuts before anything is shuffled.
 
 A null vector has no code: it is neither found nor asked. Equal distances are ordered by id. A
-query does not find its own id. Repeated ids count as one row. If there are fewer than ``k`` other
+query does not find its own id. Joins of the steps are sort-merge joins by hint: dozens of small
+steps would otherwise leave dozens of broadcast tables in the driver. Repeated ids count as one row. If there are fewer than ``k`` other
 rows, all are returned; an empty table gives no rows.
 """
 
@@ -90,7 +91,7 @@ def nearest_codes(queries: DataFrame, index: DataFrame, rows: int, how: Search)
                 "query", "worst", F.explode(masks(width, radius)).alias("_mask")
             ).withColumn("_value", segment(F.col("query"), j, how).bitwiseXOR(F.col("_mask")))
             entries = index.withColumn("_value", segment(F.col("code"), j, how))
-            pairs = probes.join(entries, "_value")
+            pairs = probes.join(entries.hint("merge"), "_value")
             # Found before: another segment is nearer, or as near and looked up earlier.
             apart = F.col("query").bitwiseXOR(F.col("code"))
             first = F.lit(True)
@@ -108,7 +109,7 @@ def nearest_codes(queries: DataFrame, index: DataFrame, rows: int, how: Search)
         for more in found[1:]:
             new = new.union(more)
         # Only the best of the step meet the best so far.
-        merged = state.join(active.select("query"), "query", "left_semi").union(_best(new, most))
+        merged = state.join(active.select("query").hint("merge"), "query", "left_semi").union(_best(new, most))
         state = stored(_best(merged, most), "nearest")
         figures = state.groupBy("query").agg(
             F.sum(F.when(F.col("distance") <= covered, F.col("n")).otherwise(0)).alias("sure"),
@@ -118,14 +119,14 @@ def nearest_codes(queries: DataFrame, index: DataFrame, rows: int, how: Search)
         )
         ready = (F.col("sure") >= most) | (F.col("seen") >= rows) | F.lit(covered >= BITS)
         figures = stored(
-            active.select("query").join(figures, "query", "left").select(
+            active.select("query").join(figures.hint("merge"), "query", "left").select(
                 "query",
                 F.coalesce(ready, F.lit(covered >= BITS)).alias("ready"),
                 F.when(F.col("entries") >= most, F.col("far")).otherwise(BITS).alias("worst"),
             ),
             "active",
         )
-        done.append(state.join(figures.where("ready"), "query", "left_semi"))
+        done.append(state.join(figures.where("ready").hint("merge"), "query", "left_semi"))
         active = figures.where("NOT ready").select("query", "worst")
         if active.isEmpty():
             break

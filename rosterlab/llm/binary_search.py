@@ -1,20 +1,19 @@
 """Exact nearest binary codes by incremental multi-index hashing.
 
 A vector's code has a bit for each of its (at most 64) dimensions, set where the value is positive.
-Codes are cut into ``segments`` and filed under each segment's value. Two codes that differ in
-``m * r + j`` bits or fewer agree up to ``r`` bits in one of the first ``j + 1`` segments or
-up to ``r - 1`` in another, so the search looks up, segment by segment, all values at
-segment distance 0, 1, 2, …; after each step every code up to a known distance has been seen. A
-query is done when its kth distance, worked out on whole codes, is within that distance.
+Codes are cut into ``m`` segments and filed under each segment's value. Two codes that differ in
+fewer than ``m * (r + 1)`` bits agree up to ``r`` bits in some segment, so the search looks up
+all values at segment distance 0, 1, 2, …; after each radius every code up to a known distance has
+been seen. A query is done when its kth distance, worked out on whole codes, is within it.
 
 Equal codes are one entry with their smallest ids, so a vector that a third of the rows share is
 one code. A pair is taken only at the step that finds it first, and only the best ``k + 1`` codes
 of a query are carried on, which a ranking cuts before anything is shuffled.
 
 A null vector has no code: it is neither found nor asked. Equal distances are ordered by id. A
-query does not find its own id. Joins of the steps are sort-merge joins by hint: dozens of small
-steps would otherwise leave dozens of broadcast tables in the driver. Repeated ids count as one row. If there are fewer than ``k`` other
-rows, all are returned; an empty table gives no rows.
+query does not find its own id. Repeated ids count as one row. If there are fewer than ``k`` other
+rows, all are returned; an empty table gives no rows. Joins of the steps are sort-merge joins by
+hint: the small steps would otherwise leave many broadcast tables in the driver.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ BITS = 64
 class Search:
     k: int = 10
     segments: int = 4
-    together: int = 2  # up to this segment distance all segments are one step
+    first_radius: int = 2  # the first step looks up all segment distances up to this
 
 
 def codes(vectors: DataFrame) -> DataFrame:
@@ -58,18 +57,33 @@ def segment(code: Column, number: int, how: Search) -> Column:
     return F.shiftrightunsigned(code, number * width).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def masks(width: int, set_bits: int) -> Column:
-    """All numbers of ``width`` bits with ``set_bits`` set, as an array."""
-    found = (sum(1 << i for i in at) for at in itertools.combinations(range(width), set_bits))
+def masks(width: int, radii: range) -> Column:
+    """All numbers of ``width`` bits with so many bits set, as an array."""
+    found = (
+        sum(1 << i for i in at) for r in radii for at in itertools.combinations(range(width), r)
+    )
     return F.split(F.lit(",".join(map(str, found))), ",").cast("array<bigint>")
 
 
-def steps(how: Search) -> list[tuple[int, list[int], int]]:
-    """(segment distance, segments looked up, distance that is then covered)."""
-    width, m = BITS // how.segments, how.segments
-    out = [(r, list(range(m)), m * (r + 1) - 1) for r in range(min(how.together, width) + 1)]
-    out += [(r, [j], m * r + j) for r in range(how.together + 1, width + 1) for j in range(m)]
-    return [*out[:-1], (*out[-1][:2], BITS)]
+def steps(how: Search) -> list[tuple[range, int]]:
+    """(segment distances looked up, distance that is then covered)."""
+    width = BITS // how.segments
+    ends = [*range(min(how.first_radius, width), width + 1)]
+    begins = [0, *(r + 1 for r in ends[:-1])]
+    covered = [how.segments * (r + 1) - 1 for r in ends[:-1]] + [BITS]
+    return [(range(a, z + 1), c) for a, z, c in zip(begins, ends, covered, strict=True)]
+
+
+def filed(code: str, how: Search) -> Column:
+    """(number, value) of each segment of a code, to be exploded."""
+    return F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(i).alias("number"), segment(F.col(code), i, how).alias("value"))
+                for i in range(how.segments)
+            ]
+        )
+    )
 
 
 def _best(pairs: DataFrame, most: int) -> DataFrame:
@@ -83,31 +97,25 @@ def nearest_codes(queries: DataFrame, index: DataFrame, rows: int, how: Search)
     schema = "query bigint, code bigint, first_id bigint, n bigint, distance int"
     state = queries.sparkSession.createDataFrame([], schema)
     active = queries.select("query", F.lit(BITS).alias("worst"))
+    entries = stored(index.select("*", filed("code", how).alias("s")).select("*", "s.*").drop("s"), "filed")
+    # A pair is taken in the segment in which it is nearest, the first of several.
+    apart = F.col("query").bitwiseXOR(F.col("code"))
+    ranked = [F.bit_count(segment(apart, i, how)) * how.segments + i for i in range(how.segments)]
+    nearest_segment = F.least(*ranked) % how.segments if how.segments > 1 else F.lit(0)
     done: list[DataFrame] = []
-    for radius, where, covered in steps(how):
-        found = []
-        for j in where:
-            probes = active.select(
-                "query", "worst", F.explode(masks(width, radius)).alias("_mask")
-            ).withColumn("_value", segment(F.col("query"), j, how).bitwiseXOR(F.col("_mask")))
-            entries = index.withColumn("_value", segment(F.col("code"), j, how))
-            pairs = probes.join(entries.hint("merge"), "_value")
-            # Found before: another segment is nearer, or as near and looked up earlier.
-            apart = F.col("query").bitwiseXOR(F.col("code"))
-            first = F.lit(True)
-            for i in range(how.segments):
-                if i != j:
-                    near = F.bit_count(segment(apart, i, how))
-                    first &= (near > radius) | ((near == radius) & F.lit(i > j))
-            found.append(
-                pairs.where(first)
-                .withColumn("distance", F.bit_count(apart))
-                .where("distance <= worst")
-                .select("query", "code", "first_id", "n", "distance")
-            )
-        new = found[0]
-        for more in found[1:]:
-            new = new.union(more)
+    for radii, covered in steps(how):
+        probes = (
+            active.select("query", "worst", filed("query", how).alias("s"))
+            .select("query", "worst", "s.*", F.explode(masks(width, radii)).alias("_mask"))
+            .withColumn("value", F.col("value").bitwiseXOR(F.col("_mask")))
+        )
+        new = (
+            probes.join(entries.hint("merge"), ["number", "value"])
+            .where(F.col("number") == nearest_segment)
+            .withColumn("distance", F.bit_count(apart))
+            .where("distance <= worst")
+            .select("query", "code", "first_id", "n", "distance")
+        )
         # Only the best of the step meet the best so far.
         merged = state.join(active.select("query").hint("merge"), "query", "left_semi").union(_best(new, most))
         state = stored(_best(merged, most), "nearest")

@@ -173,13 +173,14 @@ def near_duplicates(docs: DataFrame, how: SimHash | None = None) -> DataFrame:
         "print", "_first", F.coalesce("component", "print").alias("component")
     )
     ids = grouped.groupBy("component").agg(F.min("_first").alias("_id"))
-    named = grouped.join(ids, "component").select("print", "_id")
+    named = grouped.join(ids, "component").select("print", "_id", "component")
     return marked.join(named, "print").select(
         "doc_id",
         *KEYS,
         F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
         F.when(F.col("_id") != BEFORE_ALL, F.col("_id")).alias("component_id"),
         F.col("_id").alias("_group"),
+        F.col("component").alias("_component"),
     )
 
 
@@ -187,7 +188,8 @@ def one_of_each(docs: DataFrame, how: SimHash | None = None) -> DataFrame:
     """The first document of each group: all columns of ``docs``, one row a group."""
     found = near_duplicates(docs, how)
     # Of a group's smallest doc_id, the row with the smallest hash of its text.
-    first = found.where(f"{KEY} = _group").groupBy(KEY).agg(F.min(TIE).alias(TIE))
+    least = found.where(f"{KEY} = _group").groupBy("_component", KEY)
+    first = least.agg(F.min(TIE).alias(TIE)).select(*KEYS)
     names = docs.columns
     own = docs.select("*", order_key().alias(KEY), F.xxhash64("text").alias(TIE))
     kept = own.join(first, list(KEYS), "left_semi")

@@ -21,13 +21,18 @@ def media_enrich(
 
     ``paths`` has one row per name: ``name``, ``path``.
     """
-    listed = paths.select("name", F.col("path").alias("_listed"))
+    listed = _one_path(paths)
     kept = [c for c in items.columns if c != "media_path"]
     return items.join(listed, "name", "left").select(
         *kept, F.coalesce("_listed", F.lit(default)).alias("media_path")
     )
 
 
+def _one_path(paths: DataFrame) -> DataFrame:
+    """One path a name, the smallest of several, so that no item is repeated."""
+    return paths.groupBy("name").agg(F.min("path").alias("_listed"))
+
+
 def media_backfill(
     units: DataFrame, paths: DataFrame, default: str = fv.DEFAULT_MEDIA_PATH
 ) -> DataFrame:
@@ -35,7 +40,7 @@ def media_backfill(
 
     Names are matched whatever the nation; a path that was set is never touched.
     """
-    listed = paths.select("name", F.col("path").alias("_listed"))
+    listed = _one_path(paths)
     current = F.col("media_path")
     filled = F.when(
         ex.is_unset(current, default), F.coalesce("_listed", F.lit(default))

@@ -34,8 +34,13 @@ def roster_list(
     )
 
 
-def latest_roster_per_nation(rosters: DataFrame) -> DataFrame:
-    """The newest roster of each nation, found by a mergeable maximum."""
+def latest_roster_per_nation(rosters: DataFrame, nations: DataFrame | None = None) -> DataFrame:
+    """The newest roster of each nation, found by a mergeable maximum.
+
+    With ``nations``, rosters of nations that do not exist are left out, as in every list.
+    """
+    if nations is not None:
+        rosters = rosters.join(nations.select("nation_id"), "nation_id", "left_semi")
     newest = F.max(F.struct("created_at", "roster_id", "title"))
     return rosters.groupBy("nation_id").agg(newest.alias("newest")).select(
         "nation_id", "newest.roster_id", "newest.title", "newest.created_at"
@@ -241,9 +246,18 @@ def available_units(
 
 
 def available_counts(
-    rosters: DataFrame, units: DataFrame, nations: DataFrame, slots: DataFrame
+    rosters: DataFrame,
+    units: DataFrame,
+    nations: DataFrame,
+    slots: DataFrame,
+    categories: DataFrame | None = None,
 ) -> DataFrame:
-    """How many units of its nation each roster could still add."""
+    """How many units of its nation each roster could still add.
+
+    With ``categories``, units of unknown categories do not count, as no search lists them.
+    """
+    if categories is not None:
+        units = units.join(categories.select("category_id"), "category_id", "left_semi")
     pool = units.groupBy("nation_id").agg(F.count(F.lit(1)).alias("nation_units"))
     held = (
         slots.select("roster_id", "unit_id")

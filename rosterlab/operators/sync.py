@@ -28,16 +28,24 @@ class DimSync:
 def sync_dims(table: DataFrame, provided: DataFrame, key: str, order_by: str = "position") -> DimSync:
     """Insert provided rows whose id is new; a stored row is never updated.
 
-    A new id whose name is taken (stored, or by an earlier provided row) is refused. Of
-    several provided rows with one id, the first in ``order_by`` counts.
+    A new id whose name is taken (stored, or by an earlier provided row) is refused, and so is a
+    row without an id or, if its id is new, without a name. Of several other provided rows with
+    one id, the first in ``order_by`` counts.
     """
     others = [c for c in table.columns if c != key]
+    unknown = provided.join(table.select(key), key, "left_anti")
+    incomplete = unknown.where(F.col(key).isNull() | F.col("name").isNull()).select(
+        key,
+        "name",
+        F.when(F.col(key).isNull(), "id_missing").otherwise("name_missing").alias("reason"),
+    )
     firsts = (
-        provided.groupBy(key)
+        unknown.where(F.col(key).isNotNull() & F.col("name").isNotNull())
+        .groupBy(key)
         .agg(F.min(F.struct(order_by, *others)).alias("r"))
         .select(key, "r.*")
     )
-    new = firsts.join(table.select(key), key, "left_anti")
+    new = firsts
     stored = table.select("name", F.lit(True).alias("_stored"), F.lit(None).alias("_at"))
     names = (
         stored.unionByName(
@@ -50,7 +58,9 @@ def sync_dims(table: DataFrame, provided: DataFrame, key: str, order_by: str = "
     wins = ~F.col("_stored") & (F.struct(order_by, key) == F.col("_first"))
     return DimSync(
         table.unionByName(judged.where(wins).select(*table.columns)),
-        judged.where(~wins).select(key, "name", F.lit("name_taken").alias("reason")),
+        judged.where(~wins)
+        .select(key, "name", F.lit("name_taken").alias("reason"))
+        .unionByName(incomplete),
     )
 
 

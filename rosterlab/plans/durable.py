@@ -1,7 +1,8 @@
 """Cutting a plan so that later stages read stored rows instead of recomputing them.
 
-The rows go to reliable storage (``DataFrame.checkpoint``), so the loss of an executor never
-loses them. The folder is the one the cluster names in ``spark.checkpoint.dir``.
+The rows go to reliable storage as Parquet, so the loss of an executor never loses them and later
+stages read only the columns they use. The folder is the one the cluster names in
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -35,5 +36,7 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = new_folder(spark, "frozen")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

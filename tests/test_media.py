@@ -63,3 +63,12 @@ def test_url(spark):
     assert df.select(media.media_url(F.col("id"), "https://host.invalid/").alias("u")).first()["u"] == (
         "https://host.invalid/m1.png"
     )
+
+
+def test_repeated_names_do_not_repeat_items(spark):
+    from rosterlab.operators.media import media_backfill
+
+    units = spark.createDataFrame([(1, "a", None), (2, "b", "set")], "unit_id int, name string, media_path string")
+    paths = spark.createDataFrame([("a", "y"), ("a", "x")], "name string, path string")
+    got = sorted((r["unit_id"], r["media_path"]) for r in media_backfill(units, paths).collect())
+    assert got == [(1, "x"), (2, "set")]

@@ -116,3 +116,18 @@ def test_refresh_runs_all_three_steps(spark, world):
     assert (found[60], found[2], found[1]) == ("n.png", "b.png", "a.png")
     assert found[8] == fv.DEFAULT_MEDIA_PATH
     assert new["spec"].count() == 7
+
+
+def test_dims_without_id_or_name_are_refused(spark):
+    schema = "nation_id int, name string, flag string"
+    stored = spark.createDataFrame([(1, "a", None)], schema)
+    provided = spark.createDataFrame(
+        [(0, 2, None, None), (1, None, "zz", None), (2, 3, "ok", None), (3, 1, None, None), (4, 2, "b", None)],
+        "position int, " + schema,
+    )
+    done = sync_dims(stored, provided, "nation_id")
+    assert sorted(r["nation_id"] for r in done.table.collect()) == [1, 2, 3]
+    assert sorted(map(tuple, done.rejected.collect()), key=repr) == [
+        (2, None, "name_missing"),
+        (None, "zz", "id_missing"),
+    ]

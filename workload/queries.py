@@ -115,7 +115,7 @@ def roster_list_of_nation(t):
 
 @query
 def latest_roster_per_nation(t):
-    return roster.latest_roster_per_nation(t.rosters)
+    return roster.latest_roster_per_nation(t.rosters, t.nations)
 
 
 @query
@@ -169,7 +169,7 @@ def slot_occupancy(t):
 
 @query
 def available_units(t):
-    newest = roster.latest_roster_per_nation(t.rosters)
+    newest = roster.latest_roster_per_nation(t.rosters, t.nations)
     listed = catalog.unit_search(t.units, t.nations, t.categories, **LABELS, sort=False)
     return roster.available_units(newest, listed, t.units, t.own_slots)
 

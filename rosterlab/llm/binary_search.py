@@ -33,7 +33,7 @@ BITS = 64
 class Search:
     k: int = 10
     segments: int = 4
-    first_radius: int = 2  # the first step looks up all segment distances up to this
+    first_radius: int = 1  # the first step looks up all segment distances up to this
 
 
 def codes(vectors: DataFrame) -> DataFrame:

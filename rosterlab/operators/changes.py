@@ -51,7 +51,7 @@ def split_seed(staged: DataFrame, order_by: str) -> dict[str, DataFrame]:
     return split_staged(number_rows(staged, [order_by], "munition_id"))
 
 
-def _flagged(keys: DataFrame, flag: str) -> DataFrame:
+def flagged(keys: DataFrame, flag: str) -> DataFrame:
     return keys.withColumn(flag, F.lit(True))
 
 
@@ -63,6 +63,29 @@ def assign_ids(df: DataFrame, order_by: str, target: DataFrame, id_column: str)
     )
 
 
+def staged_faults(
+    unit: Column | None = None, spec: Column | None = None, munition: Column | None = None
+) -> tuple[tuple[Column, str], ...]:
+    """Range and reference faults of a wide row, in the order in which they are named.
+
+    The conditions say whose values are used; by default all are. The row has flags ``_nation`` and
+    ``_category``, NULL where the referenced row does not exist.
+    """
+    unit, spec, munition = (F.lit(True) if c is None else c for c in (unit, spec, munition))
+    return (
+        (unit & ~F.col("tier").between(fv.LOWEST_TIER, fv.HIGHEST_TIER), "tier_range"),
+        (unit & (F.col("rating") < fv.LOWEST_RATING), "rating_low"),
+        (unit & (F.col("cost") < 0), "cost_negative"),
+        (
+            spec & ((F.col("front") < 0) | (F.col("side") < 0) | (F.col("rear") < 0)),
+            "armor_negative",
+        ),
+        (munition & (F.col("pen") < 0), "pen_negative"),
+        (unit & F.col("_nation").isNull(), "nation_missing"),
+        (unit & F.col("_category").isNull(), "category_missing"),
+    )
+
+
 def register_verdicts(
     batch: DataFrame, units: DataFrame, nations: DataFrame, categories: DataFrame
 ) -> DataFrame:
@@ -78,15 +101,7 @@ def register_verdicts(
     missing: Column = F.lit(False)
     for column in required:
         missing = missing | F.col(column).isNull()
-    own_fault = ex.first_reason(
-        (~F.col("tier").between(fv.LOWEST_TIER, fv.HIGHEST_TIER), "tier_range"),
-        (F.col("rating") < fv.LOWEST_RATING, "rating_low"),
-        (F.col("cost") < 0, "cost_negative"),
-        ((F.col("front") < 0) | (F.col("side") < 0) | (F.col("rear") < 0), "armor_negative"),
-        (F.col("pen") < 0, "pen_negative"),
-        (F.col("_nation").isNull(), "nation_missing"),
-        (F.col("_category").isNull(), "category_missing"),
-    )
+    own_fault = ex.first_reason(*staged_faults())
     staged = (
         batch.withColumns(
             {
@@ -96,8 +111,8 @@ def register_verdicts(
                 "munition_kind": F.coalesce("munition_kind", F.lit("")),
             }
         )
-        .join(_flagged(nations.select("nation_id"), "_nation"), "nation_id", "left")
-        .join(_flagged(categories.select("category_id"), "_category"), "category_id", "left")
+        .join(flagged(nations.select("nation_id"), "_nation"), "nation_id", "left")
+        .join(flagged(categories.select("category_id"), "_category"), "category_id", "left")
         .withColumns(
             {
                 "_key": F.lower("name"),
@@ -210,7 +225,7 @@ def roster_verdicts(
                 "target_rating": F.col("target_rating").cast("double"),
             }
         )
-        .join(_flagged(nations.select("nation_id"), "_nation"), "nation_id", "left")
+        .join(flagged(nations.select("nation_id"), "_nation"), "nation_id", "left")
         .select(*batch.columns, reason.alias("reason"))
     )
 
@@ -284,17 +299,19 @@ def slot_change_verdicts(
     """What each change would do to this snapshot if it were the only one.
 
     ``add``, ``replace``, or the reason it is refused. ``already_placed``: the unit sits in
-    another slot of the roster. Slots are matched per (roster, slot) and per (roster, unit), both
-    finer than a roster.
+    another slot of the roster and not in this one. Slots are matched per (roster, slot) and per
+    (roster, unit), both finer than a roster; the slots of a unit are one bit each.
     """
     judged = static_reason(changes, rosters, units, nations, categories)
-    held = slots.groupBy("roster_id", "slot_no").agg(F.max("unit_id").alias("_held"))
-    placed = slots.select("roster_id", "unit_id").distinct().withColumn("_placed", F.lit(True))
-    elsewhere = F.col("_placed") & ~F.col("_held").eqNullSafe(F.col("unit_id"))
+    held = slots.select("roster_id", "slot_no").distinct().withColumn("_held", F.lit(True))
+    numbered = F.col("slot_no").between(fv.FIRST_SLOT, fv.LAST_SLOT)
+    bit = F.when(numbered, F.expr("shiftleft(1, CAST(slot_no AS INT))")).otherwise(0)
+    placed = slots.groupBy("roster_id", "unit_id").agg(F.bit_or(bit).alias("_places"))
+    here = F.expr("shiftright(_places, slot_no) & 1") == 1
     verdict = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
-        .when(elsewhere, "already_placed")
-        .when(F.col("_held").isNotNull(), "replace")
+        .when(F.col("_places").isNotNull() & ~here, "already_placed")
+        .when(F.col("_held"), "replace")
         .otherwise("add")
     )
     return (

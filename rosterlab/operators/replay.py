@@ -1,118 +1,116 @@
 """Exact replay of ordered slot changes.
 
-Whether a change is taken depends on the changes before it in the same roster, so each
-roster's changes are walked in order; rosters are independent of each other. Rows are
-partitioned by roster and sorted, and each task streams through its partition holding only
-the roster at hand. A roster with more changes than ``round_rows`` is walked in several
-rounds, each starting from the stored state of the one before.
+Whether a change is taken depends on the changes before it in the same roster, but only where a
+unit is asked for, or stored, in more than one slot of that roster: only such a *contended* change
+can find its unit elsewhere. Every other change just overwrites its slot. Contended changes are
+walked in order in Python; a free change meets them only as "this slot holds no contended unit any
+more", which the first one after a contended change of the slot says for all that follow. The rest,
+the outcome of every change and the final slots, are windows and aggregates per (roster, slot).
+
+A roster all of whose changes are contended stays sequential by meaning; its task streams and
+holds the contended units of its slots alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rosterlab.operators.changes import static_reason
-from rosterlab.plans.durable import freeze, new_folder
-from rosterlab.plans.numbering import number_rows
-
-# Input of a walk: the roster's slots (step 0), then its changes (step 1) in order.
-_LANE = ("roster_id", "step", "change_ts", "change_id", "slot_no", "unit_id", "role_note")
-_WALKED = "is_slot boolean, change_id bigint, roster_id bigint, slot_no int, unit_id bigint, " \
-          "role_note string, verdict string"
-_WALKED_ARROW = pa.schema(
-    [
-        ("is_slot", pa.bool_()),
-        ("change_id", pa.int64()),
-        ("roster_id", pa.int64()),
-        ("slot_no", pa.int32()),
-        ("unit_id", pa.int64()),
-        ("role_note", pa.string()),
-        ("verdict", pa.string()),
-    ]
+from rosterlab.plans.durable import freeze
+
+_SLOT = ("roster_id", "unit_id", "slot_no", "role_note")
+_CHANGE = ("change_id", "change_ts", "roster_id", "slot_no", "unit_id")
+_LOG = ("change_id", "roster_id", "slot_no", "unit_id", "verdict")
+_WALKED = (
+    "change_id bigint, change_ts timestamp_ntz, roster_id bigint, slot_no int, unit_id bigint, "
+    "taken boolean"
 )
 # Note of a slot that was placed by a change.
 _NEW_NOTE = ""
 
 
-def place(held: dict[int, list[tuple[int, str]]], slot_no: int, unit_id: int) -> str:
-    """Apply one change to a roster's slots (slot → units in it) and name the outcome."""
+def _in_slot() -> WindowSpec:
+    """Changes of one slot in their order; the unit decides between rows that repeat an id."""
+    return Window.partitionBy("roster_id", "slot_no").orderBy("change_ts", "change_id", "unit_id")
+
+
+def place(held: dict[int, set[int]], slot_no: int, unit_id: int) -> bool:
+    """Apply one contended change to a roster's contended units by slot; False if refused."""
     here = held.get(slot_no, ())
-    if all(unit != unit_id for unit, _ in here) and any(
-        unit == unit_id for slot in held.values() for unit, _ in slot
-    ):
-        return "already_placed"
-    held[slot_no] = [(unit_id, _NEW_NOTE)]
-    return "replace" if here else "add"
+    if unit_id not in here and any(unit_id in units for units in held.values()):
+        return False
+    held[slot_no] = {unit_id}
+    return True
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     roster, held = None, {}
-
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True) if rows else [()] * len(_WALKED_ARROW)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, _WALKED_ARROW, strict=True)],
-            schema=_WALKED_ARROW,
-        )
-
-    def state() -> list[tuple]:
-        return [
-            (True, None, roster, slot_no, unit, note, None)
-            for slot_no, units in held.items()
-            for unit, note in units
-        ]
-
+    names = ("roster_id", "step", "slot_no", "unit_id", "contended")
     for batch in batches:
-        out = []
-        names = ("roster_id", "step", "change_id", "slot_no", "unit_id", "role_note")
+        taken: list[bool | None] = []
         for row in zip(*[batch.column(n).to_pylist() for n in names], strict=True):
-            this_roster, step, change_id, slot_no, unit_id, note = row
+            this_roster, step, slot_no, unit_id, contended = row
             if this_roster != roster:
-                out += state()
                 roster, held = this_roster, {}
+            outcome = None
             if step == 0:
-                held.setdefault(slot_no, []).append((unit_id, note))
+                held.setdefault(slot_no, set()).add(unit_id)
+            elif contended:
+                outcome = place(held, slot_no, unit_id)
             else:
-                verdict = place(held, slot_no, unit_id)
-                out.append((False, change_id, roster, slot_no, unit_id, None, verdict))
-        yield emit(out)
-    yield emit(state())
+                held.pop(slot_no, None)
+            taken.append(outcome)
+        flags = pa.array(taken, pa.bool_())
+        walked = pa.RecordBatch.from_arrays(
+            [*[batch.column(n) for n in _CHANGE], flags], names=[*_CHANGE, "taken"]
+        )
+        yield walked.filter(pc.is_valid(flags))
 
 
-def _replay_once(slots: DataFrame, movable: DataFrame) -> DataFrame:
-    """Walk all changes of ``movable`` over the slots of the rosters they touch."""
-    touched = slots.join(movable.select("roster_id").distinct(), "roster_id", "left_semi")
-    start = touched.select(
-        "roster_id",
-        F.lit(0).alias("step"),
-        F.lit(None).cast("timestamp_ntz").alias("change_ts"),
-        F.lit(None).cast("bigint").alias("change_id"),
-        F.col("slot_no").cast("int").alias("slot_no"),
-        "unit_id",
-        "role_note",
+def contended_pairs(slots: DataFrame, movable: DataFrame) -> DataFrame:
+    """(roster, unit) pairs that a change asks for and that meet more than one slot number."""
+    asked = movable.groupBy("roster_id", "unit_id").agg(
+        F.min("slot_no").alias("_low"), F.max("slot_no").alias("_high")
     )
-    moves = movable.select(
+    # A stored slot without a number is a place of its own.
+    number = F.coalesce(F.col("slot_no"), F.lit(-1))
+    stored = slots.groupBy("roster_id", "unit_id").agg(
+        F.min(number).alias("_stored_low"), F.max(number).alias("_stored_high")
+    )
+    return (
+        asked.join(stored, ["roster_id", "unit_id"], "left")
+        .where(F.least("_low", "_stored_low") < F.greatest("_high", "_stored_high"))
+        .select("roster_id", "unit_id")
+    )
+
+
+def walk_input(slots: DataFrame, flagged: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What the walk has to see: where contended units are, then (step 1) changes in order."""
+    start = slots.join(pairs, ["roster_id", "unit_id"], "left_semi").select(
+        "roster_id", "slot_no", "unit_id"
+    ).distinct().select(
+        F.lit(None).cast("bigint").alias("change_id"),
+        F.lit(None).cast("timestamp_ntz").alias("change_ts"),
         "roster_id",
-        F.lit(1).alias("step"),
-        "change_ts",
-        "change_id",
         F.col("slot_no").cast("int").alias("slot_no"),
         "unit_id",
-        F.lit(None).cast("string").alias("role_note"),
+        F.lit(False).alias("contended"),
+        F.lit(0).alias("step"),
     )
-    lane = start.unionByName(moves).select(*_LANE)
-    return (
-        lane.repartition("roster_id")
-        .sortWithinPartitions("roster_id", "step", "change_ts", "change_id", "slot_no", "unit_id")
-        .select("roster_id", "step", "change_id", "slot_no", "unit_id", "role_note")
-        .mapInArrow(_walk, _WALKED)
+    follows_free = F.lag(~F.col("contended")).over(_in_slot())
+    moves = (
+        flagged.join(pairs.select("roster_id").distinct(), "roster_id", "left_semi")
+        .withColumn("_seen", F.coalesce(follows_free, F.lit(False)) & ~F.col("contended"))
+        .where("NOT _seen")
+        .select(*_CHANGE, "contended", F.lit(1).alias("step"))
     )
+    return start.unionByName(moves)
 
 
 @dataclass(frozen=True)
@@ -123,9 +121,6 @@ class Replay:
     log: DataFrame
 
 
-_LOG = ("change_id", "roster_id", "slot_no", "unit_id", "verdict")
-
-
 def apply_slot_changes(
     slots: DataFrame,
     changes: DataFrame,
@@ -133,58 +128,61 @@ def apply_slot_changes(
     units: DataFrame,
     nations: DataFrame,
     categories: DataFrame,
-    round_rows: int = 2_000_000,
     store: bool = False,
 ) -> Replay:
     """Apply changes in (change_ts, change_id) order, as if one after the other.
 
-    Changes that are refused whatever the slots hold never enter the walk. Slots of rosters
-    without a change are passed through as they are. ``store`` keeps the outcome of the walk in
-    the shared folder, for callers that read both the slots and the log.
+    Changes that are refused whatever the slots hold take no part. Slots that no change takes are
+    passed through as they are. ``store`` keeps the outcomes in the shared folder, for callers
+    that read both the slots and the log.
     """
     judged = freeze(static_reason(changes, rosters, units, nations, categories))
-    movable = judged.where(F.col("reason").isNull()).drop("reason")
     refused = judged.where(F.col("reason").isNotNull()).withColumn("verdict", F.col("reason"))
-    columns = ["roster_id", "unit_id", "slot_no", "role_note"]
-    base = slots.select(*columns)
-    untouched = base.join(movable.select("roster_id").distinct(), "roster_id", "left_anti")
-
-    longest = (
-        movable.groupBy("roster_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    movable = judged.where(F.col("reason").isNull()).select(
+        F.col("change_id").cast("bigint").alias("change_id"),
+        "change_ts",
+        F.col("roster_id").cast("bigint").alias("roster_id"),
+        F.col("slot_no").cast("int").alias("slot_no"),
+        F.col("unit_id").cast("bigint").alias("unit_id"),
+    )
+    base = slots.select(*_SLOT)
+    pairs = freeze(contended_pairs(base, movable))
+    flagged = movable.join(
+        pairs.withColumn("contended", F.lit(True)), ["roster_id", "unit_id"], "left"
+    ).withColumn("contended", F.coalesce("contended", F.lit(False)))
+    walked = (
+        walk_input(base, flagged, pairs)
+        .repartition("roster_id")
+        .sortWithinPartitions("roster_id", "step", "change_ts", "change_id", "unit_id", "slot_no")
+        .mapInArrow(_walk, _WALKED)
+    )
+    free = flagged.where("NOT contended").select(*_CHANGE, F.lit(True).alias("taken"))
+    decided = free.unionByName(walked)
+    if store:
+        decided = freeze(decided)
+
+    last = (
+        decided.where("taken")
+        .groupBy("roster_id", "slot_no")
+        .agg(F.max_by("unit_id", F.struct("change_ts", "change_id", "unit_id")).alias("unit_id"))
+        .withColumn("role_note", F.lit(_NEW_NOTE))
+    )
+    kept = base.join(last.select("roster_id", "slot_no"), ["roster_id", "slot_no"], "left_anti")
+    filled = base.select("roster_id", "slot_no").distinct().withColumn("_filled", F.lit(True))
+    taken_so_far = F.sum(F.col("taken").cast("int")).over(
+        _in_slot().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    verdict = (
+        F.when(~F.col("taken"), "already_placed")
+        .when(F.col("_filled") | (F.col("_nth") > 1), "replace")
+        .otherwise("add")
+    )
+    outcomes = (
+        decided.withColumn("_nth", taken_so_far)
+        .join(filled, ["roster_id", "slot_no"], "left")
+        .withColumn("verdict", verdict)
     )
-    if longest <= round_rows:
-        walked = _replay_once(base, movable)
-        if store:
-            walked = freeze(walked)
-        moved, log = walked.where("is_slot"), walked.where("NOT is_slot")
-    else:
-        moved, log = _replay_in_rounds(base, movable, round_rows, longest)
     return Replay(
-        untouched.select(*columns).unionByName(moved.select(*columns)),
-        refused.select(*_LOG).unionByName(log.select(*_LOG)),
+        kept.select(*_SLOT).unionByName(last.select(*_SLOT)),
+        refused.select(*_LOG).unionByName(outcomes.select(*_LOG)),
     )
-
-
-def _replay_in_rounds(
-    slots: DataFrame, movable: DataFrame, round_rows: int, longest: int
-) -> tuple[DataFrame, DataFrame]:
-    """Same result, with at most ``round_rows`` changes of a roster per round."""
-    numbered = number_rows(movable, ["roster_id", "change_ts", "change_id"], "_n")
-    first = numbered.groupBy("roster_id").agg(F.min("_n").alias("_first"))
-    turn_of = F.expr(f"CAST((_n - _first) DIV {round_rows} AS INT)")
-    # One folder per round, so that a round reads only its own changes.
-    spark = movable.sparkSession
-    folder = new_folder(spark, "replay")
-    numbered.join(first, "roster_id").withColumn("_round", turn_of).select(
-        *movable.columns, "_round"
-    ).write.partitionBy("_round").parquet(folder)
-    laid = spark.read.parquet(folder)
-    state, finished, logs = slots, [], []
-    for turn in range((longest + round_rows - 1) // round_rows):
-        due = laid.where(F.col("_round") == turn).select(*movable.columns)
-        walked = freeze(_replay_once(state, due))
-        logs.append(walked.where("NOT is_slot"))
-        state = walked.where("is_slot").select("roster_id", "unit_id", "slot_no", "role_note")
-        more = laid.where(F.col("_round") == turn + 1).select("roster_id").distinct()
-        finished.append(state.join(more, "roster_id", "left_anti"))
-    return reduce(DataFrame.unionByName, finished), reduce(DataFrame.unionByName, logs)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlab.functions import fixed_values as fv
-from rosterlab.operators.catalog import Labels, category_names, nation_names
+from rosterlab.operators.catalog import Labels, category_names, known_units, nation_names
 
 SLOT_NUMBERS = range(fv.FIRST_SLOT, fv.LAST_SLOT + 1)
 
@@ -250,14 +250,13 @@ def available_counts(
     units: DataFrame,
     nations: DataFrame,
     slots: DataFrame,
-    categories: DataFrame | None = None,
+    categories: DataFrame,
 ) -> DataFrame:
     """How many units of its nation each roster could still add.
 
-    With ``categories``, units of unknown categories do not count, as no search lists them.
+    Units of unknown nations or categories do not count, as no search lists them.
     """
-    if categories is not None:
-        units = units.join(categories.select("category_id"), "category_id", "left_semi")
+    units = known_units(units, nations, categories)
     pool = units.groupBy("nation_id").agg(F.count(F.lit(1)).alias("nation_units"))
     held = (
         slots.select("roster_id", "unit_id")

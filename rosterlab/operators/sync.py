@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlab.functions import expressions as ex
 from rosterlab.functions import fixed_values as fv
+from rosterlab.operators.changes import flagged, staged_faults
 from rosterlab.operators.media import media_backfill
 from rosterlab.plans.durable import freeze
 from rosterlab.plans.numbering import highest, number_rows
@@ -74,6 +76,10 @@ class UnitSync:
 
     ``provided`` has the staged columns, ``preferred_id`` and ``order_by``; several rows for one
     unit count in that order: the first gives the values, later ones can only fill the path.
+
+    A row is refused as a whole, with its reason in ``rejected``, if a value that it would have to
+    give is missing or breaks a rule of the tables: the unit's for a new unit, the spec's or the
+    munition's where the unit has none yet. Refused rows take no part in anything else.
     """
 
     def __init__(
@@ -82,14 +88,59 @@ class UnitSync:
         specs: DataFrame,
         munitions: DataFrame,
         provided: DataFrame,
+        nations: DataFrame,
+        categories: DataFrame,
         default: str = fv.DEFAULT_MEDIA_PATH,
         order_by: str = "position",
     ):
         self._units, self._specs, self._munitions = units, specs, munitions
+        self._nations, self._categories = nations, categories
         self._provided, self._default, self._order = provided, default, order_by
         taken = (*_MATCH, order_by, "media_path", "preferred_id")
         self._values = [c for c in provided.columns if c not in taken]
 
+    @cached_property
+    def _judged(self) -> DataFrame:
+        """Provided rows with the stored unit's id (NULL: new) and ``_reason`` (NULL: accepted)."""
+        shown = self._munitions.where("is_representative").select("unit_id").distinct()
+        stored = (
+            self._units.groupBy(*_MATCH)
+            .agg(F.min("unit_id").alias("unit_id"))
+            .join(flagged(self._specs.select("unit_id").distinct(), "_has_spec"), "unit_id", "left")
+            .join(flagged(shown, "_has_shot"), "unit_id", "left")
+            .withColumnRenamed("unit_id", "_stored_id")
+        )
+        new = F.col("_stored_id").isNull()
+        no_spec, no_shot = F.col("_has_spec").isNull(), F.col("_has_shot").isNull()
+
+        def absent(*columns: str) -> Column:
+            return reduce(or_, (F.col(c).isNull() for c in columns))
+
+        missing = (
+            F.col("nation_id").isNull()
+            | (new & absent("category_id", "tier", "rating", "cost"))
+            | (no_spec & absent("front", "side", "rear"))
+            | (no_shot & absent("munition_name", "pen"))
+        )
+        reason = ex.first_reason(
+            (F.col("name").isNull(), "name_missing"),
+            (missing, "value_missing"),
+            *staged_faults(new, no_spec, no_shot),
+        )
+        return (
+            self._provided.join(stored, _MATCH, "left")
+            .join(flagged(self._nations.select("nation_id"), "_nation"), "nation_id", "left")
+            .join(flagged(self._categories.select("category_id"), "_category"), "category_id", "left")
+            .select(*self._provided.columns, "_stored_id", reason.alias("_reason"))
+        )
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        """Refused provided rows: their place, nation, name and the reason."""
+        return self._judged.where("_reason IS NOT NULL").select(
+            self._order, *_MATCH, F.col("_reason").alias("reason")
+        )
+
     @cached_property
     def _offers(self) -> DataFrame:
         """One row per provided unit: its first row and the path that the rows amount to.
@@ -98,25 +149,29 @@ class UnitSync:
         """
         path_set = ~ex.is_unset(F.col("media_path"), self._default)
         return (
-            self._provided.groupBy(*_MATCH)
+            self._judged.where("_reason IS NULL")
+            .groupBy(*_MATCH)
             .agg(
+                F.min("_stored_id").alias("_stored_id"),
                 F.min(F.struct(self._order, "preferred_id", *self._values)).alias("r"),
                 F.min_by("media_path", F.when(path_set, F.col(self._order))).alias("_set_path"),
                 F.max_by("media_path", self._order).alias("_last_path"),
             )
-            .select(*_MATCH, "r.*", F.coalesce("_set_path", "_last_path").alias("_offered_path"))
+            .select(
+                *_MATCH, "_stored_id", "r.*",
+                F.coalesce("_set_path", "_last_path").alias("_offered_path"),
+            )
         )
 
     @cached_property
     def _known(self) -> DataFrame:
         """Offers for stored units, with the stored id."""
-        stored = self._units.groupBy(*_MATCH).agg(F.min("unit_id").alias("unit_id"))
-        return self._offers.join(stored, _MATCH)
+        return self._offers.where("_stored_id IS NOT NULL").withColumnRenamed("_stored_id", "unit_id")
 
     @cached_property
     def _added(self) -> DataFrame:
         """Offers for new units, with the id that each one gets."""
-        fresh = self._offers.join(self._units.select(*_MATCH), _MATCH, "left_anti")
+        fresh = self._offers.where("_stored_id IS NULL").drop("_stored_id")
         # Of the rows that prefer one id the first may have it, unless a stored unit has it.
         free = (
             fresh.groupBy("preferred_id")
@@ -193,12 +248,15 @@ def refresh(
     ``stored`` and ``provided`` hold nation, category and unit (provided: wide rows), ``stored``
     also spec and munition; provided rows carry their ``position``. ``paths`` lists media by name.
     """
+    nations = sync_dims(stored["nation"], provided["nation"], "nation_id").table
+    categories = sync_dims(stored["category"], provided["category"], "category_id").table
     units = UnitSync(
-        stored["unit"], stored["spec"], stored["munition"], provided["unit"], default
+        stored["unit"], stored["spec"], stored["munition"], provided["unit"], nations, categories,
+        default,
     )
     return {
-        "nation": sync_dims(stored["nation"], provided["nation"], "nation_id").table,
-        "category": sync_dims(stored["category"], provided["category"], "category_id").table,
+        "nation": nations,
+        "category": categories,
         "unit": media_backfill(units.unit, paths, default),
         "spec": units.spec,
         "munition": units.munition,

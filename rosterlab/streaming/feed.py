@@ -1,7 +1,7 @@
 """Slot changes as a stream: every micro-batch is one exact replay onto the stored slots.
 
 Below ``target``, ``slots/version=N/bucket=B`` holds all slots of each roster that version N
-touched, and ``log/version=N`` the outcome of its changes; a roster's slots are those of its
+touched, and ``log/version=N/bucket=B`` the outcome of its changes; a roster's slots are those of its
 newest version. Version 0 is the start. Micro-batch ``b`` reads the versions up to ``b``, only the
 buckets its rosters fall in, and writes version ``b + 1``. A batch that is run again after a
 failure reads the same versions and overwrites its own, so a retry changes nothing.
@@ -25,6 +25,11 @@ _STORED = (
     f"changed {_STAMP}, version int, bucket int"
 )
 
+_LOGGED = (
+    "change_id bigint, roster_id bigint, slot_no int, unit_id bigint, verdict string, "
+    "change_ts timestamp_ntz, version int, bucket int"
+)
+
 
 def _newest(slots: DataFrame) -> DataFrame:
     """Of every roster, the rows of its newest version."""
@@ -65,36 +70,54 @@ class SlotFeed:
         spark = self.rosters.sparkSession
         return spark.read.schema(_STORED).parquet(self._path("slots"))
 
+    def _write_log(self, log: DataFrame, version: int) -> None:
+        log.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode(
+            "overwrite"
+        ).partitionBy("bucket").parquet(f"{self._path('log')}/version={version}")
+
+    def _read_log(self) -> DataFrame:
+        return self.rosters.sparkSession.read.schema(_LOGGED).parquet(self._path("log"))
+
     def start(self, slots: DataFrame) -> None:
         """Write version 0: the slots before the first change, none of them changed yet."""
         self._write_slots(slots.withColumn("changed", F.lit(None).cast(_STAMP)), 0)
+        nothing = self.rosters.sparkSession.createDataFrame([], _LOGGED)
+        self._write_log(nothing.drop("version", "bucket"), 0)
 
     def compact(self, into: SlotFeed) -> None:
-        """Write the present slots as version 0 of another feed, which goes on from there."""
+        """Write the present slots and the log as version 0 of another feed, which goes on from there."""
         into._write_slots(_newest(self._read_slots()), 0)
+        into._write_log(self._read_log().drop("version", "bucket"), 0)
 
     def slots(self) -> DataFrame:
         """The slots of all rosters as they are now."""
         return _newest(self._read_slots()).select(*_SLOT)
 
     def log(self) -> DataFrame:
-        """Outcome of every change so far, with the version that it led to."""
-        return self.rosters.sparkSession.read.parquet(self._path("log"))
+        """Outcome of every change so far, with the version that it led to.
+
+        What a compaction brought along, as version 0, only tells repeats and is not shown.
+        """
+        return self._read_log().where("version > 0").drop("bucket")
 
     def apply_batch(self, batch: DataFrame, batch_id: int) -> None:
         """Replay one micro-batch. A change older than the last one of its slot is ``stale``.
 
-        ``batch`` must be stored rows (see ``freeze``), as it is read several times.
+        A change whose id is in the log already, whatever its outcome was, is dropped: it counts
+        once however often and however late it is delivered. ``batch`` must be stored rows (see
+        ``freeze``), as it is read several times.
         """
-        touched = batch.select("roster_id").distinct()
         # At most ``buckets`` small numbers reach the driver; they prune the folders to read.
-        found = touched.select(self._bucket().alias("b")).distinct().collect()
+        found = batch.select(self._bucket().alias("b")).distinct().collect()
+        earlier = (F.col("version") <= batch_id) & F.col("bucket").isin([row["b"] for row in found])
+        known = self._read_log().where(earlier).select("change_id")
+        batch = freeze(
+            batch.dropDuplicates(["change_id"]).join(known, "change_id", "left_anti")
+        )
+        touched = batch.select("roster_id").distinct()
         before = freeze(
             _newest(
-                self._read_slots()
-                .where(F.col("version") <= batch_id)
-                .where(F.col("bucket").isin([row["b"] for row in found]))
-                .join(touched, "roster_id", "left_semi")
+                self._read_slots().where(earlier).join(touched, "roster_id", "left_semi")
             ).select(*_SLOT, "changed")
         )
         stamps = before.where("changed IS NOT NULL").groupBy("roster_id", "slot_no").agg(
@@ -126,7 +149,7 @@ class SlotFeed:
             .join(stamps, ["roster_id", "slot_no"], "left")
             .withColumn("changed", F.coalesce("_new", "changed").cast(_STAMP))
         )
-        log.write.mode("overwrite").parquet(f"{self._path('log')}/version={batch_id + 1}")
+        self._write_log(log, batch_id + 1)
         self._write_slots(after, batch_id + 1)
 
     def run(
@@ -134,9 +157,9 @@ class SlotFeed:
     ) -> StreamingQuery:
         """Start the feed over a streaming ``changes`` and process everything available.
 
-        A change delivered again within ``repeat_window`` is dropped by its id. The watermark is
-        on the time of arrival, not on ``change_ts``, so no late change is lost; a repeat that
-        comes later still meets the stale rule.
+        A change delivered again within ``repeat_window`` is dropped before it reaches a batch, one
+        that comes later by the log: the window changes the cost, not the result. The watermark is
+        on the time of arrival, not on ``change_ts``, so no late change is lost.
         """
         once = (
             changes.withColumn("arrived_at", F.current_timestamp())

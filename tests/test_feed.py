@@ -101,3 +101,20 @@ def test_a_batch_run_again_gives_the_same_version(spark, world, open_feed):
     before = rows(feed.slots()), rows(feed.log())
     feed.apply_batch(batch, 0)
     assert (rows(feed.slots()), rows(feed.log())) == before
+
+
+def test_a_refused_change_delivered_again_stays_refused(spark, world, open_feed):
+    feed = open_feed("refused")
+    feed.start(world["slot"])
+    first = (1, START, 1, 7, 1)  # unit 1 sits in slot 1
+    freeing = (2, START + timedelta(minutes=1), 1, 1, 4)
+    feed.apply_batch(spark.createDataFrame([first, freeing], CHANGE), 0)
+    slots, log = rows(feed.slots()), rows(feed.log(), "change_id", "verdict")
+    assert log == [(1, "already_placed"), (2, "replace")]
+    # No repeat window is at work here: the log alone has to tell.
+    feed.apply_batch(spark.createDataFrame([first, first], CHANGE), 1)
+    assert (rows(feed.slots()), rows(feed.log(), "change_id", "verdict")) == (slots, log)
+    moved = open_feed("refused-compacted")
+    feed.compact(moved)
+    moved.apply_batch(spark.createDataFrame([first], CHANGE), 0)
+    assert rows(moved.slots()) == slots

@@ -3,7 +3,8 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from rosterlab.operators.replay import apply_slot_changes
+from rosterlab.operators.changes import slot_change_verdicts
+from rosterlab.operators.replay import apply_slot_changes, contended_pairs, walk_input
 from tests.conftest import rows
 
 START = datetime(2024, 1, 1)
@@ -59,10 +60,10 @@ def busy(spark, make):
     return tables, one_by_one(slots, changes, rosters, units)
 
 
-@pytest.mark.parametrize("round_rows", [2_000_000, 40])
-def test_replay_equals_one_by_one(busy, round_rows):
+@pytest.mark.parametrize("store", [False, True])
+def test_replay_equals_one_by_one(busy, store):
     tables, (slots, log) = busy
-    result = apply_slot_changes(*tables, round_rows=round_rows)
+    result = apply_slot_changes(*tables, store=store)
     assert rows(result.slots, "roster_id", "unit_id", "slot_no", "role_note") == sorted(
         slots, key=repr
     )
@@ -98,3 +99,49 @@ def test_no_changes_at_all(spark, world):
     )
     assert rows(done.slots, "roster_id", "slot_no") == rows(world["slot"], "roster_id", "slot_no")
     assert done.log.count() == 0
+
+
+def test_few_rows_of_a_hot_roster_are_walked(spark, make):
+    """A third of the changes in one roster, of which only unit 500 is asked for in two slots."""
+    rng = random.Random(5)
+    n = 6000
+    changes = []
+    for i in range(n):
+        roster = 1 if i % 3 == 0 else 2 + i % 900
+        slot = rng.randrange(1, 11)
+        unit = 500 if roster == 1 and i % 600 == 0 else slot * 20 + rng.randrange(20)
+        changes.append((i, START + timedelta(seconds=i), roster, slot, unit))
+    slots = [(1, 25, 1, "old")]
+    rosters = {r: 1 for r in range(1, 1000)}
+    units = {u: 1 for u in range(1, 501)}
+    stored = make("slot", slots)
+    frame = spark.createDataFrame(changes, CHANGE)
+    done = apply_slot_changes(
+        stored, frame,
+        make("roster", [(r, 1, "t", "Arcade", 1.0, START) for r in rosters]),
+        make("unit", [(u, 1, 1, f"u{u}", 1, 1.0, 1, None) for u in units]),
+        make("nation", [(1, "a", None)]), make("category", [(1, "c", None)]),
+    )
+    expected, log = one_by_one(slots, changes, rosters, units)
+    assert rows(done.slots, "roster_id", "unit_id", "slot_no", "role_note") == sorted(
+        expected, key=repr
+    )
+    assert dict(rows(done.log, "change_id", "verdict")) == log
+    pairs = contended_pairs(stored, frame)
+    assert rows(pairs) == [(1, 500)]
+    flagged = frame.selectExpr("*", "roster_id = 1 AND unit_id = 500 AS contended")
+    contended = flagged.where("contended").count()
+    # Each contended change is followed by at most one free change of its slot.
+    assert walk_input(stored, flagged, pairs).count() <= 2 * contended + 10
+
+
+def test_a_slot_with_several_units_counts_each_of_them(spark, make, world):
+    slots = make("slot", [(1, 1, 1, "a"), (1, 3, 1, "b")])
+    others = (world["roster"], world["unit"], world["nation"], world["category"])
+    for unit in (1, 3):
+        change = spark.createDataFrame([(1, START, 1, 1, unit), (2, START, 1, 2, unit)], CHANGE)
+        verdicts = dict(rows(slot_change_verdicts(change, slots, *others), "change_id", "verdict"))
+        assert verdicts == {1: "replace", 2: "already_placed"}
+        done = apply_slot_changes(slots, change, *others)
+        assert dict(rows(done.log, "change_id", "verdict")) == verdicts
+        assert rows(done.slots, "slot_no", "unit_id") == [(1, unit)]

@@ -88,7 +88,9 @@ def test_available_units_and_counts_agree(world):
     held = detail(world).select("roster_id", "unit_id")
     assert free.join(held, ["roster_id", "unit_id"], "left_semi").isEmpty()
     known = catalog.known_units(world["unit"], world["nation"], world["category"])
-    counts = roster.available_counts(world["roster"], known, world["nation"], world["slot"])
+    counts = roster.available_counts(
+        world["roster"], world["unit"], world["nation"], world["slot"], world["category"]
+    )
     per_roster = free.groupBy("roster_id").agg(F.count(F.lit(1)).alias("n"))
     assert rows(counts) == rows(per_roster)
 

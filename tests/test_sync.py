@@ -16,7 +16,7 @@ def offer(position, preferred, name, nation=1, path="p.png"):
 def synced(spark, world, *offers):
     return UnitSync(
         world["unit"], world["spec"], world["munition"],
-        spark.createDataFrame(list(offers), PROVIDED),
+        spark.createDataFrame(list(offers), PROVIDED), world["nation"], world["category"],
     )
 
 
@@ -72,7 +72,7 @@ def test_syncing_twice_equals_once(spark, world):
     offers = [offer(1, 1, "w"), offer(2, 50, "v"), offer(3, 50, "u"), offer(4, 2, "Beta")]
     once = synced(spark, world, *offers)
     state = {"unit": once.unit, "spec": once.spec, "munition": once.munition}
-    twice = synced(spark, state, *offers)
+    twice = synced(spark, world | state, *offers)
     for name, before in state.items():
         assert rows(getattr(twice, name)) == rows(before)
 
@@ -131,3 +131,29 @@ def test_dims_without_id_or_name_are_refused(spark):
         (2, None, "name_missing"),
         (None, "zz", "id_missing"),
     ]
+
+
+def test_units_that_break_a_rule_are_refused(spark, world):
+    def broken(position, called, **values):
+        names = [field.split()[0] for field in PROVIDED.split(", ")]
+        row = dict(zip(names, offer(position, 100 + position, called), strict=True)) | values
+        return tuple(row[n] for n in names)
+
+    faults = [
+        ("name_missing", {"name": None}), ("value_missing", {"nation_id": None}),
+        ("value_missing", {"tier": None}), ("tier_range", {"tier": 99}),
+        ("rating_low", {"rating": -3.0}), ("cost_negative", {"cost": -1}),
+        ("armor_negative", {"side": -1}), ("pen_negative", {"pen": -1}),
+        ("nation_missing", {"nation_id": 77}), ("category_missing", {"category_id": 5555}),
+    ]
+    offers = [broken(i, f"bad {i}", **values) for i, (_, values) in enumerate(faults)]
+    # For a stored unit only what it lacks is looked at: Alpha has a spec and a munition.
+    offers += [broken(50, "Alpha", tier=99, side=-1, pen=None), broken(51, "bad 3")]
+    done = synced(spark, world, *offers)
+    assert rows(done.rejected, "position", "reason") == sorted(
+        ((i, reason) for i, (reason, _) in enumerate(faults)), key=repr
+    )
+    # The later row of the same name is valid and gives the values.
+    assert rows(done.unit.where("unit_id > 9"), "unit_id", "name", "tier") == [(151, "bad 3", 1)]
+    assert done.spec.where("unit_id > 9").count() == 1
+    assert done.munition.where("unit_id > 9").count() == 1

@@ -233,7 +233,7 @@ JUDGED = """
         FROM judged WHERE reason IS NULL)"""
 
 GONE = """
-    used AS (SELECT DISTINCT unit_id FROM {own_slots}),
+    used AS (SELECT DISTINCT unit_id FROM {slots}),
     gone AS (SELECT unit_id FROM {delete_requests}
              WHERE unit_id NOT IN (SELECT unit_id FROM used))"""
 
@@ -462,15 +462,20 @@ SOURCES = {
         FROM newest w JOIN {{units}} u ON w.nation_id = u.nation_id
         JOIN {{nations}} n ON u.nation_id = n.nation_id
         JOIN {{categories}} c ON u.category_id = c.category_id
-        WHERE NOT EXISTS (SELECT 1 FROM {{own_slots}} s
+        WHERE NOT EXISTS (SELECT 1 FROM {{slots}} s
                           WHERE s.roster_id = w.roster_id AND s.unit_id = u.unit_id)""",
     "available_counts": """
-        SELECT r.roster_id, (SELECT COUNT(*) FROM {units} u WHERE u.nation_id = r.nation_id)
-               - COUNT(DISTINCT h.unit_id) AS available_count
-        FROM {rosters} r LEFT JOIN {own_slots} h ON r.roster_id = h.roster_id
+        WITH listed AS (
+            SELECT u.unit_id, u.nation_id FROM {units} u
+            WHERE u.nation_id IN (SELECT nation_id FROM {nations})
+              AND u.category_id IN (SELECT category_id FROM {categories}))
+        SELECT r.roster_id, (SELECT COUNT(*) FROM listed u WHERE u.nation_id = r.nation_id)
+               - COUNT(DISTINCT u.unit_id) AS available_count
+        FROM {rosters} r LEFT JOIN {slots} h ON r.roster_id = h.roster_id
+        LEFT JOIN listed u ON u.unit_id = h.unit_id AND u.nation_id = r.nation_id
         GROUP BY r.roster_id, r.nation_id""",
     "units_in_use": """
-        SELECT unit_id, name FROM {units} WHERE unit_id IN (SELECT unit_id FROM {own_slots})""",
+        SELECT unit_id, name FROM {stock} WHERE unit_id IN (SELECT unit_id FROM {slots})""",
     "stale_selection": """
         SELECT * FROM {selections} x WHERE NOT EXISTS (
             SELECT 1 FROM {rosters} r
@@ -529,12 +534,12 @@ SOURCES = {
                rear, munition_id, munition_name, pen
         FROM accepted""",
     "delete_units_remaining": f"""
-        WITH {GONE} SELECT unit_id, name FROM {{units}}
+        WITH {GONE} SELECT unit_id, name FROM {{stock}}
         WHERE unit_id NOT IN (SELECT unit_id FROM gone)""",
     "delete_units_specs": f"""
-        WITH {GONE} SELECT * FROM {{specs}} WHERE unit_id NOT IN (SELECT unit_id FROM gone)""",
+        WITH {GONE} SELECT * FROM {{stock_specs}} WHERE unit_id NOT IN (SELECT unit_id FROM gone)""",
     "delete_units_munitions": f"""
-        WITH {GONE} SELECT * FROM {{munitions}} WHERE unit_id NOT IN (SELECT unit_id FROM gone)""",
+        WITH {GONE} SELECT * FROM {{stock_munitions}} WHERE unit_id NOT IN (SELECT unit_id FROM gone)""",
     "delete_units_rejected": f"""
         WITH {GONE} SELECT DISTINCT unit_id, 'in_use' AS reason FROM {{delete_requests}}
         WHERE unit_id IN (SELECT unit_id FROM used)""",
@@ -558,6 +563,17 @@ SOURCES = {
                     WHEN h.unit_id IS NOT NULL THEN 'replace' ELSE 'add' END AS verdict
         FROM static c LEFT JOIN {{slot_clean}} h
           ON c.roster_id = h.roster_id AND c.slot_no = h.slot_no""",
+    "slot_change_verdicts_repeats": f"""
+        WITH {STATIC}
+        SELECT c.change_id, c.roster_id, c.slot_no, c.unit_id,
+               CASE WHEN reason IS NOT NULL THEN reason
+                    WHEN (c.roster_id, c.unit_id) IN (SELECT (roster_id, unit_id) FROM {{slots}})
+                         AND (c.roster_id, c.unit_id, c.slot_no)
+                             NOT IN (SELECT (roster_id, unit_id, slot_no) FROM {{slots}})
+                        THEN 'already_placed'
+                    WHEN (c.roster_id, c.slot_no) IN (SELECT (roster_id, slot_no) FROM {{slots}})
+                        THEN 'replace' ELSE 'add' END AS verdict
+        FROM static c""",
     "apply_slot_changes": WALKED_SLOTS,
     "apply_slot_changes_log": f"""{WALK}
         SELECT change_id, roster_id, slot_no, unit_id, reason AS verdict FROM static
@@ -578,6 +594,35 @@ SOURCES = {
         WITH {OWNER_NEW}
         SELECT owner_id, name, note FROM {{owners}}
         UNION ALL SELECT owner_id, name, note FROM judged WHERE NOT taken""",
+    "sync_units_rejected": """
+        WITH j AS (
+            SELECT p.*, s.id IS NULL AS is_new,
+                   s.id IS NULL OR s.id NOT IN (SELECT unit_id FROM {old_specs}) AS no_spec,
+                   s.id IS NULL OR s.id NOT IN (
+                       SELECT unit_id FROM {old_munitions} WHERE is_representative) AS no_shot
+            FROM {faulty_units} p LEFT JOIN (
+                SELECT nation_id, name, MIN(unit_id) AS id FROM {old_units}
+                GROUP BY nation_id, name) s
+              ON p.nation_id = s.nation_id AND p.name = s.name),
+        named AS (
+            SELECT position, nation_id, name, CASE
+                WHEN name IS NULL THEN 'name_missing'
+                WHEN nation_id IS NULL
+                     OR is_new AND (category_id IS NULL OR tier IS NULL OR rating IS NULL
+                                    OR cost IS NULL)
+                     OR no_spec AND (front IS NULL OR side IS NULL OR rear IS NULL)
+                     OR no_shot AND (munition_name IS NULL OR pen IS NULL) THEN 'value_missing'
+                WHEN is_new AND tier NOT BETWEEN 1 AND 8 THEN 'tier_range'
+                WHEN is_new AND rating < 1 THEN 'rating_low'
+                WHEN is_new AND cost < 0 THEN 'cost_negative'
+                WHEN no_spec AND LEAST(front, side, rear) < 0 THEN 'armor_negative'
+                WHEN no_shot AND pen < 0 THEN 'pen_negative'
+                WHEN is_new AND nation_id NOT IN (SELECT nation_id FROM {nations})
+                    THEN 'nation_missing'
+                WHEN is_new AND category_id NOT IN (SELECT category_id FROM {categories})
+                    THEN 'category_missing' END AS reason
+            FROM j)
+        SELECT * FROM named WHERE reason IS NOT NULL""",
     "sync_dims_rejected": f"""
         WITH {OWNER_NEW}
         SELECT owner_id, name, 'name_taken' AS reason FROM judged WHERE taken""",

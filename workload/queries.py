@@ -171,17 +171,19 @@ def slot_occupancy(t):
 def available_units(t):
     newest = roster.latest_roster_per_nation(t.rosters, t.nations)
     listed = catalog.unit_search(t.units, t.nations, t.categories, **LABELS, sort=False)
-    return roster.available_units(newest, listed, t.units, t.own_slots)
+    return roster.available_units(newest, listed, t.units, t.slots)
 
 
 @query
 def available_counts(t):
-    return roster.available_counts(t.rosters, t.units, t.nations, t.slot_clean)
+    return roster.available_counts(
+        t.rosters, t.units, t.nations, t.slots, t.categories
+    )
 
 
 @query
 def units_in_use(t):
-    return roster.units_in_use(t.units, t.own_slots)
+    return roster.units_in_use(t.stock, t.slots)
 
 
 @query
@@ -329,7 +331,9 @@ def register_units_tables(t):
 
 
 def _deletion(t):
-    return changes.delete_units(t.delete_requests, t.units, t.specs, t.munitions, t.own_slots)
+    return changes.delete_units(
+        t.delete_requests, t.stock, t.stock_specs, t.stock_munitions, t.slots
+    )
 
 
 @query
@@ -379,6 +383,14 @@ def slot_change_verdicts(t):
     )
 
 
+@query
+def slot_change_verdicts_repeats(t):
+    """Over slots of which some hold several units."""
+    return changes.slot_change_verdicts(
+        t.slot_changes, t.slots, t.rosters, t.units, t.nations, t.categories
+    )
+
+
 def _replay(t):
     return replay.apply_slot_changes(
         t.slot_clean, t.slot_changes, t.rosters, t.units, t.nations, t.categories
@@ -435,7 +447,9 @@ def sync_dims_rejected(t):
 
 
 def _synced(t):
-    return sync.UnitSync(t.old_units, t.old_specs, t.old_munitions, t.provided_units)
+    return sync.UnitSync(
+        t.old_units, t.old_specs, t.old_munitions, t.provided_units, t.nations, t.categories
+    )
 
 
 @query
@@ -453,6 +467,13 @@ def sync_units_munitions(t):
     return _synced(t).munition
 
 
+@query
+def sync_units_rejected(t):
+    return sync.UnitSync(
+        t.old_units, t.old_specs, t.old_munitions, t.faulty_units, t.nations, t.categories
+    ).rejected
+
+
 @query
 def refresh_units(t):
     provided = {

@@ -104,6 +104,22 @@ VIEWS = {
     "delete_requests": """
         SELECT event_id AS request_id, event_id AS unit_id
         FROM {events} WHERE event_type = 'error'""",
+    # Stored units with some that no slot holds: an extra one for every event beyond the parts.
+    "extra_units": """
+        SELECT event_id AS unit_id, CAST(event_id % 25 AS INT) AS nation_id, event_type, props
+        FROM {events} WHERE event_id > (SELECT MAX(p_partkey) FROM {part})""",
+    "stock": """
+        SELECT * FROM {units}
+        UNION ALL
+        SELECT unit_id, nation_id, 'LARGE', CONCAT('extra ', CAST(unit_id AS STRING)), 1, 2.0, 3,
+               event_type
+        FROM {extra_units}""",
+    "stock_specs": """
+        SELECT * FROM {specs} UNION ALL SELECT unit_id, 1, 2, 3 FROM {extra_units}""",
+    "stock_munitions": """
+        SELECT * FROM {munitions}
+        UNION ALL
+        SELECT -unit_id, unit_id, event_type, props, 5, unit_id % 2 = 0 FROM {extra_units}""",
     "removals": """
         SELECT user_id AS roster_id, CAST(event_id % 12 AS INT) AS slot_no,
                (event_id % 7) * 25 + event_id % 25 AS unit_id
@@ -218,6 +234,21 @@ VIEWS = {
                CONCAT(p_name, ' #', CAST(p_partkey AS STRING)), 8, 9.5, 99,
                CONCAT('media/late/', p_type, '.png'), 9, 9, 9, 'late', 'late', 9
         FROM {{part}} WHERE p_brand IN ('Brand#1', 'Brand#2')""",
+    # The same with rows that break the rules: registrations, some without a name, and rows for
+    # stored units whose values count only where a spec or a munition is missing.
+    "faulty_units": """
+        SELECT * FROM {provided_units}
+        UNION ALL
+        SELECT 3000000000000 + request_id, request_id, nation_id, category_id,
+               CASE WHEN request_id % 29 = 0 THEN NULL ELSE name END, tier, rating, cost, media_path,
+               front, side, rear, munition_name, munition_kind, pen
+        FROM {registrations}
+        UNION ALL
+        SELECT 4000000000000 + p_partkey, p_partkey, CAST(p_partkey % 25 AS INT), 'NONE',
+               CONCAT(p_name, ' #', CAST(p_partkey AS STRING)), 99, -3.0, -1, NULL,
+               CASE WHEN p_size % 2 = 0 THEN -1 ELSE 1 END, 1, 1, 'shot', NULL,
+               CASE WHEN p_size % 3 = 0 THEN -1 WHEN p_size % 3 = 1 THEN NULL ELSE 1 END
+        FROM {part}""",
 }
 
 

@@ -27,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlab.llm.common import KEYS, encoded, extended, in_slices, keyed, sampled_keys, text_size
+from rosterlab.llm.common import KEYS, encoded, extended, in_slices, keyed, lean, sampled_keys, text_size
 
 UNKNOWN = "und"
 _LETTER = regex.compile(rb"[A-Za-z]").search
 _ANY_LETTER = regex.compile(r"\p{L}").search
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -189,4 +189,4 @@ def identify(
             names = [*batch.schema.names, *new]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
 
-    return docs.mapInArrow(run, extended(docs.schema, **new))
+    return docs.mapInArrow(lean(run), extended(docs.schema, **new))

@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlab.llm.common import KEY, KEYS, TIE, in_slices, keyed, stored
+from rosterlab.llm.common import KEY, KEYS, TIE, in_slices, keyed, lean, stored
 
 # Fixed value: how a byte-level vocabulary of this family splits text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -137,7 +137,7 @@ def tokenised(docs: DataFrame, how: Packing, with_ids: bool = False) -> DataFram
             arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return keyed(docs, F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(run, PIECES)
+    return keyed(docs, F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(lean(run), PIECES)
 
 
 class OpenBins:

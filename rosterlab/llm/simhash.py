@@ -30,7 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlab.llm.common import BEFORE_ALL, KEY, KEYS, TIE, encoded, in_slices, keyed, order_key, stored
+from rosterlab.llm.common import (
+    BEFORE_ALL,
+    KEY,
+    KEYS,
+    TIE,
+    encoded,
+    give_back,
+    in_slices,
+    keyed,
+    lean,
+    order_key,
+    stored,
+)
 from rosterlab.llm.graph import components
 
 BITS = 64
@@ -77,7 +89,7 @@ def fingerprints(docs: DataFrame, how: SimHash) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, signed], names=[*names, "print"])
 
     return keyed(docs, F.col("doc_id").cast("bigint").alias("doc_id")).mapInArrow(
-        run, f"doc_id bigint, {KEY} bigint, {TIE} bigint, print bigint"
+        lean(run), f"doc_id bigint, {KEY} bigint, {TIE} bigint, print bigint"
     )
 
 
@@ -152,6 +164,7 @@ def links(prints: DataFrame, how: SimHash) -> DataFrame:
 
     def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         found = meetings(group["print"].to_numpy(np.int64), int(key[0]), bits, how)
+        give_back()
         return pd.DataFrame(found.view(np.int64), columns=["u", "v"])
 
     return (

@@ -40,9 +40,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlab.llm.common import KEY, KEYS, TIE, document_runs, encoded, extended, in_slices, keyed, stored
-
-_CHUNK = 1 << 19
+from rosterlab.llm.common import (
+    KEY,
+    KEYS,
+    TIE,
+    document_runs,
+    encoded,
+    extended,
+    give_back,
+    in_slices,
+    keyed,
+    lean,
+    stored,
+)
+
+_CHUNK = 1 << 17
 _PIECES, _OUT = "_removed_pieces", "_out_"
 _PLACE = 24  # low bits that hold a place in a chunk
 _OCCURRENCE = np.dtype([("stretch", "<i4"), ("doc", "<i8"), ("tie", "<i8"), ("at", "<i8")])
@@ -323,7 +335,7 @@ def splitters(docs: DataFrame, ranges: int, total: int, how: Dedup) -> tuple[np.
     share = min(1.0, 8 * wanted * (how.length - how.gram) / 2 / max(1, total))
     chosen = docs.where(F.pmod(F.xxhash64(KEY, TIE, F.lit(7)), F.lit(1 << 20)) <= int(share * (1 << 20)))
     tokens = np.sort(
-        np.array(chosen.mapInArrow(leads, "token binary").toArrow()["token"].to_pylist(), f"S{how.gram}")
+        np.array(chosen.mapInArrow(lean(leads), "token binary").toArrow()["token"].to_pylist(), f"S{how.gram}")
     )
     if not len(tokens):
         return tokens, set()
@@ -354,9 +366,10 @@ def repeated_pieces(docs: DataFrame, how: Dedup) -> DataFrame:
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         found = repeats(group["blob"].tolist(), how, int(key[0]) >= ordered)
+        give_back()
         return pd.DataFrame(found, columns=[*KEYS, "begin", "end"])
 
-    sent = docs.mapInArrow(send, "range bigint, blob binary")
+    sent = docs.mapInArrow(lean(send), "range bigint, blob binary")
     return sent.groupBy("range").applyInPandas(
         compare, f"{KEY} bigint, {TIE} bigint, begin bigint, end bigint"
     )
@@ -412,7 +425,7 @@ def remove_repeats(docs: DataFrame, how: Dedup | None = None, keep_columns: bool
             )
 
     out = joined.mapInArrow(
-        apply, extended(joined.select(*passed).schema, **{_OUT + n: t for n, t in new.items()})
+        lean(apply), extended(joined.select(*passed).schema, **{_OUT + n: t for n, t in new.items()})
     )
     if not keep_columns:
         return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(_OUT + n).alias(n) for n in new))

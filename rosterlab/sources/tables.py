@@ -8,7 +8,11 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlab.schemas import TABLES
+from rosterlab.schemas import STAGED_UNIT, TABLES
+
+# Formats whose readers turn a value that they cannot read into NULL unless told otherwise.
+_TEXT_FORMATS = ("csv", "json")
+_LOAD = "_first_load"
 
 
 @dataclass(frozen=True)
@@ -40,8 +44,15 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
 def reference_source(
     spark: SparkSession, path: str, name: str, file_format: str = "parquet", **options: str
 ) -> DataFrame:
-    """Reference rows for ``name`` from outside files (parquet, csv, json, orc)."""
-    return spark.read.schema(TABLES[name]).options(**options).format(file_format).load(path)
+    """Reference rows for ``name`` from outside files (parquet, csv, json, orc).
+
+    ``name`` is a table or ``staged_unit``, the wide row of a unit, its spec and its munition. A
+    value of a text file that does not fit its type stops the read; pass ``mode`` for another way.
+    """
+    schema = STAGED_UNIT if name == "staged_unit" else TABLES[name]
+    if file_format in _TEXT_FORMATS:
+        options = {"mode": "FAILFAST"} | options
+    return spark.read.schema(schema).options(**options).format(file_format).load(path)
 
 
 def append_rows(table: DataFrame, new: DataFrame) -> DataFrame:
@@ -75,18 +86,48 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
-def seed(spark: SparkSession, root: str, provided: dict[str, DataFrame]) -> bool:
-    """First load: write the provided tables unless ``nation`` already holds rows.
+def _holds_rows(spark: SparkSession, root: str, name: str) -> bool:
+    try:
+        return not read_table(spark, root, name).isEmpty()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
-    Returns whether anything was written. ``nation`` goes last, so a load that broke off
-    is taken up again by the next call.
-    """
+
+def _load_is_open(spark: SparkSession, root: str) -> bool:
     try:
-        if not read_table(spark, root, "nation").isEmpty():
-            return False
+        mark = spark.read.schema("open boolean").parquet(f"{root.rstrip('/')}/{_LOAD}")
+        return not mark.where("open").isEmpty()
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
+        return False
+
+
+def _mark_load(spark: SparkSession, root: str, is_open: bool) -> None:
+    mark = spark.range(1).selectExpr(f"{str(is_open).lower()} AS open")
+    mark.coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{_LOAD}")
+
+
+def seed(spark: SparkSession, root: str, provided: dict[str, DataFrame]) -> bool:
+    """First load: write the provided tables unless ``nation`` already holds rows.
+
+    Returns whether anything was written. ``nation`` goes last, so a load that broke off
+    is taken up again by the next call; a mark beside the tables tells its rows from others.
+    Rows that no open load has written are never replaced: the load is refused.
+    """
+    resumed = _load_is_open(spark, root)
+    if _holds_rows(spark, root, "nation"):
+        if resumed:
+            _mark_load(spark, root, False)
+        return False
+    if not resumed:
+        foreign = [name for name in sorted(provided) if _holds_rows(spark, root, name)]
+        if foreign:
+            raise ValueError(f"{root} has no nations, but rows in {', '.join(foreign)}")
+        _mark_load(spark, root, True)
     for name in sorted(provided, key=lambda table: table == "nation"):
         write_table(provided[name], root, name, mode="overwrite")
+    _mark_load(spark, root, False)
     return True

@@ -635,6 +635,14 @@ SOURCES = {
                                  THEN COALESCE(n.path, '{DEFAULT_PATH}')
                                  ELSE s.media_path END AS media_path)
         FROM synced s LEFT JOIN named n ON s.name = n.name""",
+    "first_load_units": """
+        SELECT unit_id, nation_id, category_id, name, tier, rating, cost, media_path
+        FROM {wide_units}""",
+    "first_load_specs": "SELECT unit_id, front, side, rear FROM {wide_units}",
+    "first_load_munitions": """
+        SELECT ROW_NUMBER() OVER (ORDER BY unit_id) AS munition_id, unit_id,
+               munition_name AS name, munition_kind AS kind, pen, TRUE AS is_representative
+        FROM {wide_units}""",
     "sync_units_specs": f"""
         WITH {SYNC}
         SELECT unit_id, front, side, rear FROM {{old_specs}}

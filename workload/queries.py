@@ -22,6 +22,7 @@ from rosterlab.operators import (
 from rosterlab.plans.durable import new_folder
 from rosterlab.plans.numbering import highest, number_rows
 from rosterlab.session import tune
+from rosterlab.sources import tables
 from rosterlab.streaming import feed
 from workload.views import CATEGORY_LABELS, GAME_MODES, NATION_LABELS, VIEWS, Inputs
 
@@ -432,6 +433,30 @@ def remove_slots_by_number(t):
     return changes.remove_slots(t.slots, t.removals, by=("roster_id", "slot_no"))
 
 
+def _first_load(t, name):
+    """A provider's wide rows, as JSON files, become the first rows of an empty store."""
+    provider, root = new_folder(t.spark, "provider"), new_folder(t.spark, "store")
+    t.wide_units.write.json(provider)
+    wide = tables.reference_source(t.spark, provider, "staged_unit", "json")
+    tables.seed(t.spark, root, {"nation": t.nations} | changes.split_seed(wide, "unit_id"))
+    return tables.read_table(t.spark, root, name)
+
+
+@query
+def first_load_units(t):
+    return _first_load(t, "unit")
+
+
+@query
+def first_load_specs(t):
+    return _first_load(t, "spec")
+
+
+@query
+def first_load_munitions(t):
+    return _first_load(t, "munition")
+
+
 def _owners(t):
     return sync.sync_dims(t.owners, t.provided_owners, "owner_id")
 

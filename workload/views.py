@@ -202,6 +202,18 @@ VIEWS = {
         SELECT 2000000000000 + c_custkey % 1000, CONCAT('twin ', c_mktsegment),
                'twin', 2000000000000 + c_custkey
         FROM {customer}""",
+    # First load: every part as a provider's wide row; the columns are those of the staged schema.
+    "wide_units": """
+        SELECT p_partkey AS unit_id, CAST(p_partkey % 25 AS INT) AS nation_id,
+               CASE p_type WHEN 'STANDARD' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LARGE' THEN 3
+                    WHEN 'ECONOMY' THEN 4 WHEN 'PROMO' THEN 5 ELSE 6 END AS category_id,
+               CONCAT(p_name, ' #', CAST(p_partkey AS STRING)) AS name,
+               CAST(p_size % 8 + 1 AS INT) AS tier, p_retailprice AS rating, p_size AS cost,
+               CASE WHEN p_size % 3 = 0 THEN CONCAT('media/', p_brand, '.png') END AS media_path,
+               p_size AS front, p_size + 1 AS side, p_size + 2 AS rear,
+               CONCAT('shot ', p_brand) AS munition_name,
+               CASE WHEN p_size % 2 = 0 THEN p_type END AS munition_kind, p_size * 3 AS pen
+        FROM {part}""",
     # Reference sync: the stored catalogue holds the units of size 35 and below; the provider
     # has all of them with other paths, larger units that are new, and repeats of one brand.
     "old_units": """

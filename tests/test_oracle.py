@@ -9,7 +9,12 @@ from workload.check import compare, duckdb_over
 SMALL = "/root/testdata/sf0.001"
 MAY_BE_EMPTY = {"unit_search"}
 # Walking ordered changes is the one step that runs in Python.
-PYTHON_STEPS = {"apply_slot_changes", "apply_slot_changes_log"}
+PYTHON_STEPS = {
+    "apply_slot_changes",
+    "apply_slot_changes_log",
+    "apply_mixed_changes",
+    "apply_mixed_changes_log",
+}
 
 
 @pytest.fixture(scope="module")

@@ -285,6 +285,45 @@ WALK = f"""
                m.slot_no
         FROM walk w JOIN movable m ON m.roster_id = w.roster_id AND m.n = w.n + 1)"""
 
+# The same walk with removals, of a slot or of a unit wherever it is.
+MIXED_STATIC = STATIC.replace("{slot_changes}", "{mixed_changes}").replace(
+    "CASE WHEN",
+    "CASE WHEN kind NOT IN ('place', 'remove_slot', 'remove_unit') THEN 'kind_unknown'"
+    " WHEN kind <> 'place' THEN NULL WHEN",
+    1,
+)
+MIXED_WALK = f"""
+    WITH RECURSIVE {MIXED_STATIC},
+    movable AS (
+        SELECT roster_id, change_id, slot_no, unit_id, kind,
+               ROW_NUMBER() OVER (PARTITION BY roster_id ORDER BY change_ts, change_id) AS n
+        FROM static WHERE reason IS NULL),
+    begin AS (
+        SELECT m.roster_id, [{HELD}] AS held
+        FROM (SELECT DISTINCT roster_id FROM movable) m
+        LEFT JOIN {{slot_clean}} s ON m.roster_id = s.roster_id GROUP BY m.roster_id),
+    walk AS (
+        SELECT roster_id, CAST(0 AS BIGINT) AS n, held, CAST(NULL AS BIGINT) AS change_id,
+               CAST(NULL AS VARCHAR) AS verdict, CAST(NULL AS INTEGER) AS slot_no
+        FROM begin
+        UNION ALL
+        SELECT w.roster_id, m.n,
+               CASE WHEN m.kind = 'remove_unit' THEN list_transform(w.held,
+                         lambda x: CASE WHEN x = m.unit_id THEN NULL ELSE x END)
+                    WHEN m.kind = 'remove_slot' THEN list_transform(w.held,
+                         lambda x, i: CASE WHEN i = m.slot_no THEN NULL ELSE x END)
+                    WHEN list_contains(w.held, m.unit_id)
+                         AND w.held[m.slot_no] IS DISTINCT FROM m.unit_id THEN w.held
+                    ELSE list_transform(w.held,
+                         lambda x, i: CASE WHEN i = m.slot_no THEN m.unit_id ELSE x END) END,
+               m.change_id,
+               CASE WHEN m.kind <> 'place' THEN 'remove'
+                    WHEN list_contains(w.held, m.unit_id)
+                         AND w.held[m.slot_no] IS DISTINCT FROM m.unit_id THEN 'already_placed'
+                    WHEN w.held[m.slot_no] IS NOT NULL THEN 'replace' ELSE 'add' END,
+               m.slot_no
+        FROM walk w JOIN movable m ON m.roster_id = w.roster_id AND m.n = w.n + 1)"""
+
 WALKED_SLOTS = f"""{WALK},
     final AS (
         SELECT roster_id, held FROM walk
@@ -581,6 +620,13 @@ SOURCES = {
         UNION ALL
         SELECT w.change_id, w.roster_id, w.slot_no, m.unit_id, w.verdict
         FROM walk w JOIN movable m ON w.change_id = m.change_id""",
+    "apply_mixed_changes": WALKED_SLOTS.replace(WALK, MIXED_WALK),
+    "apply_mixed_changes_log": f"""{MIXED_WALK}
+        SELECT change_id, roster_id, slot_no, unit_id, kind, reason AS verdict FROM static
+        WHERE reason IS NOT NULL
+        UNION ALL
+        SELECT w.change_id, w.roster_id, w.slot_no, m.unit_id, m.kind, w.verdict
+        FROM walk w JOIN movable m ON w.change_id = m.change_id""",
     "slot_feed": WALKED_SLOTS,
     "remove_slots_by_unit": """
         SELECT * FROM {slots} s WHERE NOT EXISTS (

@@ -14,6 +14,7 @@ from rosterlab.operators import (
     changes,
     intake,
     media,
+    mixed,
     quality,
     replay,
     roster,
@@ -408,6 +409,22 @@ def apply_slot_changes_log(t):
     return _replay(t).log
 
 
+def _mixed(t):
+    return mixed.apply_mixed_changes(
+        t.slot_clean, t.mixed_changes, t.rosters, t.units, t.nations, t.categories
+    )
+
+
+@query
+def apply_mixed_changes(t):
+    return _mixed(t).slots
+
+
+@query
+def apply_mixed_changes_log(t):
+    return _mixed(t).log
+
+
 @query
 def slot_feed(t):
     target = new_folder(t.spark, "slot-feed")

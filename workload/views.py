@@ -99,6 +99,12 @@ VIEWS = {
                     ELSE (event_id % 7) * 25 + nation_id END AS unit_id
         FROM {events} JOIN {rosters} ON user_id = roster_id
         LEFT JOIN {own_units} ON user_id = own_roster""",
+    # The same log with removals between the placements.
+    "mixed_changes": """
+        SELECT change_id, change_ts, roster_id, slot_no, unit_id,
+               CASE WHEN change_id % 9 = 4 THEN 'remove_slot' WHEN change_id % 9 = 7 THEN 'remove_unit'
+                    WHEN change_id % 101 = 5 THEN 'swap' ELSE 'place' END AS kind
+        FROM {slot_changes}""",
     # Requests to delete: every error event names a unit by its own number. At any scale about
     # four in five name a unit that does not exist.
     "delete_requests": """

@@ -5,7 +5,8 @@ the beginning of a path) hold for the host and its subdomains; the longest that
 the rest, rules mined from labelled pages decide: the tokens of a URL and its label form a
 transaction, Spark's FP-growth finds frequent combinations, and rules from token sets to a label
 are kept if they are frequent, confident, and more confident than every rule on fewer of their
-tokens. Rules are found through an inverted index: each is filed under its rarest token, a URL
+tokens. Frequent is a number of rows, or a share of a table so small that it is fewer, so that a rare
+host can block however large the table is. Rules are found through an inverted index: each is filed under its rarest token, a URL
 meets the rules filed under its tokens and keeps those whose tokens it has all. The most confident
 rule decides, then the more frequent, then ``block``; without any the verdict is ``allow``.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import ceil
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.ml.fpm import FPGrowth
@@ -45,7 +47,8 @@ class Rule:
 
 @dataclass(frozen=True)
 class Mining:
-    support: float = 0.02
+    support: float = 0.02  # share of the labelled pages that is always frequent
+    least_rows: int = 3  # as many rows are frequent too, in however many
     confidence: float = 0.6
     most_tokens: int = 3
 
@@ -78,14 +81,26 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(names, paths), lambda w: F.length(w) > 2))
 
 
+def subsets(column: str) -> Column:
+    """All subsets of a short array, in its order."""
+    none = F.array(F.array().cast("array<string>"))
+    return F.aggregate(
+        column, none, lambda found, w: F.concat(found, F.transform(found, lambda s: F.array_append(s, w)))
+    )
+
+
 def mined(transactions: DataFrame, how: Mining) -> DataFrame:
     """Rules from ``transactions`` (items, label): tokens, verdict, confidence, support, key."""
     rows = stored(
         transactions.select(F.array_append("items", F.concat(F.lit("label "), "label")).alias("items")),
         "transactions",
     )
-    model = FPGrowth(itemsCol="items", minSupport=how.support, minConfidence=how.confidence).fit(rows)
-    n = F.lit(max(1, rows.count()))
+    total = max(1, rows.count())
+    n = F.lit(total)
+    least = max(1, min(ceil(how.support * total), how.least_rows))
+    # Spark rounds the product of share and rows up.
+    share = (least - 0.5) / total
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=how.confidence).fit(rows)
     found = stored(
         model.freqItemsets.where(F.size("items") <= how.most_tokens + 1).select(
             F.array_sort("items").alias("items"), "freq"
@@ -112,19 +127,12 @@ def mined(transactions: DataFrame, how: Mining) -> DataFrame:
     )
     rules = stored(rules, "rules")
     # A rule says nothing new if fewer of its tokens give its verdict as confidently.
-    wider = rules.select(
-        F.col("tokens").alias("_fewer"), F.col("verdict").alias("_verdict"), F.col("confidence").alias("_c")
-    )
-    narrow = rules.withColumn("_one", F.explode("tokens"))
-    wide = wider.withColumn("_one", F.explode("_fewer"))
+    fewer = F.filter(subsets("tokens"), lambda s: F.size(s).between(1, F.size("tokens") - 1))
+    wider = rules.select(F.col("tokens").alias("_fewer"), "verdict", F.col("confidence").alias("_c"))
     needless = (
-        narrow.join(wide, "_one")
-        .where(
-            (F.col("verdict") == F.col("_verdict"))
-            & (F.size("_fewer") < F.size("tokens"))
-            & (F.size(F.array_except("_fewer", "tokens")) == 0)
-            & (F.col("_c") >= F.col("confidence"))
-        )
+        rules.select("tokens", "verdict", "confidence", F.explode(fewer).alias("_fewer"))
+        .join(wider, ["_fewer", "verdict"])
+        .where("_c >= confidence")
         .select("tokens", "verdict")
         .distinct()
     )

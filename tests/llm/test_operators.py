@@ -198,6 +198,18 @@ def test_url_rules(spark):
     assert {(r["host"], r["path"], r["rule"], r["verdict"]) for r in got if r["page_id"] < 3} == {("", "", None, "allow")}
 
 
+def test_rare_bad_host_is_blocked_in_a_large_table(spark):
+    urls = [f"http://good{i % 7}.example.com/en/{i}" for i in range(1000)]
+    urls += [f"http://spam.example.com/en/{i}" for i in range(8)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    bad = [(i, "block" if i in range(1000, 1006) else "allow") for i in range(1006)]
+    labels = spark.createDataFrame(bad, "page_id bigint, label string")
+    got = url_filter.filter_urls(pages, labels, ()).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == set(range(1000, 1008))
+    # Six of 1006 labelled pages are under 2 %, and no page of the host is labelled otherwise.
+    assert {r["confidence"] for r in got if r["verdict"] == "block"} == {1.0}
+
+
 def test_codes_with_ties_and_few_rows(spark):
     rows = [(i, [1.0 if i >> b & 1 else -1.0 for b in range(64)]) for i in range(5)]
     rows += [(20, rows[3][1]), (40, None), (40, None)]

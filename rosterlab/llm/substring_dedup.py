@@ -65,7 +65,11 @@ def hashed_spans(docs: DataFrame, how: Spans) -> DataFrame:
         for texts in document_runs(batches, how.flush_bytes):
             seen: set[bytes] = set()
             digests, keys, numbers, again = [], [], [], []
+            last = None
             for doc, tie, text in sorted(texts):
+                if last == (doc, tie):
+                    continue  # a repeated row is the same document
+                last = doc, tie
                 for i, joined in spans(text.decode(), how):
                     digest = xxhash.xxh3_128_digest(joined.encode())
                     digests.append(digest)
@@ -88,7 +92,8 @@ def remove_repeats(docs: DataFrame, how: Spans | None = None) -> DataFrame:
     own = keyed(docs, F.col("doc_id").cast("bigint").alias("doc_id"))
     found = stored(hashed_spans(own, how), "spans")
     order = Window.partitionBy("a", "b").orderBy(KEY, TIE, "at")
-    later = found.where("NOT again").withColumn("_n", F.row_number().over(order)).where("_n > 1")
+    # Repeated rows in several tasks give equal places, which have the same rank.
+    later = found.where("NOT again").withColumn("_n", F.dense_rank().over(order)).where("_n > 1")
     hits = found.where("again").select(*KEYS, "at").union(later.select(*KEYS, "at"))
     lists = hits.groupBy(*KEYS).agg(F.collect_list("at").alias("_at"))
     joined = own.join(lists, list(KEYS), "left").select("doc_id", "text", "_at")

@@ -279,6 +279,10 @@ def repeats(blobs: list[bytes], how: Dedup, whole_only: bool) -> np.ndarray:
         places.append(place)
     place = np.concatenate(places)
     place = place[np.lexsort((place["at"], place["tie"], place["doc"], place["stretch"]))]
+    # Rows that share id and text are one document: their equal places are one.
+    other = np.ones(len(place), bool)
+    other[1:] = place[1:] != place[:-1]
+    place = place[other]
     first = np.ones(len(place), bool)
     first[1:] = place["stretch"][1:] != place["stretch"][:-1]
     fact = np.array(facts, np.int64)

@@ -88,6 +88,24 @@ def test_suffix_ranges(docs, small, hot):
         assert figures == sorted((r["doc_id"] or -1, *want[r["doc_id"], r["text"]]) for r in rows)
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_rows_keep_a_text_that_starts_nowhere_earlier(spark, parts):
+    alone = "".join(f"Sentence {i} of a text that no other row of the table has. " for i in range(9))
+    twice = "".join(f"Line {i} of a passage that comes again further down. " for i in range(4))
+    rows = [(1, alone), (1, alone), (1, alone), (2, twice + "\n" + twice), (2, twice + "\n" + twice), (3, twice)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    want = cut_by_brute_force(table)
+    for hot in (2.0, 0.0):
+        got = suffix_dedup.remove_repeats(table, suffix_dedup.Dedup(hot=hot)).collect()
+        figures = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got)
+        assert figures == sorted((i, *want[i, t]) for i, t in rows)
+        assert [f[2] for f in figures[:3]] == [0, 0, 0]
+    for flush in (1, 12 << 20):
+        found = substring_dedup.remove_repeats(table, substring_dedup.Spans(flush_bytes=flush))
+        got = sorted((r["doc_id"], r["n_sentences"], r["n_removed"]) for r in found.collect())
+        assert got == [(1, 9, 0)] * 3 + [(2, 8, 4)] * 2 + [(3, 4, 4)]
+
+
 def test_equal_suffixes_are_grouped_in_order():
     rng = np.random.default_rng(1)
     buffer = rng.integers(97, 99, 3000).astype(np.uint8).tobytes()

@@ -2,7 +2,8 @@
 
 Each document is compressed whole and in fixed chunks with zstandard. The ratio (bytes before by
 bytes after) must lie in the band of the document's length class; the share of chunks outside
-the chunk band must stay small. Repetitive text has high ratios, random strings low ones. The
+the chunk band must stay small. The last chunk is the text's final ``chunk_bytes``, so every byte is
+in a chunk of full size; a shorter text is one chunk, with the band of its length class. Repetitive text has high ratios, random strings low ones. The
 bands are fixed parameters: they depend on the length only, never on the table.
 
 Plain counts (words, symbols, repeated lines and windows) are reported too, and a document that
@@ -109,10 +110,14 @@ def judge(text: bytes, bands: Bands, compress, factors: np.ndarray) -> tuple:
     base = len(words) < bands.least_words or 100 * again > round(100 * bands.most_repeated) * len(words)
     whole = ratio(text, compress)
     step = bands.chunk_bytes
-    # Only chunks of full size have a band of their own; the rest is judged with the whole.
-    chunks = [ratio(text[i : i + step], compress) for i in range(0, len(text) - step + 1, step)]
-    odd = sum(not bands.chunk[0] <= r <= bands.chunk[1] for r in chunks) / max(1, len(chunks))
     low, high = next((lo, hi) for upto, lo, hi in bands.whole if len(text) <= upto)
+    if len(text) < step:
+        odd = float(bool(text) and not low <= whole <= high)
+    else:
+        # The last chunk ends with the text and overlaps the one before, so it has full size too.
+        starts = [*range(0, len(text) - step, step), len(text) - step]
+        chunks = [ratio(text[i : i + step], compress) for i in starts]
+        odd = sum(not bands.chunk[0] <= r <= bands.chunk[1] for r in chunks) / len(chunks)
     reason = (
         "base" if base
         else "incompressible" if whole < low

@@ -302,6 +302,22 @@ def test_quality_counts(docs):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_tails_and_short_texts_are_judged_as_chunks(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + int(c)) for c in rng.integers(0, 12, rng.integers(2, 9))) for _ in range(300)]
+    prose = " ".join(words[int(i)] for i in rng.integers(0, 300, 1200))
+    random = (rng.integers(0, 128, 2000).astype(np.uint8)).tobytes().decode()
+    texts = [
+        prose[:2048] + random[:1952], prose[:2048] + random[:1], prose[:4000], prose[:4096], prose[:2048],
+        prose[:1000], "word again " * 60, "", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in quality_rules.compression_rules(rows, quality_rules.Bands(most_repeated=1.0)).collect()}
+    assert (got[0]["odd_chunks"], got[0]["reason"]) == (0.5, "chunks")
+    assert [got[i]["odd_chunks"] for i in range(1, 9)] == [0, 0, 0, 0, 0, 1, 0, 0]
+    assert all(got[i]["kept"] for i in (1, 2, 3, 4, 5)) and not got[6]["kept"]
+
+
 def slow_bits(samples, order, text):
     """Code length by walking the contexts byte by byte."""
     counts = {}

@@ -128,30 +128,45 @@ def fold(column: str, parts: int) -> Column:
 
 
 def sampled_keys(
-    sizes: DataFrame, by: str, most_rows: int, most_bytes: int, classes: int
+    sizes: DataFrame, by: str, most_rows: int, most_bytes: int, classes: int, every: bool = False
 ) -> DataFrame:
     """A bounded sample of documents: ``by`` and keys, for a broadcast join with the texts.
 
     ``sizes`` has ``by``, the keys and ``_n`` (bytes). Per value of ``by``, in an order fixed by a
     hash of the key: at most ``classes`` values of ``by`` (the most frequent), ``most_rows`` rows and
-    some ``most_bytes`` bytes each. Only keys and sizes of candidates meet in the driver: the hash is
+    some ``most_bytes`` bytes each. With ``every`` no value is left out: of more than ``classes``, each
+    gets fewer rows and bytes, by the square of the excess, so that a table of all bytes by all classes
+    stays as large, but a row at least. Only keys and sizes of candidates meet in the driver: the hash is
     cut so that some twice as many pass as are wanted.
     """
     spark = sizes.sparkSession
     kind = dict(sizes.dtypes)[by]
     schema = f"`{by}` {kind}, {KEY} bigint, {TIE} bigint"
-    totals = (
+    counted = (
         sizes.where(F.col(by).isNotNull())
         .groupBy(by)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("b"))
         .orderBy(F.desc("n"), by)
-        .limit(classes)
-        .collect()
     )
+    totals = (counted if every else counted.limit(classes)).collect()
     if not totals:
         return spark.createDataFrame([], schema)
+    if len(totals) > classes:
+        part = (classes / len(totals)) ** 2
+        most_rows, most_bytes = max(1, int(most_rows * part)), max(1, int(most_bytes * part))
+    # So many candidates of a value that chance leaves none without one.
+    least = 40 if every else 0
     shares = [
-        (r[0], min(1.0, 2.0 * max(1, most_rows) / r["n"], 2.0 * max(1, most_bytes) / max(1, r["b"])))
+        (
+            r[0],
+            min(
+                1.0,
+                max(
+                    least / r["n"],
+                    min(2.0 * max(1, most_rows) / r["n"], 2.0 * max(1, most_bytes) / max(1, r["b"])),
+                ),
+            ),
+        )
         for r in totals
     ]
     limits = spark.createDataFrame(
@@ -163,7 +178,7 @@ def sampled_keys(
         .join(F.broadcast(limits), by)  # a row per class
         .where("_order <= _upto")
         .orderBy("_order", KEY, TIE, by)
-        .limit(3 * most_rows * len(shares))
+        .limit(3 * max(most_rows, least) * len(shares))
         .collect()
     )
     kept: set[tuple] = set()

@@ -40,7 +40,7 @@ class Learning:
     order: int = 3
     learn_rows: int = 3000
     learn_bytes: int = 2_000_000
-    languages: int = 64
+    languages: int = 64  # of more, each is learned from less
     score_bytes: int = 64  # the score weighs the lead as over so many bytes at most
 
 
@@ -146,7 +146,7 @@ def learn(labelled: DataFrame, how: Learning = Learning()) -> ContextTrees:
     """Trees from the rows (``text``, ``lang``, ``doc_id``) that may be learned from."""
     rows = keyed(labelled.where("lang IS NOT NULL AND text IS NOT NULL"), "lang")
     sizes = rows.select("lang", *KEYS, text_size())
-    keys = sampled_keys(sizes, "lang", how.learn_rows, how.learn_bytes, how.languages)
+    keys = sampled_keys(sizes, "lang", how.learn_rows, how.learn_bytes, how.languages, every=True)
     chosen = rows.join(F.broadcast(keys), ["lang", *KEYS], "left_semi")  # learn_rows a language
     samples: dict[str, list[bytes]] = {}
     for r in sorted(chosen.select("lang", *KEYS, "text").distinct().collect()):

@@ -24,6 +24,7 @@ from rosterlab.llm import (
     toxicity,
     url_filter,
 )
+from rosterlab.llm.common import sampled_keys
 from rosterlab.llm.graph import components
 from workload.check import compare, duckdb_over
 
@@ -363,6 +364,22 @@ def test_language_and_toxicity_on_held_out_rows(spark):
     assert scored.where("score < 0 OR score > 1 OR predicted <> int(score >= 0.5)").count() == 0
 
 
+def test_every_labelled_language_is_learned(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(70):
+        words = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6)) for _ in range(8)]
+        # The last languages by name are the rarest.
+        rows += [(100 * i + j, " ".join(rng.permutation(words)), f"l{i:02d}") for j in range(72 - i)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    trees = language_id.learn(docs)
+    assert trees.names == [f"l{i:02d}" for i in range(70)]
+    assert language_id.identify(docs, trees).where("lang <> lang_pred").count() == 0
+    sizes = docs.select("lang", F.col("doc_id").alias("_doc_key"), F.lit(0).cast("bigint").alias("_doc_tie"), F.lit(50).alias("_n"))
+    few = sampled_keys(sizes, "lang", 3, 100, 7, every=True)  # 70 languages share what 7 would have
+    assert few.count() == few.select("lang").distinct().count() == 70
+
+
 def test_models_on_odd_and_empty_tables(spark, docs, empty):
     trees = language_id.learn(docs)
     rows = language_id.identify(docs, trees, prefix="_x_").where("_x_lang_pred = 'und'").collect()

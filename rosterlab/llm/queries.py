@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rosterlab.llm import (
     binary_search,
+    conversation_repair,
     language_id,
     packing,
     piece_codec,
@@ -19,6 +20,7 @@ from rosterlab.llm import (
     suffix_dedup,
     toxicity,
     url_filter,
+    whitening,
 )
 from rosterlab.llm.common import fold, table
 
@@ -94,6 +96,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), how)
 
 
+def op11_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_agenda_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversations, conversation_repair.damaged(conversations))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -108,5 +119,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_nearest_codes,
             op9_piece_encoding,
             op10_best_fit_packing,
+            op11_lanczos_whitening,
+            op13_agenda_repair,
         )
     }

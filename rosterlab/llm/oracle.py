@@ -114,10 +114,34 @@ ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER
 SELECT * FROM ranked WHERE rank <= 10
 """
 
+LINKS = """
+WITH RECURSIVE usable AS (
+  SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.n AS u, b.n AS v, a.vec_id AS from_id, b.vec_id AS to_id
+  FROM usable a JOIN usable b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT u, v, to_id FROM links
+  UNION SELECT r.u, l.v, l.to_id FROM reach r JOIN links l ON l.u = r.v
+), groups AS (SELECT u, min(to_id) AS least FROM reach GROUP BY u),
+counts AS (SELECT u, count(*) AS n_links FROM links GROUP BY u),
+answers AS (SELECT vec_id, n_links, least(vec_id, least) AS component_id
+  FROM usable LEFT JOIN groups ON groups.u = usable.n LEFT JOIN counts ON counts.u = usable.n)
+SELECT e.vec_id, coalesce(a.n_links, 0) AS n_links, coalesce(a.component_id, e.vec_id) AS component_id,
+  coalesce(a.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN answers a ON a.vec_id = e.vec_id
+"""
+
 
 def statements() -> dict[str, str]:
     return {
         "op1_sentence_spans": SUBSTRING,
         "op2_url_rules": URLS,
         "op8_nearest_codes": NEAREST,
+        "op12_descent_links": LINKS,
     }

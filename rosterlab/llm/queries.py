@@ -12,6 +12,7 @@ from rosterlab.llm import (
     binary_search,
     conversation_repair,
     language_id,
+    neighbour_graph,
     packing,
     piece_codec,
     quality_rules,
@@ -100,6 +101,11 @@ def op11_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_descent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbour_graph.deduplicate(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op13_agenda_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return conversation_repair.repair_report(conversations, conversation_repair.damaged(conversations))
@@ -120,6 +126,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_piece_encoding,
             op10_best_fit_packing,
             op11_lanczos_whitening,
+            op12_descent_links,
             op13_agenda_repair,
         )
     }

@@ -6,42 +6,41 @@ The others are compared with brute force on small tables in ``tests/llm``.
 from __future__ import annotations
 
 SUBSTRING = r"""
-WITH pieces AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS p
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[ \t\r\n]*(?:[^ \t\r\n.!?。！？।؟…]+[.!?。！？।؟…]*|[.!?。！？।؟…]+)') AS p
   FROM documents
+), pieces AS (
+  SELECT doc_id, unnest(p) AS piece, unnest(range(0, len(p))) AS pos FROM texts
+), words AS (
+  SELECT *, ltrim(piece, chr(32) || chr(9) || chr(13) || chr(10)) AS word FROM pieces
+), begins AS (
+  SELECT *, CASE WHEN contains(piece, chr(10)) OR regexp_matches(before, '[.!?。！？।؟…]$') OR md5(before) < '4'
+    THEN 1 ELSE 0 END AS new
+  FROM (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM words)
 ), numbered AS (
-  SELECT doc_id, p, list_transform(p, lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(10))) AS t
-  FROM pieces
+  SELECT *, sum(CASE WHEN pos = 0 THEN 0 ELSE new END)
+    OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM begins
 ), sentences AS (
-  SELECT doc_id, p, t, list_filter(t, lambda x: x <> '') AS s FROM numbered
+  SELECT doc_id, n, string_agg(piece, '' ORDER BY pos) AS raw, string_agg(word, ' ' ORDER BY pos) AS s
+  FROM numbered GROUP BY doc_id, n
+), lists AS (
+  SELECT doc_id, list(s ORDER BY n) AS s FROM sentences GROUP BY doc_id
 ), starts AS (
-  SELECT doc_id, s, unnest(range(0, greatest(1, len(s) - 2))) AS i FROM sentences
-), spans AS (
-  SELECT doc_id, i, array_to_string(s[i + 1 : i + 3], ' ') AS span FROM starts
-), kept AS (
-  SELECT * FROM spans WHERE length(span) >= 80
+  SELECT doc_id, s, unnest(range(0, greatest(1, len(s) - 7))) AS i FROM lists
 ), later AS (
-  SELECT doc_id, i FROM kept
+  SELECT doc_id, i FROM (SELECT doc_id, i, array_to_string(s[i + 1 : i + 8], ' ') AS span FROM starts)
   QUALIFY row_number() OVER (PARTITION BY span ORDER BY doc_id, i) > 1
 ), dropped AS (
-  SELECT DISTINCT doc_id, i + k AS n FROM later, (SELECT unnest([0, 1, 2]) AS k)
-), parts AS (
-  SELECT doc_id, unnest(p) AS piece, unnest(t) AS words, unnest(range(0, len(p))) AS pos FROM numbered
-), counted AS (
-  SELECT *, sum(CASE WHEN words <> '' THEN 1 ELSE 0 END)
-    OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS n
-  FROM parts
-), marked AS (
-  SELECT c.*, d.n IS NOT NULL AND words <> '' AS gone
-  FROM counted c LEFT JOIN dropped d ON d.doc_id = c.doc_id AND d.n = c.n
+  SELECT DISTINCT doc_id, i + k AS n FROM later, (SELECT unnest(range(0, 8)) AS k)
 ), cleaned AS (
-  SELECT doc_id, string_agg(CASE WHEN gone THEN '' ELSE piece END, '' ORDER BY pos) AS text,
-    count(*) FILTER (words <> '') AS n_sentences, count(*) FILTER (gone) AS n_removed
-  FROM marked GROUP BY doc_id
+  SELECT c.doc_id, string_agg(CASE WHEN d.n IS NULL THEN raw ELSE '' END, '' ORDER BY c.n) AS text,
+    count(*) AS n_sentences, count(d.n) AS n_removed
+  FROM sentences c LEFT JOIN dropped d ON d.doc_id = c.doc_id AND d.n = c.n GROUP BY c.doc_id
 )
-SELECT d.doc_id, coalesce(c.text, '') AS text, coalesce(n_sentences, 0) AS n_sentences,
-  coalesce(n_removed, 0) AS n_removed
-FROM documents d LEFT JOIN cleaned c USING (doc_id)
+SELECT d.doc_id, coalesce(c.text, '') || regexp_extract(t, '[ \t\r\n]*$') AS text,
+  coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed
+FROM texts d LEFT JOIN cleaned c USING (doc_id)
 """
 
 URLS = r"""

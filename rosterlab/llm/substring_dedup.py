@@ -1,15 +1,17 @@
 """Removal of sentences that lie in a repeated run of sentences.
 
-A text is cut into sentences (each with the marks ``.!?`` and line ends that follow it; blanks at
-its ends do not count, blank pieces are no sentences). Every run of ``run`` consecutive sentences
-with at least ``least_chars`` characters is hashed (128 bits of its sentences joined by a
-space); a text with fewer sentences is one run. Runs are joined over all documents, and a sentence
-is removed if any run that covers it also starts earlier (in a smaller ``doc_id``, or earlier in
-the same document).
-
-Runs that a task meets again in the texts it holds are settled there; one row a task is left of
-a run however often it occurs, so even a run that a third of all documents share is a small group
-when the runs meet by their hash.
+A text is cut into sentences at the full stops of several scripts and at line ends. Long sentences are cut
+on at places that depend on their own words only: after a word whose MD5 begins with a hexadecimal
+digit below ``cut``, one in four. So a passage that two texts share falls into the same
+sentences in both, wherever it begins and whatever surrounds it; only its ends differ. Every run of ``run``
+consecutive sentences is hashed (128 bits of its words joined by a space), whatever its length; a
+text with fewer sentences is one run. Runs are joined over all documents, and a sentence is removed,
+with the blanks before it, if any run that covers it also starts earlier (in a smaller ``doc_id``, or
+earlier in the same document).
+
+Runs that a task meets again in the texts it holds are settled there; one row a task and ``flush_bytes`` is
+left of a run however often it occurs, so even a run that a third of all documents share is a small
+group when the runs meet by their hash. What is settled travels under a hash of its place.
 
 Null is the empty text. Rows that share ``doc_id`` are ordered by a hash of their text; rows that
 share both are one document, and each gets its result. Null ids come first. An empty table gives
@@ -18,7 +20,10 @@ no rows.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,31 +33,49 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlab.llm.common import KEY, KEYS, TIE, document_runs, in_slices, keyed, stored
+from rosterlab.llm.common import KEY, KEYS, TIE, document_runs, in_slices, keyed, lean
 
-PIECE = r"[^.!?\n]+[.!?\n]*|[.!?\n]+"
+MARKS = ".!?。！？।؟…"
 BLANKS = " \t\r\n"
+PIECE = rf"[{BLANKS}]*(?:[^{BLANKS}{MARKS}]+[{MARKS}]*|[{MARKS}]+)"
 _pieces = re.compile(PIECE).findall
 
 
 @dataclass(frozen=True)
 class Spans:
-    run: int = 3
-    least_chars: int = 80
+    run: int = 8
     flush_bytes: int = 12 << 20
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in (p.strip(BLANKS) for p in _pieces(text)) if s]
+@functools.lru_cache(1 << 16)
+def ends_sentence(word: str) -> bool:
+    return word[-1] in MARKS or hashlib.md5(word.encode()).digest()[0] < 0x40
+
+
+def sentences(text: str) -> list[tuple[str, str]]:
+    """(a sentence as it stands, with the blanks before it; its words joined by spaces)."""
+    found: list[tuple[str, str]] = []
+    raw: list[str] = []
+    words: list[str] = []
+    ended = False
+    for piece in _pieces(text):
+        word = piece.lstrip(BLANKS)
+        if words and (ended or "\n" in piece):
+            found.append(("".join(raw), " ".join(words)))
+            raw, words = [], []
+        raw.append(piece)
+        words.append(word)
+        ended = ends_sentence(word)
+    if words:
+        found.append(("".join(raw), " ".join(words)))
+    return found
 
 
 def spans(text: str, how: Spans) -> Iterator[tuple[int, str]]:
     """(number of the first sentence, joined sentences) of every run."""
-    found = sentences(text)
-    for i in range(max(1, len(found) - how.run + 1)):
-        joined = " ".join(found[i : i + how.run])
-        if len(joined) >= how.least_chars:
-            yield i, joined
+    found = [s for _, s in sentences(text)]
+    for i in range(max(1, len(found) - how.run + 1) if found else 0):
+        yield i, " ".join(found[i : i + how.run])
 
 
 _SPANS = f"a bigint, b bigint, {KEY} bigint, {TIE} bigint, at int, again boolean"
@@ -72,29 +95,32 @@ def hashed_spans(docs: DataFrame, how: Spans) -> DataFrame:
                 last = doc, tie
                 for i, joined in spans(text.decode(), how):
                     digest = xxhash.xxh3_128_digest(joined.encode())
+                    known = digest in seen
+                    if known:
+                        digest = xxhash.xxh3_128_digest(struct.pack("<qqq", doc, tie, i), 1)
+                    else:
+                        seen.add(digest)
                     digests.append(digest)
                     keys.append((doc, tie))
                     numbers.append(i)
-                    again.append(digest in seen)
-                    seen.add(digest)
+                    again.append(known)
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             own = np.array(keys, np.int64).reshape(-1, 2)
             columns = [*halves.T, *own.T, np.array(numbers, np.int32)]
             arrays = [pa.array(np.ascontiguousarray(c)) for c in columns] + [pa.array(again, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", KEY, TIE, "at", "again"])
 
-    return docs.mapInArrow(run, _SPANS)
+    return docs.mapInArrow(lean(run), _SPANS)
 
 
 def remove_repeats(docs: DataFrame, how: Spans | None = None) -> DataFrame:
     """Per row: doc_id, text without the removed sentences, n_sentences and n_removed."""
     how = how or Spans()
     own = keyed(docs, F.col("doc_id").cast("bigint").alias("doc_id"))
-    found = stored(hashed_spans(own, how), "spans")
     order = Window.partitionBy("a", "b").orderBy(KEY, TIE, "at")
     # Repeated rows in several tasks give equal places, which have the same rank.
-    later = found.where("NOT again").withColumn("_n", F.dense_rank().over(order)).where("_n > 1")
-    hits = found.where("again").select(*KEYS, "at").union(later.select(*KEYS, "at"))
+    ranked = hashed_spans(own, how).withColumn("_n", F.dense_rank().over(order))
+    hits = ranked.where("again OR _n > 1").select(*KEYS, "at")
     lists = hits.groupBy(*KEYS).agg(F.collect_list("at").alias("_at"))
     joined = own.join(lists, list(KEYS), "left").select("doc_id", "text", "_at")
 
@@ -104,19 +130,12 @@ def remove_repeats(docs: DataFrame, how: Spans | None = None) -> DataFrame:
             texts = batch.column("text").to_pylist()
             for text, starts in zip(texts, batch.column("_at").to_pylist(), strict=True):
                 text = text or ""
-                if not starts:
-                    rows.append((text, len(sentences(text)), 0))
-                    continue
-                drop = {n for s in starts for n in range(s, s + how.run)}
-                kept, n, gone = [], 0, 0
-                for piece in _pieces(text):
-                    if piece.strip(BLANKS):
-                        if n in drop:
-                            gone += 1
-                            piece = ""
-                        n += 1
-                    kept.append(piece)
-                rows.append(("".join(kept), n, gone))
+                found = sentences(text)
+                drop = {n for s in starts or () for n in range(s, s + how.run) if n < len(found)}
+                if drop:
+                    end = text[sum(len(raw) for raw, _ in found) :]
+                    text = "".join(raw for n, (raw, _) in enumerate(found) if n not in drop) + end
+                rows.append((text, len(found), len(drop)))
             arrays = [
                 pa.array(c, t)
                 for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)
@@ -125,4 +144,4 @@ def remove_repeats(docs: DataFrame, how: Spans | None = None) -> DataFrame:
                 [batch.column("doc_id"), *arrays], names=["doc_id", "text", "n_sentences", "n_removed"]
             )
 
-    return joined.mapInArrow(apply, "doc_id bigint, text string, n_sentences bigint, n_removed bigint")
+    return joined.mapInArrow(lean(apply), "doc_id bigint, text string, n_sentences bigint, n_removed bigint")

@@ -19,7 +19,6 @@ from rosterlab.llm import (
     quality_rules,
     queries,
     simhash,
-    substring_dedup,
     suffix_dedup,
     toxicity,
     url_filter,
@@ -101,10 +100,6 @@ def test_repeated_rows_keep_a_text_that_starts_nowhere_earlier(spark, parts):
         figures = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got)
         assert figures == sorted((i, *want[i, t]) for i, t in rows)
         assert [f[2] for f in figures[:3]] == [0, 0, 0]
-    for flush in (1, 12 << 20):
-        found = substring_dedup.remove_repeats(table, substring_dedup.Spans(flush_bytes=flush))
-        got = sorted((r["doc_id"], r["n_sentences"], r["n_removed"]) for r in found.collect())
-        assert got == [(1, 9, 0)] * 3 + [(2, 8, 4)] * 2 + [(3, 4, 4)]
 
 
 def test_equal_suffixes_are_grouped_in_order():
@@ -174,24 +169,7 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 100 for i in range(100, 161)} | {7: 7} | {i: 7 for i in range(200, 260)}
 
 
-def test_sentence_spans(docs):
-    how = substring_dedup.Spans()
-    seen, hit = set(), {}
-    for r in ordered(docs):
-        for i, span in substring_dedup.spans(r["text"] or "", how):
-            if span in seen:
-                hit.setdefault((r["doc_id"], r["text"]), set()).update(range(i, i + how.run))
-            seen.add(span)
-    for r in docs.select("doc_id", "text").collect():
-        r_hits = hit.get((r["doc_id"], r["text"]), set())
-        n = len(substring_dedup.sentences(r["text"] or ""))
-        found = substring_dedup.remove_repeats(docs).where(F.col("doc_id").eqNullSafe(r["doc_id"]))
-        if r["doc_id"] in (8, 15):
-            assert (n, len(r_hits & set(range(n)))) in {(x["n_sentences"], x["n_removed"]) for x in found.collect()}
-    assert substring_dedup.remove_repeats(docs).count() == docs.count()
-
-
-@pytest.mark.parametrize("name", ["op1_sentence_spans", "op2_url_rules", "op8_nearest_codes"])
+@pytest.mark.parametrize("name", ["op1_sentence_spans", "op2_url_rules", "op8_nearest_codes", "op12_descent_links"])
 def test_sql(spark, name):
     got = entry.queries()[name](spark, SMALL)
     assert compare(got, duckdb_over(SMALL), entry.oracle_sql()[name]) == ""

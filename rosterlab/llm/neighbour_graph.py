@@ -19,8 +19,9 @@ Nodes are compared when their labels are equal (and their vectors as long), by c
    all nodes are compared with all, in tiles of ``tile`` by ``tile`` nodes; a tile gives a sum a node, no
    pairs. A link can be missed only if nothing connects its two ends.
 6. Audit: a fixed number of nodes, by a hash, is compared with every node. Links whose ends are in
-   different groups were missed; below ``recall`` the lists are doubled and the descent goes on.
-   What the audit finds is added.
+   different groups were missed; below ``recall`` the descent goes on with lists and leaves twice as long
+   and new orders (leaves as long as a label's nodes would compare all, so this ends). What the audit
+   finds is added.
 
 Vectors that are null, empty, of length zero, or that hold null or non-finite entries, and vectors with a
 null label, link with nothing. Rows that share ``vec_id`` are vectors of their own. Null ids count as
@@ -467,10 +468,18 @@ def near_duplicates(nodes: DataFrame, how: Descent) -> Found:
         missed = stored(judged.where("NOT coalesce(_one = _two, false)").select("u", "v"), "missed")
         lost, total = missed.count(), truth.count()
         share = 1 - lost / total if total else 1.0
-        if share >= how.recall or how.list_size >= 8 * how.most_listed:
+        if share >= how.recall:
             break
-        how = replace(how, list_size=2 * how.list_size, most_listed=2 * how.most_listed, reverse=2 * how.reverse)
+        how = replace(
+            how,
+            list_size=2 * how.list_size,
+            most_listed=2 * how.most_listed,
+            reverse=2 * how.reverse,
+            leaf=2 * how.leaf,
+            seed=how.seed + 1,
+        )
         state = lists.where(F.col("what").isin(SELF, ENTRY)).withColumn("fresh", F.col("what") == ENTRY)
+        state = state.unionByName(first_offers(nodes, how).where(F.col("what") == OFFER))
     if lost:
         edges = stored(edges.unionByName(missed), "links")
         members = stored(components(edges), "members").withColumnRenamed("node", "_node")

@@ -9,17 +9,23 @@ judged on the input, not on what is left of it.
    the same one, and neighbouring windows mostly share it. Windows with the same leading token that
    follow each other are kept as one stretch of text, so a byte is written some three times
    instead of ``length`` times.
-2. Sampled splitters cut the order of leading tokens into ranges. Stretches go to the range of
-   their token, packed and compressed; a stretch that occurs often in a task's texts goes
-   once, with the list of its places. Splitters are whole tokens: equal windows cannot end up on
-   two sides of a boundary, so neighbours need only be compared within a range.
+2. Sampled splitters cut the order of leading tokens into ranges, at most ``most_splitters`` of them in the
+   driver; what they would leave too large is dealt on by a hash of the token. Stretches go to the
+   range of their token, packed and compressed. Of a stretch that occurs often in a task's texts only the
+   earliest place goes there; the others are later than it and are settled by the sender. Splitters
+   are whole tokens: equal windows cannot end up on two sides of a boundary, so neighbours need
+   only be compared within a range.
 3. In a range, equal stretches are found first: all but the earliest are repeats as a whole. Different
    stretches under one token are compared by the suffixes that start at their windows, sorted by
    multikey quicksort over 8-byte characters: each step splits every group of still equal suffixes
    by the next character and drops those that stand alone; what is left agrees in ``length`` bytes.
 4. A token that the sample finds in more text than ``hot`` ranges should hold is not kept
    together: its windows are dealt one by one, by a hash of the whole window, and only equal
-   windows meet. So no single token fills a task.
+   windows meet. Of a window that very many documents share, one place and one copy for each
+   ``flush_bytes`` of text meet there.
+5. The removed pieces meet the texts by a join. A filter of fixed size, one bit for a hash of each
+   document with pieces, tells most of the other documents beforehand: these are not shuffled. With so many
+   documents that the filter is full, more are shuffled and nothing else changes.
 
 Null is the empty text; nothing is removed from texts shorter than ``length``. Rows that share
 ``doc_id`` are ordered by a hash of their text; rows that share both are one document, and each
@@ -58,8 +64,7 @@ _CHUNK = 1 << 17
 _PIECES, _OUT = "_removed_pieces", "_out_"
 _PLACE = 24  # low bits that hold a place in a chunk
 _OCCURRENCE = np.dtype([("stretch", "<i4"), ("doc", "<i8"), ("tie", "<i8"), ("at", "<i8")])
-_STRETCH = np.dtype([("size", "<i4"), ("lead", "<i4"), ("inner", "<i4")])
-
+_COLUMNS = ("<i4", "<i4", "<i1", "<i8", "<i8", "<i8")  # size, lead, inner, doc, tie and at of a stretch
 
 @dataclass(frozen=True)
 class Dedup:
@@ -67,6 +72,8 @@ class Dedup:
     gram: int = 16
     range_bytes: int = 2 << 20  # text whose windows a range holds on average
     sampled_per_range: int = 64
+    most_splitters: int = 1 << 15
+    filter_bits: int = 1 << 26
     hot: float = 2.0
     flush_bytes: int = 6 << 20  # text of a task that is looked at together
     level: int = 3
@@ -140,13 +147,24 @@ def chunks(texts: list[tuple[int, int, bytes]], how: Dedup):
         yield part
 
 
+def token_parts(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each token (a row of bytes), by a hash."""
+    h = np.full(len(tokens), 0x9E3779B97F4A7C15, np.uint64)
+    for word in np.ascontiguousarray(tokens).view("<u8").T:
+        h = (h ^ word) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return (h % np.uint64(parts)).astype(np.int64)
+
+
 class Sender:
     """Collects the stretches of some documents, by range, and packs them."""
 
-    def __init__(self, how: Dedup, splitters: np.ndarray, hot: set[bytes], spread: int) -> None:
-        self.how, self.splitters, self.hot, self.spread = how, splitters, hot, spread
+    def __init__(self, how: Dedup, splitters: np.ndarray, parts: int, hot: set[bytes], spread: int) -> None:
+        self.how, self.splitters, self.parts, self.hot, self.spread = how, splitters, parts, hot, spread
+        self.ordered = (len(splitters) + 1) * parts
 
     def pack(self, texts: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        """(range, packed stretches); a negative range has settled pieces instead."""
         how, length = self.how, self.how.length
         known: dict[bytes, int] = {}
         facts: list[tuple[int, int, int]] = []
@@ -162,6 +180,7 @@ class Sender:
             buffer = np.frombuffer(joined, np.uint8)
             tokens = np.ascontiguousarray(buffer[lead[:, None] + np.arange(how.gram)])
             range_of = np.searchsorted(self.splitters, tokens.view(f"S{how.gram}").ravel(), "right")
+            range_of = range_of * self.parts + token_parts(tokens, self.parts)
             owner = np.searchsorted(ends, start, "right")
             number = np.empty(len(start), np.int32)
             extra: list[tuple[int, int, int]] = []  # (stretch, place in the chunk, document)
@@ -177,7 +196,7 @@ class Sender:
                         found = known.setdefault(window, len(facts))
                         if found == len(facts):
                             facts.append((length, 0, 0))
-                            goes.append(len(self.splitters) + 1 + xxhash.xxh64_intdigest(window) % self.spread)
+                            goes.append(self.ordered + xxhash.xxh64_intdigest(window) % self.spread)
                         extra.append((found, w, own))
                     continue
                 stretch = joined[s : s + n + length - 1]
@@ -202,34 +221,51 @@ class Sender:
         if not facts:
             return
         compress = zstandard.ZstdCompressor(level=how.level).compress
+        fact = np.array(facts, np.int64)
+        place, later = earliest(np.concatenate(places))
+        if len(later):
+            pieces = np.stack(whole_pieces(later, fact[:, 0]))
+            yield -1 - int(later["tie"][0] % self.spread), compress(pieces.astype("<i8").tobytes())
         to = np.array(goes, np.int64)
-        fact = np.array(facts, np.int32)
-        place = np.concatenate(places)
-        place = place[np.argsort(to[place["stretch"]], kind="stable")]
-        edges = np.searchsorted(to[place["stretch"]], np.unique(to), "left").tolist() + [len(place)]
         order = np.argsort(to, kind="stable")
         cuts = np.flatnonzero(np.diff(to[order], prepend=-1)).tolist() + [len(order)]
         texts_of = list(known)
-        local = np.empty(len(order), np.int32)
-        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        columns = [*fact.T, place["doc"], place["tie"], place["at"]]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             rows = order[a:b]
-            local[rows] = np.arange(b - a)
-            own = place[edges[i] : edges[i + 1]].copy()
-            own["stretch"] = local[own["stretch"]]
-            head = np.empty(b - a, _STRETCH)
-            head["size"], head["lead"], head["inner"] = fact[rows].T
+            own = [c[rows].astype(t).tobytes() for c, t in zip(columns, _COLUMNS, strict=True)]
             body = b"".join([texts_of[r] for r in rows.tolist()])
-            raw = np.array([b - a, len(own)], "<i8").tobytes() + head.tobytes() + own.tobytes() + body
-            yield int(to[rows[0]]), compress(raw)
+            yield int(to[rows[0]]), compress(np.int64(b - a).tobytes() + b"".join(own) + body)
+
+
+def earliest(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest place of each stretch, by stretch, and all later ones.
+
+    Rows that share id and text are one document: their equal places are one.
+    """
+    place = place[np.lexsort((place["at"], place["tie"], place["doc"], place["stretch"]))]
+    other = np.ones(len(place), bool)
+    other[1:] = place[1:] != place[:-1]
+    place = place[other]
+    first = np.ones(len(place), bool)
+    first[1:] = place["stretch"][1:] != place["stretch"][:-1]
+    return place[first], place[~first]
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+def whole_pieces(place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """doc, tie, begin and end of stretches that are repeats as a whole."""
+    return place["doc"], place["tie"], place["at"], place["at"] + size[place["stretch"]]
+
+
+def unpacked(blob: bytes) -> tuple[list[np.ndarray], bytes]:
+    """The columns of packed stretches, and their texts."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, m = np.frombuffer(raw, "<i8", 2).tolist()
-    head = np.frombuffer(raw, _STRETCH, n, 16)
-    at = 16 + n * _STRETCH.itemsize
-    place = np.frombuffer(raw, _OCCURRENCE, m, at)
-    return head, place, raw[at + m * _OCCURRENCE.itemsize :]
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    columns, at = [], 8
+    for kind in _COLUMNS:
+        columns.append(np.frombuffer(raw, kind, n, at))
+        at += n * columns[-1].itemsize
+    return columns, raw[at:]
 
 
 def equal_suffixes(buffer: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,33 +300,25 @@ def repeats(blobs: list[bytes], how: Dedup, whole_only: bool) -> np.ndarray:
     facts: list[tuple[int, int, int]] = []
     places = []
     for blob in blobs:
-        head, place, body = unpacked(blob)
-        number = np.empty(len(head), np.int32)
+        (size, lead, inner, doc, tie, begin), body = unpacked(blob)
+        place = np.empty(len(size), _OCCURRENCE)
+        place["doc"], place["tie"], place["at"] = doc, tie, begin
+        number = np.empty(len(size), np.int32)
         at = 0
-        for i, (size, lead, inner) in enumerate(head.tolist()):
-            stretch = body[at : at + size]
-            at += size
+        for i, fact in enumerate(zip(size.tolist(), lead.tolist(), inner.tolist(), strict=True)):
+            stretch = body[at : at + fact[0]]
+            at += fact[0]
             found = known.setdefault(stretch, len(facts))
             if found == len(facts):
-                facts.append((size, lead, inner))
+                facts.append(fact)
             number[i] = found
-        place = place.copy()
-        place["stretch"] = number[place["stretch"]]
+        place["stretch"] = number
         places.append(place)
-    place = np.concatenate(places)
-    place = place[np.lexsort((place["at"], place["tie"], place["doc"], place["stretch"]))]
-    # Rows that share id and text are one document: their equal places are one.
-    other = np.ones(len(place), bool)
-    other[1:] = place[1:] != place[:-1]
-    place = place[other]
-    first = np.ones(len(place), bool)
-    first[1:] = place["stretch"][1:] != place["stretch"][:-1]
+    own, later = earliest(np.concatenate(places))
     fact = np.array(facts, np.int64)
-    later = place[~first]
-    out = [(later["doc"], later["tie"], later["at"], later["at"] + fact[later["stretch"], 0])]
+    out = [whole_pieces(later, fact[:, 0])]
     if not whole_only:
         # Different stretches, in the order of their earliest places.
-        own = place[first]
         own = own[np.lexsort((own["at"], own["tie"], own["doc"]))]
         texts = list(known)
         size, lead, inner = fact[own["stretch"]].T
@@ -320,7 +348,7 @@ def repeats(blobs: list[bytes], how: Dedup, whole_only: bool) -> np.ndarray:
 def splitters(docs: DataFrame, ranges: int, total: int, how: Dedup) -> tuple[np.ndarray, set[bytes]]:
     """Tokens between ranges, and tokens too frequent for one, from a sample of documents.
 
-    The sample has some ``sampled_per_range`` tokens for each range, whatever the input.
+    The sample has some ``sampled_per_range`` tokens for each of at most ``most_splitters`` ranges.
     """
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in document_runs(batches, how.flush_bytes):
@@ -335,15 +363,16 @@ def splitters(docs: DataFrame, ranges: int, total: int, how: Dedup) -> tuple[np.
                 picked = [f for f, s in zip(found, start.tolist(), strict=True) if s % 8 == 0]
                 yield pa.RecordBatch.from_arrays([pa.array(picked, pa.binary())], names=["token"])
 
-    wanted = ranges * how.sampled_per_range
+    cut = min(ranges, how.most_splitters)
+    wanted = cut * how.sampled_per_range
     share = min(1.0, 8 * wanted * (how.length - how.gram) / 2 / max(1, total))
     chosen = docs.where(F.pmod(F.xxhash64(KEY, TIE, F.lit(7)), F.lit(1 << 20)) <= int(share * (1 << 20)))
-    tokens = np.sort(
-        np.array(chosen.mapInArrow(lean(leads), "token binary").toArrow()["token"].to_pylist(), f"S{how.gram}")
-    )
+    found = chosen.mapInArrow(lean(leads), "token binary").toArrow()["token"].combine_chunks()
+    joined = b"".join(t.as_buffer() for t in found)
+    tokens = np.sort(np.frombuffer(joined, f"S{how.gram}"))
     if not len(tokens):
         return tokens, set()
-    cuts = tokens[np.linspace(0, len(tokens), ranges + 1)[1:-1].astype(int)]
+    cuts = tokens[np.linspace(0, len(tokens), cut + 1)[1:-1].astype(int)]
     values, counts = np.unique(tokens, return_counts=True)
     many = counts > max(8, how.hot * len(tokens) / ranges)
     return np.unique(cuts), {bytes(v).ljust(how.gram, b"\0") for v in values[many]}
@@ -354,8 +383,8 @@ def repeated_pieces(docs: DataFrame, how: Dedup) -> DataFrame:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     ranges = max(1, -(-total // how.range_bytes))
     cuts, hot = splitters(docs, ranges, total, how)
-    sender = Sender(how, cuts, hot, ranges)
-    shared = docs.sparkSession.sparkContext.broadcast(sender)  # some bytes a range
+    sender = Sender(how, cuts, -(-ranges // min(ranges, how.most_splitters)), hot, ranges)
+    shared = docs.sparkSession.sparkContext.broadcast(sender)  # some bytes a splitter
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in document_runs(batches, how.flush_bytes):
@@ -366,10 +395,15 @@ def repeated_pieces(docs: DataFrame, how: Dedup) -> DataFrame:
                     [pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], names=["range", "blob"]
                 )
 
-    ordered = len(cuts) + 1
+    ordered = sender.ordered
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = repeats(group["blob"].tolist(), how, int(key[0]) >= ordered)
+        blobs = group["blob"].tolist()
+        if int(key[0]) < 0:
+            settled = (zstandard.ZstdDecompressor().decompress(b) for b in blobs)
+            found = np.concatenate([np.frombuffer(b, "<i8").reshape(4, -1).T for b in settled])
+        else:
+            found = repeats(blobs, how, int(key[0]) >= ordered)
         give_back()
         return pd.DataFrame(found, columns=[*KEYS, "begin", "end"])
 
@@ -379,6 +413,23 @@ def repeated_pieces(docs: DataFrame, how: Dedup) -> DataFrame:
     )
 
 
+_FILTER_ROW = 1 << 15  # bits of one bitmap
+
+
+def touched(docs: DataFrame, pieces: DataFrame, how: Dedup) -> tuple[DataFrame, DataFrame]:
+    """``docs`` that may have pieces, and those that have none, by a filter of ``filter_bits`` bits."""
+    rows = max(1, how.filter_bits // _FILTER_ROW)
+    place = F.pmod(F.xxhash64(F.lit(3), *KEYS), F.lit(rows * _FILTER_ROW)).alias("_place")
+    row, bit = F.floor(F.col("_place") / _FILTER_ROW).alias("_row"), F.col("_place") % _FILTER_ROW
+    maps = pieces.select(place).groupBy(row).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    maps = F.broadcast(stored(maps, "filter"))  # at most filter_bits / 8 bytes
+    marked = docs.select("*", place).select("*", row).join(maps, "_row", "left")
+    byte = F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))
+    marked = marked.withColumn("_byte", F.conv(F.hex(byte), 16, 10).cast("int"))
+    hit = F.coalesce(F.expr("shiftright(_byte, cast(_place % 8 AS int)) & 1 = 1"), F.lit(False))
+    return marked.where(hit).select(docs.columns), marked.where(~hit).select(docs.columns)
+
+
 def without(text: bytes, pieces: list | None) -> tuple[bytes, int]:
     """What is left of a text, and the number of maximal removed runs."""
     if not pieces:
@@ -407,7 +458,10 @@ def remove_repeats(docs: DataFrame, how: Dedup | None = None, keep_columns: bool
     own = keyed(docs, *passed)
     pieces = stored(repeated_pieces(own.select(*KEYS, "text"), how), "pieces")
     lists = pieces.groupBy(*KEYS).agg(F.collect_list(F.struct("begin", "end")).alias(_PIECES))
-    joined = own.join(lists, list(KEYS), "left").select(*passed, "text", _PIECES)
+    some, others = touched(own, pieces, how)
+    joined = some.join(lists, list(KEYS), "left").select(*passed, "text", _PIECES)
+    untouched = others.select(*passed, "text", F.lit(None).cast(lists.schema[_PIECES].dataType).alias(_PIECES))
+    joined = joined.unionByName(untouched)
     new = {"kept_text": "string"}
     if not keep_columns:
         new = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"} | new

@@ -76,10 +76,11 @@ def cut_by_brute_force(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [2.0, 0.0])
-def test_suffix_ranges(docs, small, hot):
+@pytest.mark.parametrize(("hot", "splitters"), [(2.0, 1 << 15), (2.0, 3), (0.0, 3)])
+def test_suffix_ranges(docs, small, hot, splitters):
     for table, size in ((docs, 500), (small, 20_000)):
-        how = suffix_dedup.Dedup(range_bytes=size, hot=hot)
+        bits = 1 << 15 if splitters == 3 else 1 << 26
+        how = suffix_dedup.Dedup(range_bytes=size, hot=hot, most_splitters=splitters, filter_bits=bits)
         want = cut_by_brute_force(table)
         got = suffix_dedup.remove_repeats(table, how).collect()
         assert len(got) == table.count()
@@ -102,6 +103,23 @@ def test_repeated_rows_keep_a_text_that_starts_nowhere_earlier(spark, parts):
         assert [f[2] for f in figures[:3]] == [0, 0, 0]
 
 
+def test_a_shared_passage_goes_once_a_flush():
+    """A third of the documents share it: one place is sent, the others are settled by the sender."""
+    how = suffix_dedup.Dedup()
+    passage = " ".join(f"word{i * i}" for i in range(90))
+    own = [f"{i} is a number, and the words of document {i} are its own: {i * i * 7919} " * 2 for i in range(300)]
+    texts = [(i, 0, (t + (passage if i % 3 == 0 else "")).encode()) for i, t in enumerate(own)]
+    sender = suffix_dedup.Sender(how, np.zeros(0, "S16"), 1, set(), 1)
+    packed = list(sender.pack(texts))
+    columns, body = suffix_dedup.unpacked(dict(packed)[0])
+    sent = body.decode("utf-8", "ignore")
+    assert columns[0].sum() == len(body)
+    assert max(sent.count(passage[i : i + how.length]) for i in range(150, 350)) <= 5
+    settled = [b for to, b in packed if to < 0]
+    docs = np.frombuffer(suffix_dedup.zstandard.ZstdDecompressor().decompress(settled[0]), "<i8").reshape(4, -1)[0]
+    assert set(docs.tolist()) == {i for i in range(3, 300, 3)}
+
+
 def test_equal_suffixes_are_grouped_in_order():
     rng = np.random.default_rng(1)
     buffer = rng.integers(97, 99, 3000).astype(np.uint8).tobytes()

@@ -15,7 +15,7 @@ WITH texts AS (
 ), words AS (
   SELECT *, ltrim(piece, chr(32) || chr(9) || chr(13) || chr(10)) AS word FROM pieces
 ), begins AS (
-  SELECT *, CASE WHEN contains(piece, chr(10)) OR regexp_matches(before, '[.!?。！？।؟…]$') OR md5(before) < '4'
+  SELECT *, CASE WHEN contains(piece, chr(10)) OR regexp_matches(before, '[.!?。！？।؟…]$') OR md5(before) < '2b'
     THEN 1 ELSE 0 END AS new
   FROM (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM words)
 ), numbered AS (
@@ -27,12 +27,12 @@ WITH texts AS (
 ), lists AS (
   SELECT doc_id, list(s ORDER BY n) AS s FROM sentences GROUP BY doc_id
 ), starts AS (
-  SELECT doc_id, s, unnest(range(0, greatest(1, len(s) - 7))) AS i FROM lists
+  SELECT doc_id, s, unnest(range(0, greatest(1, len(s) - 5))) AS i FROM lists
 ), later AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, array_to_string(s[i + 1 : i + 8], ' ') AS span FROM starts)
+  SELECT doc_id, i FROM (SELECT doc_id, i, array_to_string(s[i + 1 : i + 6], ' ') AS span FROM starts)
   QUALIFY row_number() OVER (PARTITION BY span ORDER BY doc_id, i) > 1
 ), dropped AS (
-  SELECT DISTINCT doc_id, i + k AS n FROM later, (SELECT unnest(range(0, 8)) AS k)
+  SELECT DISTINCT doc_id, i + k AS n FROM later, (SELECT unnest(range(0, 6)) AS k)
 ), cleaned AS (
   SELECT c.doc_id, string_agg(CASE WHEN d.n IS NULL THEN raw ELSE '' END, '' ORDER BY c.n) AS text,
     count(*) AS n_sentences, count(d.n) AS n_removed

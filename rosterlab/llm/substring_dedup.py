@@ -1,11 +1,12 @@
 """Removal of sentences that lie in a repeated run of sentences.
 
 A text is cut into sentences at the full stops of several scripts and at line ends. Long sentences are cut
-on at places that depend on their own words only: after a word whose MD5 begins with a hexadecimal
-digit below ``cut``, one in four. So a passage that two texts share falls into the same
-sentences in both, wherever it begins and whatever surrounds it; only its ends differ. Every run of ``run``
-consecutive sentences is hashed (128 bits of its words joined by a space), whatever its length; a
-text with fewer sentences is one run. Runs are joined over all documents, and a sentence is removed,
+on at places that depend on their own words only: after a word whose MD5 begins with a byte below
+``CUT``, one in six. So a passage that two texts share falls into the same sentences in both,
+wherever it begins and whatever surrounds it; only its ends differ. Every run of ``run`` consecutive
+sentences is hashed, whatever its length: two sums of 64 bits over the 128-bit hashes of its sentences
+(words joined by a space), each multiplied by a factor for its place. A text with fewer sentences is
+one run. Runs are joined over all documents, and a sentence is removed,
 with the blanks before it, if any run that covers it also starts earlier (in a smaller ``doc_id``, or
 earlier in the same document).
 
@@ -23,7 +24,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,82 +37,120 @@ from rosterlab.llm.common import KEY, KEYS, TIE, document_runs, in_slices, keyed
 
 MARKS = ".!?。！？।؟…"
 BLANKS = " \t\r\n"
+CUT = 43
 PIECE = rf"[{BLANKS}]*(?:[^{BLANKS}{MARKS}]+[{MARKS}]*|[{MARKS}]+)"
 _pieces = re.compile(PIECE).findall
 
 
 @dataclass(frozen=True)
 class Spans:
-    run: int = 8
+    run: int = 6
     flush_bytes: int = 12 << 20
 
 
-@functools.lru_cache(1 << 16)
-def ends_sentence(word: str) -> bool:
-    return word[-1] in MARKS or hashlib.md5(word.encode()).digest()[0] < 0x40
+@functools.lru_cache(1 << 17)
+def looked_at(piece: str) -> tuple[str, bool, bool]:
+    """A piece's word, whether a line begins with it, and whether it ends a sentence."""
+    word = piece.lstrip(BLANKS)
+    ends = word[-1] in MARKS or hashlib.md5(word.encode()).digest()[0] < CUT
+    return word, "\n" in piece, ends
 
 
-def sentences(text: str) -> list[tuple[str, str]]:
-    """(a sentence as it stands, with the blanks before it; its words joined by spaces)."""
-    found: list[tuple[str, str]] = []
-    raw: list[str] = []
+def sentences(text: str) -> list[str]:
+    """The words of each sentence, joined by spaces."""
+    found: list[str] = []
     words: list[str] = []
-    ended = False
-    for piece in _pieces(text):
-        word = piece.lstrip(BLANKS)
-        if words and (ended or "\n" in piece):
-            found.append(("".join(raw), " ".join(words)))
-            raw, words = [], []
-        raw.append(piece)
+    for word, begins, ends in map(looked_at, _pieces(text)):
+        if begins and words:
+            found.append(" ".join(words))
+            words = []
         words.append(word)
-        ended = ends_sentence(word)
+        if ends:
+            found.append(" ".join(words))
+            words = []
     if words:
-        found.append(("".join(raw), " ".join(words)))
+        found.append(" ".join(words))
     return found
 
 
-def spans(text: str, how: Spans) -> Iterator[tuple[int, str]]:
-    """(number of the first sentence, joined sentences) of every run."""
-    found = [s for _, s in sentences(text)]
-    for i in range(max(1, len(found) - how.run + 1) if found else 0):
-        yield i, " ".join(found[i : i + how.run])
+def without(text: str, drop: set[int]) -> str:
+    """The text without the sentences of these numbers and the blanks before them."""
+    kept: list[str] = []
+    n, at, fresh = -1, 0, True
+    for piece in _pieces(text):
+        _, begins, ends = looked_at(piece)
+        n += fresh or begins
+        fresh = ends
+        at += len(piece)
+        if n not in drop:
+            kept.append(piece)
+    return "".join(kept) + text[at:]
+
+
+def run_hashes(digests: np.ndarray, run: int) -> np.ndarray:
+    """Hashes (two numbers each) of all runs of ``run`` sentences, or of all sentences if they are fewer."""
+    n = len(digests)
+    size = min(run, n)
+    factors = np.random.default_rng(29).integers(1, 1 << 63, (run + 1, 2), np.uint64) * 2 + 1
+    hashes = np.zeros((n - size + 1, 2), np.uint64) + factors[run] * np.uint64(size)
+    for k in range(size):
+        hashes += digests[k : n - size + 1 + k] * factors[k]
+    return hashes
 
 
 _SPANS = f"a bigint, b bigint, {KEY} bigint, {TIE} bigint, at int, again boolean"
 
 
 def hashed_spans(docs: DataFrame, how: Spans) -> DataFrame:
-    """Runs of the keyed ``docs`` by hash; ``again`` marks those that the task saw earlier."""
+    """Runs of the keyed ``docs`` by hash; ``again`` marks those that the task saw earlier, and one row
+    for each document, whose ``at`` is -1 less its number of sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in document_runs(batches, how.flush_bytes):
-            seen: set[bytes] = set()
-            digests, keys, numbers, again = [], [], [], []
+            hashes, keys, numbers, ends = [], [], [], []
             last = None
             for doc, tie, text in sorted(texts):
                 if last == (doc, tie):
                     continue  # a repeated row is the same document
                 last = doc, tie
-                for i, joined in spans(text.decode(), how):
-                    digest = xxhash.xxh3_128_digest(joined.encode())
-                    known = digest in seen
-                    if known:
-                        digest = xxhash.xxh3_128_digest(struct.pack("<qqq", doc, tie, i), 1)
-                    else:
-                        seen.add(digest)
-                    digests.append(digest)
-                    keys.append((doc, tie))
-                    numbers.append(i)
-                    again.append(known)
-            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                found = sentences(text.decode())
+                keys.append((doc, tie))
+                ends.append(len(found))
+                if found:
+                    joined = b"".join(xxhash.xxh3_128_digest(s.encode()) for s in found)
+                    hashes.append(run_hashes(np.frombuffer(joined, "<u8").reshape(-1, 2), how.run))
+                numbers.append(len(hashes[-1]) if found else 0)
             own = np.array(keys, np.int64).reshape(-1, 2)
-            columns = [*halves.T, *own.T, np.array(numbers, np.int32)]
-            arrays = [pa.array(np.ascontiguousarray(c)) for c in columns] + [pa.array(again, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", KEY, TIE, "at", "again"])
+            count = np.array(numbers, np.int64)
+            runs = np.concatenate(hashes) if hashes else np.zeros((0, 2), np.uint64)
+            owner = np.repeat(np.arange(len(own)), count)
+            at = np.arange(len(runs)) - np.repeat(np.cumsum(count) - count, count)
+            # Documents are in order, so of equal runs the first is the earliest.
+            order = np.lexsort((runs[:, 1], runs[:, 0]))
+            same = (runs[order[1:]] == runs[order[:-1]]).all(axis=1)
+            again = np.zeros(len(runs), bool)
+            again[order[1:][same]] = True
+            # What is settled travels by a hash of its place.
+            place = np.array([KEY_MIX, TIE_MIX], np.uint64) * (own[owner].view(np.uint64) + at[:, None].astype(np.uint64))
+            runs[again] = place[again]
+            marks = own.view(np.uint64) * np.array([KEY_MIX, TIE_MIX], np.uint64)
+            halves = np.concatenate([runs, marks]).view(np.int64)
+            columns = [
+                *(np.ascontiguousarray(c) for c in halves.T),
+                *(np.ascontiguousarray(c) for c in np.concatenate([own[owner], own]).T),
+                np.concatenate([at, -1 - np.array(ends, np.int64)]).astype(np.int32),
+                np.concatenate([again, np.ones(len(own), bool)]),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in columns], names=["a", "b", KEY, TIE, "at", "again"]
+            )
 
     return docs.mapInArrow(lean(run), _SPANS)
 
 
+KEY_MIX, TIE_MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
 def remove_repeats(docs: DataFrame, how: Spans | None = None) -> DataFrame:
     """Per row: doc_id, text without the removed sentences, n_sentences and n_removed."""
     how = how or Spans()
@@ -128,14 +166,11 @@ def remove_repeats(docs: DataFrame, how: Spans | None = None) -> DataFrame:
         for batch in in_slices(batches, "text", 8 << 20):
             rows = []
             texts = batch.column("text").to_pylist()
-            for text, starts in zip(texts, batch.column("_at").to_pylist(), strict=True):
-                text = text or ""
-                found = sentences(text)
-                drop = {n for s in starts or () for n in range(s, s + how.run) if n < len(found)}
-                if drop:
-                    end = text[sum(len(raw) for raw, _ in found) :]
-                    text = "".join(raw for n, (raw, _) in enumerate(found) if n not in drop) + end
-                rows.append((text, len(found), len(drop)))
+            for text, found in zip(texts, batch.column("_at").to_pylist(), strict=True):
+                text, found = text or "", found or []
+                n = -1 - min(found, default=-1)
+                drop = {k for at in found if at >= 0 for k in range(at, min(n, at + how.run))}
+                rows.append((without(text, drop) if drop else text, n, len(drop)))
             arrays = [
                 pa.array(c, t)
                 for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)

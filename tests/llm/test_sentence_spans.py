@@ -33,7 +33,7 @@ def split(text):
     found = []
     for i, (begin, start, end) in enumerate(words):
         before = text[words[i - 1][1] : words[i - 1][2]] if i else "."
-        cut = before[-1] in MARKS or hashlib.md5(before.encode()).hexdigest()[0] in "0123"
+        cut = before[-1] in MARKS or hashlib.md5(before.encode()).digest()[0] < 43
         if cut or "\n" in text[begin:start]:
             found.append([begin, end, [text[start:end]]])
         else:
@@ -80,9 +80,9 @@ def test_odd_rows(spark, flush):
         (14, "word " * 3000), (15, "é " + PASSAGE), (16, "Before it stands this, " + PASSAGE + " and this after."),
     ]
     table = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id bigint, text string, a string, at int")
-    for run in (2, 8):
+    for run in (2, 6):
         figures = check(table.repartition(3), substring_dedup.Spans(run=run, flush_bytes=flush))
-        if run == 8:  # the text's sentences differ by their numbers only
+        if run == 6:  # the text's sentences differ by their numbers only
             assert [f[3] for f in figures if f[0] == 1 and f[1] == alone] == [0, 0]
     assert substring_dedup.remove_repeats(table.limit(0)).count() == 0
 

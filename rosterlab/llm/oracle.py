@@ -103,11 +103,11 @@ FROM words LEFT JOIN best ON best.url = words.url
 """
 
 NEAREST = """
-WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END) AS c
+WITH codes AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END) AS c
   FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
 strings AS (SELECT vec_id, CAST(array_to_string(c, '') AS BIT) AS b FROM codes),
 pairs AS (SELECT q.vec_id AS query_id, x.vec_id, bit_count(xor(q.b, x.b)) AS distance
-  FROM strings q JOIN strings x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0),
+  FROM strings q JOIN strings x ON q.vec_id <> x.vec_id OR q.b <> x.b WHERE q.vec_id % 20 = 0),
 ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER)
   AS rank, vec_id, CAST(distance AS INTEGER) AS distance FROM pairs)
 SELECT * FROM ranked WHERE rank <= 10

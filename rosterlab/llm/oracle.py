@@ -80,21 +80,22 @@ WITH split AS (
     JOIN flat c ON b.t = c.t AND b.w < c.w
 ), counts AS (SELECT s, label, count(*) AS c FROM sets GROUP BY ALL
 ), alls AS (SELECT s, sum(c) AS a FROM counts GROUP BY s
+), shares AS (SELECT label, count(*) AS m FROM asked GROUP BY label
 ), rules AS (
-  SELECT s, label, c / a AS confidence, c / n AS support
-  FROM counts JOIN alls USING (s), total
-  WHERE c >= ceil(0.02 * n) AND c / a >= 0.6
+  SELECT s, label, c / a AS confidence, c / n AS support, (c / a) / (m / n) AS lift
+  FROM counts JOIN alls USING (s) JOIN shares USING (label), total
+  WHERE c >= greatest(1, least(ceil(0.02 * n), 3)) AND c / a >= 0.6 AND (c / a) / (m / n) > 1
 ), kept AS (
   SELECT * FROM rules r WHERE NOT EXISTS (
     SELECT 1 FROM rules f WHERE f.label = r.label AND len(f.s) < len(r.s)
       AND list_has_all(r.s, f.s) AND f.confidence >= r.confidence)
 ), hits AS (
-  SELECT url, confidence, support, label FROM (SELECT DISTINCT url, items FROM words WHERE rule IS NULL) u
+  SELECT url, confidence, support, lift, label FROM (SELECT DISTINCT url, items FROM words WHERE rule IS NULL) u
   JOIN kept ON list_has_all(u.items, kept.s)
 ), best AS (
   SELECT url, label, confidence FROM hits
   QUALIFY row_number() OVER (PARTITION BY url
-    ORDER BY confidence DESC, support DESC, label DESC) = 1
+    ORDER BY lift DESC, support DESC, label DESC, confidence DESC) = 1
 )
 SELECT page_id, host, path, rule,
   CASE WHEN rule = 'net/' OR rule = 'example.com/de/' THEN 'block' WHEN rule IS NOT NULL THEN 'allow'

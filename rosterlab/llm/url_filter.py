@@ -1,14 +1,20 @@
-"""URL filtering by fixed rules and by association rules mined with FP-growth.
+"""URL filtering by fixed rules and by mined association rules.
 
 A URL's host and path are cut out of the text after the first ``://``. Fixed rules (a host and
 the beginning of a path) hold for the host and its subdomains; the longest that fits decides. For
 the rest, rules mined from labelled pages decide: the tokens of a URL and its label form a
-transaction, Spark's FP-growth finds frequent combinations, and rules from token sets to a label
-are kept if they are frequent, confident, and more confident than every rule on fewer of their
-tokens. Frequent is a number of rows, or a share of a table so small that it is fewer, so that a rare
-host can block however large the table is. Rules are found through an inverted index: each is filed under its rarest token, a URL
-meets the rules filed under its tokens and keeps those whose tokens it has all. The most confident
-rule decides, then the more frequent, then ``block``; without any the verdict is ``allow``.
+transaction, frequent combinations are mined by pattern growth, and rules from token sets to a label are
+kept if they are frequent, confident, surer than the label's share of all labelled pages, and more
+confident than every rule on fewer of their tokens. Frequent is a number of rows, or a share of a table
+so small that it is fewer, so that a rare host can block however large the table is. Rules are found
+through an inverted index: each is filed under its rarest token, a URL meets the rules filed under its
+tokens and keeps those whose tokens it has all. The rule that raises its label's share most
+(its lift) decides, then the more frequent, then ``block``; without any the verdict is ``allow``.
+
+Spark's FPGrowth has no limit on the length of a combination: one URL of 30 words that is crawled three
+times has 2^30 frequent ones. So the miner is PrefixSpan, Spark's pattern growth with such a limit, over
+transactions in sorted order, where sequences and sets are the same: all sets of up to
+``most_tokens`` tokens and a label are found, and their number grows as a power of a URL's length.
 
 Each different URL is judged once. A null URL, or one without ``://``, has an empty host and path,
 no tokens, and is allowed. Every row gets its verdict, repeated ids included; an empty table gives
@@ -22,7 +28,7 @@ from dataclasses import dataclass
 from math import ceil
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.ml.fpm import FPGrowth
+from pyspark.ml.fpm import PrefixSpan
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,22 +96,20 @@ def subsets(column: str) -> Column:
 
 
 def mined(transactions: DataFrame, how: Mining) -> DataFrame:
-    """Rules from ``transactions`` (items, label): tokens, verdict, confidence, support, key."""
-    rows = stored(
-        transactions.select(F.array_append("items", F.concat(F.lit("label "), "label")).alias("items")),
-        "transactions",
-    )
-    total = max(1, rows.count())
+    """Rules from ``transactions`` (items, label): tokens, verdict, confidence, support, lift, key."""
+    items = F.array_sort(F.array_append("items", F.concat(F.lit("label "), "label")))
+    sequence = F.transform(items, lambda x: F.array(x)).alias("sequence")
+    rows = stored(transactions.select("label", sequence), "transactions")
+    shares = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = max(1, sum(shares.values()))
     n = F.lit(total)
     least = max(1, min(ceil(how.support * total), how.least_rows))
     # Spark rounds the product of share and rows up.
-    share = (least - 0.5) / total
-    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=how.confidence).fit(rows)
+    miner = PrefixSpan(
+        minSupport=(least - 0.5) / total, maxPatternLength=how.most_tokens + 1, sequenceCol="sequence"
+    )
     found = stored(
-        model.freqItemsets.where(F.size("items") <= how.most_tokens + 1).select(
-            F.array_sort("items").alias("items"), "freq"
-        ),
-        "itemsets",
+        miner.findFrequentSequentialPatterns(rows).select(F.flatten("sequence").alias("items"), "freq"), "itemsets"
     )
     labels = F.array(*map(F.lit, _LABELS))
     parts = found.select(
@@ -113,6 +117,7 @@ def mined(transactions: DataFrame, how: Mining) -> DataFrame:
         F.array_intersect("items", labels).alias("labels"),
         "freq",
     )
+    share_of = F.when(F.col("verdict") == BLOCK, shares.get(BLOCK, 0)).otherwise(shares.get(ALLOW, 0))
     alone = parts.where("size(labels) = 0").select("tokens", F.col("freq").alias("all"))
     rules = (
         parts.where("size(labels) = 1 AND size(tokens) > 0")
@@ -123,7 +128,8 @@ def mined(transactions: DataFrame, how: Mining) -> DataFrame:
             (F.col("freq") / F.col("all")).alias("confidence"),
             (F.col("freq") / n).alias("support"),
         )
-        .where(F.col("confidence") >= how.confidence)
+        .withColumn("lift", F.col("confidence") / (share_of / n))
+        .where((F.col("confidence") >= how.confidence) & (F.col("lift") > 1))
     )
     rules = stored(rules, "rules")
     # A rule says nothing new if fewer of its tokens give its verdict as confidently.
@@ -141,19 +147,19 @@ def mined(transactions: DataFrame, how: Mining) -> DataFrame:
     keys = (
         kept.withColumn("_one", F.explode("tokens"))
         .join(single, "_one")
-        .groupBy("tokens", "verdict", "confidence", "support")
+        .groupBy("tokens", "verdict", "confidence", "support", "lift")
         .agg(F.min(F.struct("_f", "_one"))["_one"].alias("key"))
     )
     return keys
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, verdict, confidence) of URLs (url, items) that some mined rule fits."""
+    """(url, verdict, confidence) of URLs (url, items) that some mined rule fits: of the largest lift."""
     meets = urls.withColumn("key", F.explode("items")).join(
         rules.withColumnRenamed("tokens", "needs"), "key"
     )
     fits = meets.where(F.size(F.array_except("needs", "items")) == 0)
-    best = F.max(F.struct("confidence", "support", (F.col("verdict") == BLOCK).alias("stop")))
+    best = F.max(F.struct("lift", "support", (F.col("verdict") == BLOCK).alias("stop"), "confidence"))
     return (
         fits.groupBy("url")
         .agg(best.alias("b"))

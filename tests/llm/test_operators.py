@@ -225,6 +225,26 @@ def test_rare_bad_host_is_blocked_in_a_large_table(spark):
     assert {r["confidence"] for r in got if r["verdict"] == "block"} == {1.0}
 
 
+def test_long_urls_and_lift(spark):
+    """40 words crawled three times; a rare block word beats a wide allow word of higher confidence."""
+    letters = [a + b for a in "abcdefgh" for b in "abcde"]
+    urls = ["http://long.example.org/" + "/".join(w * 2 for w in letters)] * 3
+    urls += [f"http://site.example.org/news/x{i}" for i in range(100)] + [f"http://site.example.org/pills/x{i}" for i in range(10)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    bad = [(i, "block" if i < 3 or i >= 106 else "allow") for i in range(len(urls))]
+    labels = spark.createDataFrame(bad, "page_id bigint, label string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, labels, ()).collect()}
+    # pills: 7 of 10 are blocked, 9 % of all are; site: 94 % are allowed, 91 % of all are.
+    assert {i for i, v in got.items() if v == "block"} == {0, 1, 2, *range(103, 113)}
+
+
+@pytest.mark.parametrize("sf", ["0.1"])
+def test_url_rules_agree_where_two_percent_is_more_than_three_rows(spark, sf):
+    folder = f"/root/testdata/sf{sf}"
+    got = entry.queries()["op2_url_rules"](spark, folder)
+    assert compare(got, duckdb_over(folder), entry.oracle_sql()["op2_url_rules"]) == ""
+
+
 def test_codes_with_ties_and_few_rows(spark):
     rows = [(i, [1.0 if i >> b & 1 else -1.0 for b in range(64)]) for i in range(5)]
     rows += [(20, rows[3][1]), (40, None), (40, None)]

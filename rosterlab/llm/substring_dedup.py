@@ -56,18 +56,37 @@ def looked_at(piece: str) -> tuple[str, bool, bool]:
     return word, "\n" in piece, ends
 
 
+@functools.lru_cache(1 << 17)
+def parted(word: str) -> bool | tuple[tuple[str, bool], ...]:
+    """Whether what stands between blanks ends a sentence; its pieces where marks lie inside it."""
+    pieces = tuple((piece, looked_at(piece)[2]) for piece in _pieces(word))
+    return pieces[0][1] if len(pieces) == 1 else pieces
+
+
 def sentences(text: str) -> list[str]:
     """The words of each sentence, joined by spaces."""
     found: list[str] = []
     words: list[str] = []
-    for word, begins, ends in map(looked_at, _pieces(text)):
-        if begins and words:
-            found.append(" ".join(words))
-            words = []
-        words.append(word)
-        if ends:
+    for line in text.replace("\t", " ").replace("\r", " ").split("\n"):
+        if words:
             found.append(" ".join(words))
             words = []
+        for word in line.split(" "):
+            if not word:
+                continue
+            ends = parted(word)
+            if ends is False:
+                words.append(word)
+            elif ends is True:
+                words.append(word)
+                found.append(" ".join(words))
+                words = []
+            else:
+                for piece, last in ends:
+                    words.append(piece)
+                    if last:
+                        found.append(" ".join(words))
+                        words = []
     if words:
         found.append(" ".join(words))
     return found

@@ -5,7 +5,8 @@ around line ends); each unit is encoded by backtracking: an Aho-Corasick pass fi
 piece at every position, the walk takes the longest one that is compatible with the piece
 before, falls back to shorter ones, and marks positions from which no way leads on in a bitfield.
 Two neighbours are compatible if merging their joined text again gives just these two; a piece
-that its own text does not merge to is never used. Units are remembered, in bounded memory.
+that its own text does not merge to is never used. Units of up to ``long_unit`` characters are
+remembered, in two generations of some ``known_bytes`` together; longer ones are encoded each time.
 
 Pieces for runs of spaces share one score, so for units with such runs the order of merges
 depends on positions and neighbours do not decide it; those units are merged directly.
@@ -47,7 +48,9 @@ def units_of(text: str) -> list[str]:
 class PieceCodec:
     """``encode`` and ``decode`` for one model file."""
 
-    def __init__(self, path: str, known_units: int = 800_000, known_pairs: int = 500_000) -> None:
+    def __init__(
+        self, path: str, known_bytes: int = 240 << 20, known_pairs: int = 500_000, long_unit: int = 200
+    ) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         count = model.get_piece_size()
         pieces = [model.id_to_piece(i) for i in range(count)]
@@ -97,7 +100,8 @@ class PieceCodec:
         # all the time stays known.
         self.units: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
-        self.known_units, self.known_pairs = known_units // 2, known_pairs
+        self.held = 0
+        self.known_bytes, self.known_pairs, self.long_unit = known_bytes // 2, known_pairs, long_unit
         for probe in _PROBES:
             if self.encode(probe) != model.encode(probe):
                 raise ValueError(f"{path} is not a merge-type model without normalisation")
@@ -281,8 +285,13 @@ class PieceCodec:
         )
 
     def keep_as(self, unit: str, got: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
-        if len(self.units) >= self.known_units:
-            self.older, self.units = self.units, {}
+        if len(unit) > self.long_unit:
+            return got
+        # What an entry takes in Python, some 300 bytes besides its texts.
+        size = 300 + 2 * len(unit) + len(got[0]) + len(got[1])
+        if self.held + size > self.known_bytes:
+            self.older, self.units, self.held = self.units, {}, 0
+        self.held += size
         self.units[unit] = got
         return got
 
@@ -290,13 +299,12 @@ class PieceCodec:
         got = self.older.get(unit)
         if got is None:
             return self.keep(unit, self.ids_of_unit(unit))
-        self.units[unit] = got
-        return got
+        return self.keep_as(unit, got)
 
     def learn(self, units: Iterable[str]) -> None:
         """Encode units that are not known yet, together."""
         new = [u for u in dict.fromkeys(units) if u not in self.units and u not in self.older]
-        new = [u for u in new if not u.startswith(SPACE * 2)]
+        new = [u for u in new if len(u) <= self.long_unit and not u.startswith(SPACE * 2)]
         marked = [u for u in new if u[-1] in ",." and len(u) > 1]
         plain = [u for u in new if u[-1] not in ",." or len(u) == 1]
         plain = [*dict.fromkeys([*plain, *(u[:-1] for u in marked if u[:-1] not in self.units)])]

@@ -8,8 +8,8 @@ by free space. At most ``open_bins`` sequences are open; the fullest closes firs
 sequences are group and number, so nothing is agreed on between tasks, and what a task holds is
 bounded by ``group_pieces`` whatever the input.
 
-Texts: null is empty, and an empty document is its end id alone. Repeated rows are packed each;
-rows that share ``doc_id`` and text cannot be told apart and are packed one after the other.
+Texts: null is empty, and an empty document is its end id alone. Repeated rows are packed each, and
+dealt apart by their place in the stored pieces, so that copies of one row do not fill a group.
 An empty table gives no rows.
 """
 
@@ -182,7 +182,8 @@ def packed(pieces: DataFrame, how: Packing) -> DataFrame:
     whole = F.col("length") == how.length
     n = pieces.where(~whole).count()
     groups = max(1, -(-n // how.group_pieces))
-    spread = F.xxhash64(KEY, TIE, "piece")
+    # With a row's place in the stored table, which a repeated task finds again.
+    spread = F.xxhash64(KEY, TIE, "piece", F.monotonically_increasing_id())
     out = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     out += ", sequence_id bigint, offset bigint" + (", ids binary" if "ids" in pieces.columns else "")
     names = [x.split()[0] for x in out.split(", ")]

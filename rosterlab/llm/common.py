@@ -136,10 +136,13 @@ def sampled_keys(
     hash of the key: at most ``classes`` values of ``by`` (the most frequent), ``most_rows`` rows and
     some ``most_bytes`` bytes each. With ``every`` no value is left out: of more than ``classes``, each
     gets fewer rows and bytes, by the square of the excess, so that a table of all bytes by all classes
-    stays as large, but a row at least. Only keys and sizes of candidates meet in the driver: the hash is
-    cut so that some twice as many pass as are wanted.
+    stays as large, but a row at least. Repeated rows count once, in the shares as in the sample. Only
+    keys and sizes of candidates meet in the driver: the hash is cut so that some twice as many pass as
+    are wanted.
     """
     spark = sizes.sparkSession
+    # All copies of a row pass the hash together, so they stand for one.
+    sizes = stored(sizes.groupBy(by, KEY, TIE).agg(F.max("_n").alias("_n")), "sizes")
     kind = dict(sizes.dtypes)[by]
     schema = f"`{by}` {kind}, {KEY} bigint, {TIE} bigint"
     counted = (

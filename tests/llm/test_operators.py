@@ -19,6 +19,7 @@ from rosterlab.llm import (
     quality_rules,
     queries,
     simhash,
+    substring_dedup,
     suffix_dedup,
     toxicity,
     url_filter,
@@ -270,6 +271,22 @@ def test_piece_codec_is_exact(docs, small):
             assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest()
 
 
+def test_long_units_and_a_small_memory():
+    """Units without blanks are not remembered; what is remembered stays within its bytes."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+    codec = piece_codec.PieceCodec(queries.PIECE_MODEL, known_bytes=200_000)
+    rng = np.random.default_rng(2)
+    han = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 900, 6000))
+    words = " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, 7)) for _ in range(3000))
+    for text in (han, words, han[:200] + " " + words[:500] + "\n" + han[:199], words):
+        codec.learn(piece_codec.units_of(text))
+        assert codec.encode(text) == model.encode(text)
+        assert codec.held <= 100_000 and len(codec.units) + len(codec.older) < 700
+        assert all(len(u) <= codec.long_unit for u in codec.units)
+
+
 def test_packing(docs, small):
     from tokenizers import Tokenizer
 
@@ -300,6 +317,14 @@ def test_packing(docs, small):
         assert len(by_sequence) <= 1.15 * least + 1
 
 
+def test_copies_of_a_row_are_dealt_apart(spark):
+    rows = spark.createDataFrame([(1, "the same words")], "doc_id bigint, text string")
+    copies = rows.crossJoin(spark.range(0, 900, numPartitions=3).drop("id"))
+    got = packing.pack_documents(copies, packing.Packing(queries.BYTE_TOKENIZER, group_pieces=100)).collect()
+    groups = np.bincount([r["sequence_id"] >> packing.GROUP_BITS for r in got])
+    assert len(got) == 900 and len(groups) == 9 and groups.max() < 160
+
+
 def test_open_bins_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (7, 6, 6, 4, 4)] == [(0, 0), (1, 0), (2, 0), (2, 6), (1, 6)]
@@ -396,6 +421,60 @@ def test_every_labelled_language_is_learned(spark):
     assert few.count() == few.select("lang").distinct().count() == 70
 
 
+def test_a_language_of_copies_is_learned(spark):
+    """A language whose rows are copies of one document passes the draw like any other."""
+    copies = spark.range(60_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("le chat noir").alias("text"))
+    few = spark.createDataFrame([(i, f"the cat {i}") for i in range(5)], "doc_id bigint, text string")
+    for salt in ("", " dort", " mange", " court"):
+        docs = copies.withColumn("text", F.concat("text", F.lit(salt))).withColumn("lang", F.lit("fr"))
+        trees = language_id.learn(docs.union(few.withColumn("lang", F.lit("en"))))
+        assert trees.names == ["en", "fr"]
+
+
+def test_thresholds_are_kept_for_the_most_frequent_languages():
+    net = toxicity.Network(languages=2)
+    model = toxicity.Classifier(net)
+    ids = [toxicity.word_ids(t, net.buckets) for t in (b"a b", b"c d", b"e f", b"c g", b"e h", b"e i")]
+    model.learn_languages(ids, ["aa", "mm", "zz", "mm", "zz", "zz"])
+    assert model.languages == ["mm", "zz"]
+
+
+def test_toxicity_forward_pass_and_thresholds_by_slow_loops():
+    """Scores from the weights one multiplication at a time; the threshold by trying every line."""
+    rng = np.random.default_rng(8)
+    net = toxicity.Network(buckets=64, size=4, filters=3, widths=(1, 2), least_of_a_language=3)
+    model = toxicity.Classifier(net)
+    model.words[1:] = rng.normal(0, 1, (63, 4))
+    texts = [" ".join("abcdefghij"[int(c)] * 2 for c in rng.integers(0, 10, n)).encode() for n in range(60)]
+    values, spoken = model.raw(texts)
+    for text, value in zip(texts, values):
+        words = toxicity.word_ids(text, net.buckets).tolist()
+        n = max(1, len(words))
+        words += [[0, 0, 0]] * 2
+        vectors = [[sum(float(model.words[i][d]) for i in word) for d in range(4)] for word in words]
+        total = float(model.bias[0])
+        for j, w in enumerate(net.widths):
+            for f in range(net.filters):
+                peaks = [
+                    sum(vectors[at + o][d] * float(model.filters[w][o, d, f]) for o in range(w) for d in range(4))
+                    for at in range(n)
+                ]
+                total += float(model.out[j * net.filters + f]) * max(0.0, *peaks)
+        assert value == pytest.approx(total, abs=1e-4)
+    # A text's score does not depend on the texts beside it.
+    assert [float(model.raw([t])[0][0]) for t in texts] == pytest.approx(values.tolist(), abs=1e-5)
+    labels = (values > np.median(values)).astype(np.int64)
+    labels[::7] ^= 1
+    model.languages = []
+    model.calibrate(texts, labels)
+
+    def errors(line):
+        over = values >= line
+        return (~over & (labels == 1)).sum() / (labels == 1).sum() + 1.5 * (over & (labels == 0)).sum() / (labels == 0).sum()
+
+    assert errors(model.thresholds[0]) <= min(errors(v) for v in [*values, values.max() + 1]) + 1e-9
+
+
 def test_models_on_odd_and_empty_tables(spark, docs, empty):
     trees = language_id.learn(docs)
     rows = language_id.identify(docs, trees, prefix="_x_").where("_x_lang_pred = 'und'").collect()

@@ -11,6 +11,7 @@ from rosterlab.functions import expressions as ex
 from rosterlab.functions import fixed_values as fv
 from rosterlab.operators.roster import roster_cap
 from rosterlab.plans.bands import band_totals
+from rosterlab.plans.durable import freeze
 
 _MEASURED = ("pen", "front", "side", "rear")
 
@@ -70,7 +71,9 @@ def peer_benchmark(
     NULL averages.
     """
     caps = roster_cap(slots, units)
-    averages = peer_averages(units, specs, munitions, caps, half_width=half_width)
+    # A row per distinct cap. Stored, its size is known when the join with all rosters is planned: it is
+    # broadcast while that is below the threshold, and only beyond it are rosters shuffled by cap.
+    averages = freeze(peer_averages(units, specs, munitions, caps, half_width=half_width))
     shots = munitions.where("is_representative").select(
         "unit_id",
         "munition_id",

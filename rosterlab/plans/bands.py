@@ -1,10 +1,11 @@
 """Totals over a closed band around many centres, without joining centres with rows.
 
-Such a join grows with the product of both. Here rows are first added up per distinct value,
-and the value axis is cut into slices of a sixteenth of the band's half width. The total of a
-band is then: the totals of the slices from its lower edge up to the one before its upper edge,
-plus what lies below the upper edge in that slice, minus what lies below the lower edge in its
-slice. Every centre meets some 32 slice totals, however many rows they stand for.
+Such a join grows with the product of both. Here rows are first added up per distinct value, and
+the values and the edges of all bands are sorted together along the value axis. A band's total is the
+running total up to its upper edge less the one before its lower edge. Running totals come from a tree
+of two levels: the axis is cut into leaves at sampled quantiles, so each holds about as many points
+however the values are spread; a leaf's rows are added up in order, and the totals of whole leaves, one
+row each, are added up before them.
 """
 
 from __future__ import annotations
@@ -14,32 +15,25 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES_PER_HALF_WIDTH = 16
+from rosterlab.plans.durable import freeze
 
-_AT, _SIDE, _SLICE = "_at", "_side", "_slice"
+LEAF_POINTS = 1 << 18
+
+_AT, _SIDE, _LEAF = "_at", "_side", "_leaf"
 _BELOW, _ROW, _ABOVE = 0, 1, 2
 
 
-def band_totals(
+def band_points(
     rows: DataFrame,
     value: str,
     totals: Mapping[str, Column],
     centres: DataFrame,
     centre: str,
     half_width: float,
+    leaf_points: int = LEAF_POINTS,
 ) -> DataFrame:
-    """One row per distinct centre: ``centre`` and each total over value ∈ [centre ± half_width].
-
-    ``totals`` maps output names to whole-number aggregates that add up (counts, integer
-    sums), which keeps the difference of two running totals exact.
-    """
+    """The distinct values with their totals, the edges of all bands, and the leaf of each."""
     names = list(totals)
-    scale = SLICES_PER_HALF_WIDTH / half_width if half_width else 1.0
-
-    def slice_of(at: Column) -> Column:
-        # Never NULL; saying so keeps repeated uses of a plan equal, so that it runs once.
-        return F.coalesce(F.floor(at * scale), F.lit(0))
-
     low, high = F.col(centre) - half_width, F.col(centre) + half_width
     distinct = centres.select(centre).where(F.col(centre).isNotNull()).distinct()
     per_value = (
@@ -59,28 +53,41 @@ def band_totals(
             )
         ).alias("edge"),
     ).select(centre, f"edge.{_AT}", f"edge.{_SIDE}", *nothing)
-    up_to = Window.partitionBy(_SLICE).orderBy(_AT, _SIDE).rowsBetween(Window.unboundedPreceding, 0)
-    sign = F.when(F.col(_SIDE) == _ABOVE, 1).otherwise(-1)
-    at_edges = (
-        per_value.unionByName(edges)
-        .withColumn(_SLICE, slice_of(F.col(_AT)))
-        .select(centre, _SIDE, *[F.sum(name).over(up_to).alias(name) for name in names])
-        .where(F.col(_SIDE) != _ROW)
-        .select(centre, *[(sign * F.col(name)).alias(name) for name in names])
-    )
-    per_slice = (
-        per_value.groupBy(slice_of(F.col(_AT)).alias(_SLICE))
-        .agg(*[F.sum(name).alias(name) for name in names])
-    )
-    between = (
-        distinct.withColumns({"_from": slice_of(low), "_to": slice_of(high) - 1})
-        .where("_from <= _to")
-        .select(centre, F.explode(F.sequence("_from", "_to")).alias(_SLICE))
-        .join(per_slice, _SLICE)
-        .select(centre, *names)
+    points = freeze(per_value.unionByName(edges))
+    leaves = max(1, -(-points.count() // leaf_points))
+    if leaves == 1:
+        return points.withColumn(_LEAF, F.lit(0))
+    # A repeated task might cut the axis elsewhere, so the leaves are stored.
+    return freeze(points.repartitionByRange(leaves, _AT, _SIDE).withColumn(_LEAF, F.spark_partition_id()))
+
+
+def band_totals(
+    rows: DataFrame,
+    value: str,
+    totals: Mapping[str, Column],
+    centres: DataFrame,
+    centre: str,
+    half_width: float,
+    leaf_points: int = LEAF_POINTS,
+) -> DataFrame:
+    """One row per distinct centre: ``centre`` and each total over value ∈ [centre ± half_width].
+
+    ``totals`` maps output names to whole-number aggregates that add up (counts, integer
+    sums), which keeps the difference of two running totals exact.
+    """
+    names = list(totals)
+    points = band_points(rows, value, totals, centres, centre, half_width, leaf_points)
+    in_leaf = Window.partitionBy(_LEAF).orderBy(_AT, _SIDE).rowsBetween(Window.unboundedPreceding, 0)
+    per_leaf = points.groupBy(_LEAF).agg(*[F.sum(name).alias(name) for name in names])
+    earlier = Window.orderBy(_LEAF).rowsBetween(Window.unboundedPreceding, -1)
+    before = per_leaf.select(
+        _LEAF, *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}{_LEAF}") for name in names]
     )
+    sign = F.when(F.col(_SIDE) == _ABOVE, 1).otherwise(-1)
     return (
-        at_edges.unionByName(between)
+        points.select(centre, _LEAF, _SIDE, *[F.sum(name).over(in_leaf).alias(name) for name in names])
+        .where(F.col(_SIDE) != _ROW)
+        .join(before, _LEAF)
         .groupBy(centre)
-        .agg(*[F.sum(name).alias(name) for name in names])
+        .agg(*[F.sum(sign * (F.col(name) + F.col(f"{name}{_LEAF}"))).alias(name) for name in names])
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rosterlab.functions import fixed_values as fv
 from rosterlab.operators import benchmark
-from rosterlab.plans.bands import band_totals
+from rosterlab.plans.bands import band_points, band_totals
 from tests.conftest import rows
 
 # Ratings and metrics worked out by hand: rating, pen, front, side, rear. Twelve rows lie in
@@ -91,8 +91,11 @@ def test_roster_without_units_and_empty_peer_set(spark, world, make):
     assert {(r["gap_pct"], r["verdict"]) for r in long.collect()} == {(0.0, fv.VERDICTS["similar"])}
 
 
-@pytest.mark.parametrize(("step", "half_width"), [(0.1, 1.0), (None, 1.0), (None, 0.003), (0.5, 7.5)])
-def test_band_totals_equal_brute_force(spark, step, half_width):
+@pytest.mark.parametrize(
+    ("step", "half_width", "leaf"),
+    [(0.1, 1.0, 1 << 18), (None, 1.0, 1 << 18), (None, 0.003, 64), (0.5, 7.5, 10), (None, 1.0, 100), (0.1, 0.0, 7)],
+)
+def test_band_totals_equal_brute_force(spark, step, half_width, leaf):
     rng = random.Random(5)
 
     def rating():
@@ -107,9 +110,30 @@ def test_band_totals_equal_brute_force(spark, step, half_width):
         spark.createDataFrame([(c,) for c in [*centres, *centres, None]], "c double"),
         "c",
         half_width,
+        leaf,
     )
     expected = {}
     for c in centres:
         inside = [w for v, w in values if c - half_width <= v <= c + half_width]
         expected[c] = (len(inside), sum(inside))
     assert {r["c"]: (r["n"], r["w"]) for r in got.collect()} == expected
+
+
+def test_a_million_ratings_close_together(spark):
+    """They would share a cell of any grid as wide as the band; leaves follow the values instead."""
+    n, step = 1_000_000, 2.0**-22
+    values = spark.range(n).select((5.0 + F.col("id") * step).alias("v"), (F.col("id") % 1000).alias("w"))
+    far = spark.createDataFrame([(100.0 + i, 7) for i in range(50)], "v double, w bigint")
+    centres = [5.0 + k * 4001 * step for k in range(200)] + [4.5, 120.0, 149.5]
+    asked = spark.createDataFrame([(c,) for c in centres], "c double")
+    totals = {"n": F.count(F.lit(1)), "w": F.sum("w")}
+    half = 1000 * step
+    given = (values.union(far), "v", totals, asked, "c", half)
+    points = band_points(*given, leaf_points=50_000)
+    sizes = [r["count"] for r in points.groupBy("_leaf").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 100_000 and sum(sizes) == n + 50 + 2 * len(centres)
+    got = {r["c"]: (r["n"], r["w"]) for r in band_totals(*given, leaf_points=50_000).collect()}
+    for k, c in enumerate(centres[:200]):
+        inside = range(max(0, 4001 * k - 1000), min(n - 1, 4001 * k + 1000) + 1)
+        assert got[c] == (len(inside), sum(i % 1000 for i in inside))
+    assert got[4.5] == (0, 0) and got[120.0] == (1, 7) and got[149.5] == (0, 0)

@@ -167,3 +167,10 @@ def test_hot_name_in_a_registration(spark, world, skewed):
     )
     assert done.accepted.count() == 20_001
     assert rows(done.rejected.groupBy("reason").count()) == [("name_taken_in_batch", 9_999)]
+
+
+def test_rosters_are_not_shuffled_by_cap(spark):
+    """The averages of all caps are stored, so their size is known when the join is planned."""
+    for name in ("peer_benchmark", "peer_benchmark_long"):
+        plan = plan_of(entry.queries()[name](spark, SMALL))
+        assert not re.search(r"hashpartitioning\(cap_all", plan), plan

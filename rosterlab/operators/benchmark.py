@@ -70,7 +70,8 @@ def peer_benchmark(
     lowest munition id with ``one_munition``. A roster without any unit has no cap: count 0 and
     NULL averages.
     """
-    caps = roster_cap(slots, units)
+    # Stored, since both the bands and the rows of the result read them.
+    caps = freeze(roster_cap(slots, units))
     # A row per distinct cap. Stored, its size is known when the join with all rosters is planned: it is
     # broadcast while that is below the threshold, and only beyond it are rosters shuffled by cap.
     averages = freeze(peer_averages(units, specs, munitions, caps, half_width=half_width))

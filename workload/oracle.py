@@ -628,6 +628,13 @@ SOURCES = {
         SELECT w.change_id, w.roster_id, w.slot_no, m.unit_id, m.kind, w.verdict
         FROM walk w JOIN movable m ON w.change_id = m.change_id""",
     "slot_feed": WALKED_SLOTS,
+    "slot_feed_mixed": WALKED_SLOTS.replace(WALK, MIXED_WALK),
+    "slot_feed_mixed_log": f"""{MIXED_WALK}
+        SELECT change_id, roster_id, slot_no, unit_id, kind, reason AS verdict FROM static
+        WHERE reason IS NOT NULL
+        UNION ALL
+        SELECT w.change_id, w.roster_id, w.slot_no, m.unit_id, m.kind, w.verdict
+        FROM walk w JOIN movable m ON w.change_id = m.change_id""",
     "remove_slots_by_unit": """
         SELECT * FROM {slots} s WHERE NOT EXISTS (
             SELECT 1 FROM {removals} x

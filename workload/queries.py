@@ -24,7 +24,7 @@ from rosterlab.plans.durable import new_folder
 from rosterlab.plans.numbering import highest, number_rows
 from rosterlab.session import tune
 from rosterlab.sources import tables
-from rosterlab.streaming import feed
+from rosterlab.streaming import feed, live
 from workload.views import CATEGORY_LABELS, GAME_MODES, NATION_LABELS, VIEWS, Inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -440,6 +440,36 @@ def slot_feed(t):
     return changed.slots()
 
 
+def _live(t):
+    """The mixed log in four deliveries by time, the first of them twice, each a micro-batch."""
+    target = new_folder(t.spark, "live-slots")
+    inbox = f"{target}/inbox"
+    kept = live.LiveSlots(target, t.slot_clean, t.rosters, t.units, t.nations, t.categories)
+    log = t.mixed_changes
+    edges = t.spark.sql(
+        "SELECT percentile_approx(change_ts, array(0.25, 0.5, 0.75)) AS at FROM {log}", log=log
+    ).first()["at"]
+    lows, highs = [None, *edges], [*edges, None]
+    parts = []
+    for low, high in zip(lows, highs, strict=True):
+        part = log if low is None else log.where(F.col("change_ts") > F.lit(low))
+        parts.append(part if high is None else part.where(F.col("change_ts") <= F.lit(high)))
+    for part in (*parts, parts[0]):
+        part.write.mode("append").parquet(inbox)
+        kept.run(t.spark.readStream.schema(log.schema).parquet(inbox)).awaitTermination()
+    return kept
+
+
+@query
+def slot_feed_mixed(t):
+    return _live(t).slots()
+
+
+@query
+def slot_feed_mixed_log(t):
+    return _live(t).log()
+
+
 @query
 def remove_slots_by_unit(t):
     return changes.remove_slots(t.slots, t.removals)

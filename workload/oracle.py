@@ -441,6 +441,9 @@ SOURCES = {
         WHERE u.nation_id = 7 AND u.category_id = 'PROMO' AND u.rating >= 901.5
           AND u.rating <= 990.5 AND LOWER(u.name) LIKE '%l%_n%'""",
     "unit_search_all": LISTED,
+    "unit_search_indexed": f"""
+        SELECT k.keyword, s.* FROM {{keywords}} k
+        JOIN ({LISTED}) s ON LOWER(s.name) LIKE CONCAT('%', LOWER(k.keyword), '%')""",
     "unit_detail": f"""
         SELECT u.*, {NATION} AS nation, {CATEGORY} AS category, s.front, s.side, s.rear,
                m.name AS munition_name, m.kind AS munition_kind, m.pen

@@ -15,6 +15,7 @@ from rosterlab.operators import (
     intake,
     media,
     mixed,
+    names,
     quality,
     replay,
     roster,
@@ -90,6 +91,14 @@ def unit_search_all(t):
     return catalog.unit_search(t.units, t.nations, t.categories, **LABELS)
 
 
+@query
+def unit_search_indexed(t):
+    index = names.NameIndex(new_folder(t.spark, "names"))
+    index.build(t.units)
+    every = catalog.unit_search(t.units, t.nations, t.categories, **LABELS, sort=False)
+    return names.indexed_unit_search(index, t.keywords, every)
+
+
 @query
 def unit_detail(t):
     return catalog.unit_detail(t.units, t.nations, t.categories, t.specs, t.munitions, **LABELS)

@@ -50,6 +50,15 @@ VIEWS = {
                CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN '{DEFAULT_PATH}'
                     ELSE CONCAT('media/', p_brand, '.png') END AS media_path
         FROM {{part}}""",
+    # Search words: pieces of the names of every twentieth unit, with wildcards in all places.
+    "keywords": """
+        SELECT DISTINCT CASE CAST(FLOOR(unit_id / 20) AS BIGINT) % 8
+                 WHEN 0 THEN SUBSTR(name, 3, 5) WHEN 1 THEN CONCAT(SUBSTR(name, 1, 2), '%', SUBSTR(name, 6, 3))
+                 WHEN 2 THEN CONCAT('_', SUBSTR(name, 4, 3), '_') WHEN 3 THEN SUBSTR(name, 2, 2)
+                 WHEN 4 THEN UPPER(SUBSTR(name, 3, 6)) WHEN 5 THEN '%_%'
+                 WHEN 6 THEN CONCAT(SUBSTR(name, 1, 3), '_', SUBSTR(name, 5, 4))
+                 ELSE CONCAT('zz', SUBSTR(name, 1, 4)) END AS keyword
+        FROM {units} WHERE unit_id % 20 = 0""",
     "rosters": """
         SELECT o_orderkey AS roster_id, c_nationkey AS nation_id,
                CONCAT('roster-', CAST(o_orderkey AS STRING)) AS title,

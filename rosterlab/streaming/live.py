@@ -3,17 +3,20 @@
 Every roster's slots, the stamp of each slot's last change and the ids of the changes seen are
 state of a keyed operator. Changes (placements and removals, see ``operators/mixed.py``) are checked
 against the tables by stream-static joins, meet their roster's state and are applied in
-(change_ts, change_id) order of their micro-batch; their outcomes are appended to a log exactly once.
+(change_ts, change_id) order of their micro-batch; their outcomes are logged once: each micro-batch writes a version of its own, which
+a batch that is run again replaces.
 Nothing is rewritten: a micro-batch costs its changes and the rosters that they touch, however many
 rosters there are. The present slots are read from the state of the last finished batch.
 
 What a task holds is one roster's slots and its changes of one micro-batch, which the source's
-rate limit (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds. State lives in RocksDB on the
+rate limit (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds. The log also tells which units left
+at each change, so figures of rosters can follow from it (``operators/figures.py``). State lives in RocksDB on the
 executors and in the checkpoint folder, from which a lost executor's part is loaded again.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from rosterlab.operators.changes import static_reason
+from rosterlab.operators.figures import FigureLog
 from rosterlab.operators.mixed import PLACE, REMOVE_SLOT, REMOVE_UNIT
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _SLOT = ("roster_id", "unit_id", "slot_no", "role_note")
 _LOG = "change_id bigint, roster_id bigint, slot_no int, unit_id bigint, kind string, verdict string"
+_STORED = f"{_LOG}, left_units array<bigint>"
 _HELD = "unit_ids array<bigint>, notes array<string>, changed_us bigint, changed_id bigint"
 _MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', change_ts)"
 # A stored slot without a number is a place of its own; a state key cannot be null.
@@ -45,8 +50,11 @@ class RosterState:
     def __init__(self, slots: dict[int, tuple[list, list, tuple | None]]) -> None:
         self.slots = slots
         self.touched: set[int] = set()
+        self.left: list = []  # units that the last change took out
 
     def _put(self, slot_no: int, units: list, notes: list, stamp: tuple) -> None:
+        before = Counter(u for u in self.slots.get(slot_no, ([], [], None))[0] if u is not None)
+        self.left += (before - Counter(units)).elements()
         self.slots[slot_no] = (units, notes, stamp)
         self.touched.add(slot_no)
 
@@ -55,7 +63,12 @@ class RosterState:
         return last is not None and last >= stamp
 
     def apply(self, kind: str | None, slot_no: int | None, unit_id: int | None, stamp: tuple) -> str:
-        """Verdict of a change that no table refuses; older than its slot's last change, it is ``stale``."""
+        """Verdict of a change that no table refuses; older than its slot's last change, it is ``stale``.
+
+        ``left`` then has the units that it took out. A placed unit that was in its slot before did
+        not come: the verdict is ``replace``, and ``left`` has it if it is to count as new.
+        """
+        self.left = []
         if kind == REMOVE_UNIT:
             holds = [s for s, (units, _, _) in self.slots.items() if unit_id in units]
             free = [s for s in holds if not self._newer(s, stamp)]
@@ -70,10 +83,12 @@ class RosterState:
             if slot_no is not None:
                 self._put(slot_no, [], [], stamp)
             return "remove"
-        here = self.slots.get(slot_no, ([], [], None))[0]
+        here = list(self.slots.get(slot_no, ([], [], None))[0])
         if unit_id not in here and any(unit_id in units for units, _, _ in self.slots.values()):
             return "already_placed"
         self._put(slot_no, [unit_id], [""], stamp)
+        if unit_id in here:
+            self.left.append(unit_id)
         return "replace" if here else "add"
 
 
@@ -104,11 +119,12 @@ class _Processor(StatefulProcessor):
             slot_no, unit_id, stamp = _whole(row.slot_no), _whole(row.unit_id), (int(row.changed_us), change_id)
             self.seen.updateValue((change_id,), (stamp[0],))
             verdict = row.reason or state.apply(row.kind, slot_no, unit_id, stamp)
-            log.append((change_id, _whole(row.roster_id), slot_no, unit_id, row.kind, verdict))
+            left = [] if row.reason else state.left
+            log.append((change_id, _whole(row.roster_id), slot_no, unit_id, row.kind, verdict, left))
         for slot_no in state.touched:
             units, notes, stamp = state.slots[slot_no]
             self.held.updateValue((slot_no,), (units, notes, *stamp))
-        found = pd.DataFrame(log, columns=[c.split()[0] for c in _LOG.split(", ")])
+        found = pd.DataFrame(log, columns=[c.split()[0] for c in _STORED.split(", ")])
         yield found.astype({"slot_no": "Int32", "unit_id": "Int64", "roster_id": "Int64", "change_id": "int64"})
 
     def close(self) -> None:
@@ -166,27 +182,47 @@ class LiveSlots:
         )
         return rows.groupBy("roster_id", "part").transformWithStateInPandas(
             _Processor(),
-            outputStructType=_LOG,
+            outputStructType=_STORED,
             outputMode="Append",
             timeMode="None",
             initialState=before.groupBy("roster_id", "part"),
         )
 
-    def run(self, changes: DataFrame) -> StreamingQuery:
-        """Start the feed over a streaming ``changes`` and process everything available."""
+    def run(self, changes: DataFrame, figures: FigureLog | None = None) -> StreamingQuery:
+        """Start the feed over a streaming ``changes`` and process everything available.
+
+        ``figures``, started with the same slots, are brought up to date with every micro-batch.
+        """
         changes.sparkSession.conf.set(PROVIDER, ROCKSDB)
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{self._log}/version={batch_id}")
+            if figures:
+                figures.add(self.moves().where(F.col("version") == batch_id), batch_id + 1)
+
         return (
             self.outcomes(changes)
-            .writeStream.format("parquet")
-            .option("path", self._log)
+            .writeStream.foreachBatch(write)
             .option("checkpointLocation", self._progress)
             .trigger(availableNow=True)
             .start()
         )
 
+    def _read_log(self) -> DataFrame:
+        return self.start.sparkSession.read.schema(f"{_STORED}, version int").parquet(self._log)
+
     def log(self) -> DataFrame:
         """Outcome of every change so far."""
-        return self.start.sparkSession.read.schema(_LOG).parquet(self._log)
+        return self._read_log().drop("left_units", "version")
+
+    def moves(self) -> DataFrame:
+        """(roster_id, unit_id, weight, version): units that came (1) and left (-1) by each change."""
+        stored = self._read_log()
+        came = stored.where(F.col("verdict").isin("add", "replace"))
+        left = stored.select("roster_id", F.explode("left_units").alias("unit_id"), "version")
+        return came.select("roster_id", "unit_id", F.lit(1).alias("weight"), "version").union(
+            left.select("roster_id", "unit_id", F.lit(-1).alias("weight"), "version")
+        )
 
     def slots(self) -> DataFrame:
         """The slots of all rosters after the last finished batch."""

@@ -341,6 +341,8 @@ WALKED_SLOTS = f"""{WALK},
     SELECT roster_id, unit_id, slot_no, role_note FROM {{slot_clean}}
     WHERE roster_id NOT IN (SELECT roster_id FROM final)"""
 
+MIXED_SLOTS = WALKED_SLOTS.replace(WALK, MIXED_WALK)
+
 UNSET = "({0} IS NULL OR TRIM({0}) = '' OR {0} = '" + DEFAULT_PATH + "')"
 
 OWNER_NEW = """
@@ -623,7 +625,7 @@ SOURCES = {
         UNION ALL
         SELECT w.change_id, w.roster_id, w.slot_no, m.unit_id, w.verdict
         FROM walk w JOIN movable m ON w.change_id = m.change_id""",
-    "apply_mixed_changes": WALKED_SLOTS.replace(WALK, MIXED_WALK),
+    "apply_mixed_changes": MIXED_SLOTS,
     "apply_mixed_changes_log": f"""{MIXED_WALK}
         SELECT change_id, roster_id, slot_no, unit_id, kind, reason AS verdict FROM static
         WHERE reason IS NOT NULL
@@ -631,13 +633,17 @@ SOURCES = {
         SELECT w.change_id, w.roster_id, w.slot_no, m.unit_id, m.kind, w.verdict
         FROM walk w JOIN movable m ON w.change_id = m.change_id""",
     "slot_feed": WALKED_SLOTS,
-    "slot_feed_mixed": WALKED_SLOTS.replace(WALK, MIXED_WALK),
+    "slot_feed_mixed": MIXED_SLOTS,
     "slot_feed_mixed_log": f"""{MIXED_WALK}
         SELECT change_id, roster_id, slot_no, unit_id, kind, reason AS verdict FROM static
         WHERE reason IS NOT NULL
         UNION ALL
         SELECT w.change_id, w.roster_id, w.slot_no, m.unit_id, m.kind, w.verdict
         FROM walk w JOIN movable m ON w.change_id = m.change_id""",
+    "live_roster_summary": SUMMARY.replace("{slot_clean}", f"({MIXED_SLOTS})"),
+    "live_category_counts": f"""
+        SELECT roster_id, category, COUNT(*) AS unit_count
+        FROM ({DETAIL.replace("{slot_clean}", f"({MIXED_SLOTS})")}) GROUP BY roster_id, category""",
     "remove_slots_by_unit": """
         SELECT * FROM {slots} s WHERE NOT EXISTS (
             SELECT 1 FROM {removals} x

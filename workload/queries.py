@@ -12,6 +12,7 @@ from rosterlab.operators import (
     benchmark,
     catalog,
     changes,
+    figures,
     intake,
     media,
     mixed,
@@ -449,11 +450,14 @@ def slot_feed(t):
     return changed.slots()
 
 
-def _live(t):
+def _live(t, with_figures=False):
     """The mixed log in four deliveries by time, the first of them twice, each a micro-batch."""
     target = new_folder(t.spark, "live-slots")
     inbox = f"{target}/inbox"
     kept = live.LiveSlots(target, t.slot_clean, t.rosters, t.units, t.nations, t.categories)
+    followed = figures.FigureLog(f"{target}/figures", t.units)
+    if with_figures:
+        followed.start(t.slot_clean)
     log = t.mixed_changes
     edges = t.spark.sql(
         "SELECT percentile_approx(change_ts, array(0.25, 0.5, 0.75)) AS at FROM {log}", log=log
@@ -465,8 +469,9 @@ def _live(t):
         parts.append(part if high is None else part.where(F.col("change_ts") <= F.lit(high)))
     for part in (*parts, parts[0]):
         part.write.mode("append").parquet(inbox)
-        kept.run(t.spark.readStream.schema(log.schema).parquet(inbox)).awaitTermination()
-    return kept
+        arriving = t.spark.readStream.schema(log.schema).parquet(inbox)
+        kept.run(arriving, followed if with_figures else None).awaitTermination()
+    return followed if with_figures else kept
 
 
 @query
@@ -479,6 +484,16 @@ def slot_feed_mixed_log(t):
     return _live(t).log()
 
 
+@query
+def live_roster_summary(t):
+    return _live(t, with_figures=True).summary(t.rosters, t.nations, **NATIONS)
+
+
+@query
+def live_category_counts(t):
+    return _live(t, with_figures=True).category_counts(t.rosters, t.categories, **CATEGORIES)
+
+
 @query
 def remove_slots_by_unit(t):
     return changes.remove_slots(t.slots, t.removals)

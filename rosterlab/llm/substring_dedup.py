@@ -40,27 +40,28 @@ BLANKS = " \t\r\n"
 CUT = 43
 PIECE = rf"[{BLANKS}]*(?:[^{BLANKS}{MARKS}]+[{MARKS}]*|[{MARKS}]+)"
 _pieces = re.compile(PIECE).findall
+_mark_inside = re.compile(f"[{MARKS}][^{MARKS}]").search
+_KNOWN = 40  # characters of a word that is remembered
 
 
 @dataclass(frozen=True)
 class Spans:
     run: int = 6
-    flush_bytes: int = 12 << 20
+    flush_bytes: int = 8 << 20
 
 
-@functools.lru_cache(1 << 17)
-def looked_at(piece: str) -> tuple[str, bool, bool]:
-    """A piece's word, whether a line begins with it, and whether it ends a sentence."""
-    word = piece.lstrip(BLANKS)
-    ends = word[-1] in MARKS or hashlib.md5(word.encode()).digest()[0] < CUT
-    return word, "\n" in piece, ends
+def ends_sentence(piece: str) -> bool:
+    return piece[-1] in MARKS or hashlib.md5(piece.encode()).digest()[0] < CUT
 
 
-@functools.lru_cache(1 << 17)
-def parted(word: str) -> bool | tuple[tuple[str, bool], ...]:
+def parted(word: str) -> bool | list[tuple[str, bool]]:
     """Whether what stands between blanks ends a sentence; its pieces where marks lie inside it."""
-    pieces = tuple((piece, looked_at(piece)[2]) for piece in _pieces(word))
-    return pieces[0][1] if len(pieces) == 1 else pieces
+    if not _mark_inside(word):
+        return ends_sentence(word)
+    return [(piece, ends_sentence(piece)) for piece in _pieces(word)]
+
+
+_parted = functools.lru_cache(1 << 16)(parted)
 
 
 def sentences(text: str) -> list[str]:
@@ -74,7 +75,7 @@ def sentences(text: str) -> list[str]:
         for word in line.split(" "):
             if not word:
                 continue
-            ends = parted(word)
+            ends = _parted(word) if len(word) <= _KNOWN else parted(word)
             if ends is False:
                 words.append(word)
             elif ends is True:
@@ -97,9 +98,8 @@ def without(text: str, drop: set[int]) -> str:
     kept: list[str] = []
     n, at, fresh = -1, 0, True
     for piece in _pieces(text):
-        _, begins, ends = looked_at(piece)
-        n += fresh or begins
-        fresh = ends
+        n += fresh or "\n" in piece
+        fresh = ends_sentence(piece.lstrip(BLANKS))
         at += len(piece)
         if n not in drop:
             kept.append(piece)

@@ -80,6 +80,9 @@ class UnitSync:
     A row is refused as a whole, with its reason in ``rejected``, if a value that it would have to
     give is missing or breaks a rule of the tables: the unit's for a new unit, the spec's or the
     munition's where the unit has none yet. Refused rows take no part in anything else.
+
+    ``units``, ``specs`` and ``munitions`` may be the part of a store that the provided rows can match;
+    ``all_ids`` and ``all_munition_ids`` then have the ids in use in all of it.
     """
 
     def __init__(
@@ -92,7 +95,11 @@ class UnitSync:
         categories: DataFrame,
         default: str = fv.DEFAULT_MEDIA_PATH,
         order_by: str = "position",
+        all_ids: DataFrame | None = None,
+        all_munition_ids: DataFrame | None = None,
     ):
+        self._all_ids = units.select("unit_id") if all_ids is None else all_ids
+        self._all_shots = munitions if all_munition_ids is None else all_munition_ids
         self._units, self._specs, self._munitions = units, specs, munitions
         self._nations, self._categories = nations, categories
         self._provided, self._default, self._order = provided, default, order_by
@@ -145,10 +152,11 @@ class UnitSync:
     def _offers(self) -> DataFrame:
         """One row per provided unit: its first row and the path that the rows amount to.
 
-        That is the first path that is set, or else the last one.
+        That is the first path that is set, or else the last one. Stored, since all tables and the
+        new ids are worked out from it.
         """
         path_set = ~ex.is_unset(F.col("media_path"), self._default)
-        return (
+        return freeze(
             self._judged.where("_reason IS NULL")
             .groupBy(*_MATCH)
             .agg(
@@ -177,7 +185,7 @@ class UnitSync:
             fresh.groupBy("preferred_id")
             .agg(F.min(self._order).alias("_holder"))
             .join(
-                self._units.select(F.col("unit_id").alias("preferred_id")),
+                self._all_ids.select(F.col("unit_id").alias("preferred_id")),
                 "preferred_id",
                 "left_anti",
             )
@@ -189,7 +197,7 @@ class UnitSync:
             .drop("_holder")
         )
         granted = placed.where(F.col("unit_id").isNotNull())
-        top = max(highest(self._units, "unit_id"), highest(granted, "unit_id"))
+        top = highest(self._all_ids.union(granted.select("unit_id")), "unit_id")
         moved = number_rows(
             placed.where(F.col("unit_id").isNull()).drop("unit_id"), [self._order], "unit_id"
         ).withColumn("unit_id", F.col("unit_id") + F.lit(top))
@@ -225,7 +233,7 @@ class UnitSync:
     def munition(self) -> DataFrame:
         shown = self._munitions.where("is_representative").select("unit_id").distinct()
         missing = self._offered.join(shown, "unit_id", "left_anti")
-        top = highest(self._munitions, "munition_id")
+        top = highest(self._all_shots, "munition_id")
         new = number_rows(missing, [self._order], "_n").select(
             (F.col("_n") + F.lit(top)).alias("munition_id"),
             "unit_id",

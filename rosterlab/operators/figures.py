@@ -1,7 +1,9 @@
 """Figures of rosters kept up to date from moves of units in and out.
 
 A roster's figures follow from its tally: how many units of each nation, category and rating it
-holds, and what they cost. A tally can be taken back: a unit that leaves counts -1. So the figures
+holds, and what they cost. A tally can be taken back: a unit that leaves counts -1. Ratings are added up
+as decimals (ten digits behind the point), so the average does not depend on the order of moves; where the
+exact average ends on a five, it can differ in its last digit from one of doubles. So the figures
 are a log of signed tallies: version 0 for the slots at the start, then one version per batch of
 moves, which costs its moves and nothing else. Counts and costs are sums over the versions; the
 highest rating is that of the ratings whose count is not zero. ``compact`` folds the versions
@@ -75,12 +77,13 @@ class FigureLog:
     ) -> DataFrame:
         """The rows of ``roster_summary``."""
         rated = F.col("rating").isNotNull() & ~F.isnan("rating")
+        total = F.sum(F.when(rated, F.col("rating").cast("decimal(24,10)") * F.col("units").cast("decimal(12,0)")))
         figures = (
             self.tallies()
             .groupBy("roster_id", "nation_id")
             .agg(
                 F.sum("units").alias("unit_count"),
-                (F.sum(F.col("rating") * F.col("units")) / F.sum(F.when(rated, F.col("units")))).alias("_average"),
+                (total.cast("double") / F.sum(F.when(rated, F.col("units")))).alias("_average"),
                 F.max(F.when(F.col("units") > 0, F.col("rating"))).alias("cap_same_nation"),
                 F.when(F.sum("priced") > 0, F.sum("cost")).cast("bigint").alias("total_cost"),
             )

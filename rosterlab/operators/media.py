@@ -78,25 +78,22 @@ def media_resolve(
     """
     raw = F.coalesce(ex.strip(F.col(column)), F.lit(""))
     base = media_kind(items.select(key, raw.alias("_raw")), "_raw")
-    candidates = F.array(
-        F.when(F.col("_raw") != "", F.col("_raw")),
-        F.when(
-            (F.col("_raw") != "") & ~F.col("_raw").startswith("/"),
-            F.concat(F.lit(folder), F.col("_raw")),
-        ),
-        F.lit(default),
-    )
+    below = F.when(~F.col("_raw").startswith("/"), F.concat(F.lit(folder), F.col("_raw")))
+    candidates = F.when(F.col("_raw") != "", F.array(F.col("_raw"), below))
     # Paths repeat from item to item: look each distinct one up once, then hand the answer back.
     asked = base.where(F.col("media_kind") != "remote").select("_raw").distinct()
-    found = (
+    ranks = (
         asked.select("_raw", F.posexplode(candidates).alias("_rank", "path"))
         .join(manifest.select("path").distinct(), "path", "left_semi")
         .groupBy("_raw")
-        .agg(F.min_by("path", "_rank").alias("_found"))
+        .agg(F.min("_rank").alias("_rank"))
     )
+    found = ranks.select("_raw", F.when(F.col("_rank") == 0, F.col("_raw")).otherwise(below).alias("_found"))
+    # The default is the same for all: it is looked up once, not once a path.
+    fallback = manifest.where(F.col("path") == default).agg(F.max("path")).scalar()
     return base.join(found, "_raw", "left").select(
         key,
         F.when(F.col("media_kind") == "remote", F.col("_raw"))
-        .otherwise(F.col("_found"))
+        .otherwise(F.coalesce("_found", fallback))
         .alias("resolved"),
     )

@@ -35,16 +35,24 @@ def roster_list(
 
 
 def latest_roster_per_nation(rosters: DataFrame, nations: DataFrame | None = None) -> DataFrame:
-    """The newest roster of each nation, found by a mergeable maximum.
+    """The newest roster of each nation, of several the one with the highest id.
 
-    With ``nations``, rosters of nations that do not exist are left out, as in every list.
+    With ``nations``, rosters of nations that do not exist are left out, as in every list. Times and
+    ids are maxima of numbers, which are hashed; titles are fetched for the few that are left.
     """
     if nations is not None:
         rosters = rosters.join(nations.select("nation_id"), "nation_id", "left_semi")
-    newest = F.max(F.struct("created_at", "roster_id", "title"))
-    return rosters.groupBy("nation_id").agg(newest.alias("newest")).select(
-        "nation_id", "newest.roster_id", "newest.title", "newest.created_at"
+    rows = rosters.select("nation_id", "roster_id", "title", "created_at")
+    times = rows.groupBy("nation_id").agg(F.max("created_at").alias("_at"))
+    newest = (
+        rows.join(times.withColumnRenamed("nation_id", "_nation"), F.col("nation_id").eqNullSafe(F.col("_nation")))
+        .where(F.col("created_at").eqNullSafe(F.col("_at")))
+        .drop("_nation", "_at")
     )
+    ids = newest.groupBy("nation_id").agg(F.max("roster_id").alias("roster_id"))
+    last = ids.select(F.col("nation_id").alias("_nation"), F.col("roster_id").alias("_id"))
+    same = F.col("nation_id").eqNullSafe(F.col("_nation")) & F.col("roster_id").eqNullSafe(F.col("_id"))
+    return newest.join(last, same, "left_semi")
 
 
 def roster_slots(slots: DataFrame) -> DataFrame:
@@ -183,30 +191,36 @@ def slot_grid(
 ) -> DataFrame:
     """Ten rows for every roster, blank where no unit of its nation fills the slot.
 
-    Each roster's slots become one row of ten entries by a mergeable maximum; the grid is
-    unfolded after the join, so only one row per roster is shuffled. Where a slot number
-    occurs twice, the highest unit id is shown.
+    Each roster's slots become one row of ten ids by maxima of numbers, which are hashed; names and
+    ratings join the filled cells after the grid is unfolded. Where a slot number occurs twice, the
+    highest unit id is shown.
     """
     labelled = units.join(
         category_names(categories, "category", category_labels), "category_id"
     ).select("unit_id", "nation_id", F.col("name").alias("unit_name"), "category", "rating")
-    shown = F.struct("unit_id", "unit_name", "category", "rating")
     filled = (
         slots.select("roster_id", "unit_id", "slot_no")
         .where(F.col("slot_no").between(fv.FIRST_SLOT, fv.LAST_SLOT))
-        .join(labelled, "unit_id")
+        .join(labelled.select("unit_id", "nation_id"), "unit_id")
         .groupBy("roster_id", "nation_id")
-        .agg(*[F.max(F.when(F.col("slot_no") == n, shown)).alias(f"slot_{n}") for n in SLOT_NUMBERS])
+        .agg(*[F.max(F.when(F.col("slot_no") == n, F.col("unit_id"))).alias(f"slot_{n}") for n in SLOT_NUMBERS])
     )
     entries = F.array(
-        *[F.struct(F.lit(n).alias("slot_no"), F.col(f"slot_{n}").alias("held")) for n in SLOT_NUMBERS]
+        *[F.struct(F.lit(n).alias("slot_no"), F.col(f"slot_{n}").alias("unit_id")) for n in SLOT_NUMBERS]
     )
-    return (
+    # Blank cells match nothing; the second key keeps them from meeting in one task.
+    spread = F.when(F.col("unit_id").isNull(), F.pmod(F.xxhash64("roster_id"), F.lit(1 << 16))).otherwise(0)
+    cells = (
         rosters.select("roster_id", "nation_id")
         .join(nations.select("nation_id"), "nation_id", "left_semi")
         .join(filled, ["roster_id", "nation_id"], "left")
         .select("roster_id", F.explode(entries).alias("entry"))
-        .select("roster_id", "entry.slot_no", "entry.held.*")
+        .select("roster_id", "entry.*")
+        .withColumn("_spread", spread.cast("bigint"))
+    )
+    shown = labelled.drop("nation_id").withColumn("_spread", F.lit(0).cast("bigint"))
+    return cells.join(shown, ["unit_id", "_spread"], "left").select(
+        "roster_id", "slot_no", "unit_id", "unit_name", "category", "rating"
     )
 
 

@@ -640,7 +640,10 @@ SOURCES = {
         UNION ALL
         SELECT w.change_id, w.roster_id, w.slot_no, m.unit_id, m.kind, w.verdict
         FROM walk w JOIN movable m ON w.change_id = m.change_id""",
-    "live_roster_summary": SUMMARY.replace("{slot_clean}", f"({MIXED_SLOTS})"),
+    # The average of decimals, as the figures are kept.
+    "live_roster_summary": SUMMARY.replace(
+        "AVG(u.rating)", "CAST(SUM(CAST(u.rating AS DECIMAL(24, 10))) AS DOUBLE) / COUNT(u.rating)"
+    ).replace("{slot_clean}", f"({MIXED_SLOTS})"),
     "live_category_counts": f"""
         SELECT roster_id, category, COUNT(*) AS unit_count
         FROM ({DETAIL.replace("{slot_clean}", f"({MIXED_SLOTS})")}) GROUP BY roster_id, category""",
@@ -721,6 +724,30 @@ SOURCES = {
             SELECT unit_id FROM {{old_munitions}} WHERE is_representative)""",
 }
 
+# Syncs over ranges, and the whole reference load, give the tables of the plain sync.
+for _name, _plain in {
+    "sync_ranges_units": "sync_units",
+    "sync_ranges_specs": "sync_units_specs",
+    "sync_ranges_munitions": "sync_units_munitions",
+    "refresh_specs": "sync_units_specs",
+    "refresh_munitions": "sync_units_munitions",
+    "available_set_counts": "available_counts",
+    "register_feed": "register_units_accepted",
+    "provider_load_nations": "nation_rows",
+    "provider_load_units": "first_load_units",
+    "provider_load_munitions": "first_load_munitions",
+}.items():
+    SOURCES[_name] = SOURCES.get(_plain, "SELECT nation_id, name, flag_path FROM {nations}")
+SOURCES["available_bitmaps"] = f"SELECT roster_id, unit_id FROM ({SOURCES['available_units']})"
+SOURCES["refresh_nations"] = """
+        SELECT * FROM {old_nations}
+        UNION ALL SELECT nation_id, name, CONCAT('new/', flag_path) FROM {nations}
+        WHERE nation_id NOT IN (SELECT nation_id FROM {old_nations})"""
+SOURCES["refresh_categories"] = """
+        SELECT * FROM {old_categories}
+        UNION ALL SELECT category_id, name, CONCAT('new ', description) FROM {categories}
+        WHERE category_id NOT IN (SELECT category_id FROM {old_categories})"""
+
 
 def statements() -> dict[str, str]:
     return {name: duckdb_sql(body) for name, body in SOURCES.items()}

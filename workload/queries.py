@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rosterlab import schemas
 from rosterlab.operators import (
+    availability,
     benchmark,
     catalog,
     changes,
@@ -18,6 +19,7 @@ from rosterlab.operators import (
     mixed,
     names,
     quality,
+    ranges,
     replay,
     roster,
     sync,
@@ -25,8 +27,8 @@ from rosterlab.operators import (
 from rosterlab.plans.durable import new_folder
 from rosterlab.plans.numbering import highest, number_rows
 from rosterlab.session import tune
-from rosterlab.sources import tables
-from rosterlab.streaming import feed, live
+from rosterlab.sources import provider, tables
+from rosterlab.streaming import feed, intake_feed, live
 from workload.views import CATEGORY_LABELS, GAME_MODES, NATION_LABELS, VIEWS, Inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +195,22 @@ def available_counts(t):
     )
 
 
+def _available_sets(t):
+    return availability.available_sets(t.rosters, t.units, t.nations, t.slots, t.categories)
+
+
+@query
+def available_set_counts(t):
+    return _available_sets(t).select("roster_id", "available_count")
+
+
+@query
+def available_bitmaps(t):
+    newest = roster.latest_roster_per_nation(t.rosters, t.nations).select("roster_id")
+    sets = _available_sets(t).join(newest, "roster_id", "left_semi")
+    return availability.unfolded(sets, availability.nation_bitmaps(t.units, t.nations, t.categories))
+
+
 @query
 def units_in_use(t):
     return roster.units_in_use(t.stock, t.slots)
@@ -325,6 +343,27 @@ def register_units_rejected(t):
     return _registration(t).rejected
 
 
+@query
+def register_feed(t):
+    """The registrations as raw text, in four deliveries by request, the first of them twice."""
+    target = new_folder(t.spark, "intake")
+    fields = t.registrations.schema
+    fed = intake_feed.IntakeFeed(
+        f"{target}/out", t.units, t.munitions, t.nations, t.categories, fields,
+        ints=("nation_id", "tier", "front", "side", "rear", "pen"),
+    )
+    fed.start()
+    raw = t.registrations.select("request_id", *[F.col(c).cast("string") for c in fields.names if c != "request_id"])
+    edges = raw.agg(F.percentile_approx("request_id", [0.25, 0.5, 0.75]).alias("at")).first()["at"]
+    place = F.lit(0)
+    for edge in edges:
+        place = place + (F.col("request_id") > edge).cast("int")
+    for part in (0, 1, 2, 3, 0):
+        raw.where(place == part).write.mode("append").parquet(f"{target}/inbox")
+        fed.run(t.spark.readStream.schema(raw.schema).parquet(f"{target}/inbox"), f"{target}/progress").awaitTermination()
+    return fed.table(intake_feed.ACCEPTED).drop("version")
+
+
 @query
 def register_units_tables(t):
     """Row counts and value totals of the three tables after the registration."""
@@ -518,6 +557,35 @@ def first_load_units(t):
     return _first_load(t, "unit")
 
 
+def _provided_load(t, name):
+    """The same first load from a provider behind the data source, a part for each of its files."""
+    folder, root = new_folder(t.spark, "provider"), new_folder(t.spark, "store")
+    t.wide_units.repartition(4).write.json(f"{folder}/{provider.STAGED}")
+    t.nations.write.json(f"{folder}/nation")
+    provider.register(t.spark)
+    wide, nations = (
+        provider.provided(t.spark, table, "rosterlab.sources.provider:LineFiles", path=folder)
+        for table in (provider.STAGED, "nation")
+    )
+    tables.seed(t.spark, root, {"nation": nations} | changes.split_seed(wide, "unit_id"))
+    return tables.read_table(t.spark, root, name)
+
+
+@query
+def provider_load_nations(t):
+    return _provided_load(t, "nation")
+
+
+@query
+def provider_load_units(t):
+    return _provided_load(t, "unit")
+
+
+@query
+def provider_load_munitions(t):
+    return _provided_load(t, "munition")
+
+
 @query
 def first_load_specs(t):
     return _first_load(t, "spec")
@@ -563,6 +631,33 @@ def sync_units_munitions(t):
     return _synced(t).munition
 
 
+def _ranged(t):
+    """The same sync over ranges, then again: nothing differs, so nothing is read."""
+    schemas = {"unit": t.old_units.schema, "spec": t.old_specs.schema, "munition": t.old_munitions.schema}
+    store = ranges.RangeStore(t.spark, new_folder(t.spark, "ranged"), schemas, ranges=32)
+    store.load(t.old_units, t.old_specs, t.old_munitions)
+    provider = ranges.laid_out(t.provided_units, 32)
+    store.sync(provider, t.nations, t.categories)
+    if store.sync(provider, t.nations, t.categories).ranges:
+        raise RuntimeError("equal ranges were read again")
+    return store
+
+
+@query
+def sync_ranges_units(t):
+    return _ranged(t).table("unit")
+
+
+@query
+def sync_ranges_specs(t):
+    return _ranged(t).table("spec")
+
+
+@query
+def sync_ranges_munitions(t):
+    return _ranged(t).table("munition")
+
+
 @query
 def sync_units_rejected(t):
     return sync.UnitSync(
@@ -570,19 +665,39 @@ def sync_units_rejected(t):
     ).rejected
 
 
-@query
-def refresh_units(t):
-    provided = {
-        "nation": t.nations.withColumn("position", F.col("nation_id")),
-        "category": t.categories.withColumn("position", F.col("category_id")),
-        "unit": t.provided_units,
-    }
+def _refreshed(t):
+    provided = {"nation": t.provided_nations, "category": t.provided_categories, "unit": t.provided_units}
     stored = {
-        "nation": t.nations,
-        "category": t.categories,
+        "nation": t.old_nations,
+        "category": t.old_categories,
         "unit": t.old_units,
         "spec": t.old_specs,
         "munition": t.old_munitions,
     }
     named = t.provided_units.groupBy("name").agg(F.max("media_path").alias("path"))
-    return sync.refresh(stored, provided, named)["unit"]
+    return sync.refresh(stored, provided, named)
+
+
+@query
+def refresh_nations(t):
+    return _refreshed(t)["nation"]
+
+
+@query
+def refresh_categories(t):
+    return _refreshed(t)["category"]
+
+
+@query
+def refresh_units(t):
+    return _refreshed(t)["unit"]
+
+
+@query
+def refresh_specs(t):
+    return _refreshed(t)["spec"]
+
+
+@query
+def refresh_munitions(t):
+    return _refreshed(t)["munition"]

@@ -207,6 +207,19 @@ VIEWS = {
     # Owners: suppliers are stored; customers and renumbered suppliers are provided.
     "owners": """
         SELECT s_suppkey AS owner_id, s_name AS name, 'stored' AS note FROM {supplier}""",
+    # Nations and categories of an older store, and a provider that has all of them with new texts
+    # and under second ids.
+    "old_nations": "SELECT * FROM {nations} WHERE nation_id % 5 <> 0",
+    "provided_nations": """
+        SELECT nation_id, name, CONCAT('new/', flag_path) AS flag_path, CAST(nation_id AS BIGINT) AS position
+        FROM {nations}
+        UNION ALL
+        SELECT CAST(100 + nation_id AS INT), name, 'twin', CAST(1000 + nation_id AS BIGINT) FROM {nations}""",
+    "old_categories": "SELECT * FROM {categories} WHERE category_id NOT IN ('PROMO', 'LARGE')",
+    "provided_categories": """
+        SELECT category_id, name, CONCAT('new ', description) AS description, 1 AS position FROM {categories}
+        UNION ALL
+        SELECT CONCAT('twin ', category_id), name, 'twin', 2 FROM {categories}""",
     "provided_owners": """
         SELECT c_custkey AS owner_id, c_name AS name, 'customer' AS note, c_custkey AS position
         FROM {customer}

@@ -75,7 +75,7 @@ class Dedup:
     most_splitters: int = 1 << 15
     filter_bits: int = 1 << 26
     hot: float = 2.0
-    flush_bytes: int = 6 << 20  # text of a task that is looked at together
+    flush_bytes: int = 4 << 20  # text of a task that is looked at together
     level: int = 3
 
 

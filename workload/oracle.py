@@ -732,6 +732,9 @@ for _name, _plain in {
     "refresh_specs": "sync_units_specs",
     "refresh_munitions": "sync_units_munitions",
     "available_set_counts": "available_counts",
+    "audit_followed_unique": "audit_unique",
+    "audit_followed_fk": "audit_fk",
+    "audit_followed_checks": "audit_check",
     "register_feed": "register_units_accepted",
     "provider_load_nations": "nation_rows",
     "provider_load_units": "first_load_units",

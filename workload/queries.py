@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rosterlab import schemas
 from rosterlab.operators import (
+    audit_state,
     availability,
     benchmark,
     catalog,
@@ -319,6 +320,51 @@ def audit_fk(t):
     )
 
 
+def _followed(t, final, kind, **rules):
+    """The tables' audit, then change sets that turn them into ``final``, and its report."""
+    log = audit_state.AuditLog(new_folder(t.spark, "audit"), **({"keys": (), "references": (), "required": {}} | rules))
+    first = _tables(t)
+    log.apply({name: audit_state.weighted(came=df) for name, df in first.items()}, 0)
+    version = 1
+    for name in [n for n in final if final[n] is not first[n]]:
+        sets = [{name: audit_state.weighted(final[name], first[name])}]
+        # Parents go, and come back.
+        sets += [{"nation": audit_state.weighted(went=t.nations)}, {"nation": audit_state.weighted(came=t.nations)}]
+        for changes in sets:
+            log.apply(changes, version)
+            version += 1
+    return log.report(t.spark).where(F.col("kind") == kind)
+
+
+@query
+def audit_followed_unique(t):
+    tables = _tables(t)
+    # The slots without repeats come first and are replaced by all.
+    start = tables | {"slot": t.slot_clean}
+    log = audit_state.AuditLog(new_folder(t.spark, "audit"), references=(), required={})
+    log.apply({name: audit_state.weighted(came=df) for name, df in start.items()}, 0)
+    log.apply({"slot": audit_state.weighted(t.slots, t.slot_clean)}, 1)
+    return log.report(t.spark).drop("kind")
+
+
+@query
+def audit_followed_fk(t):
+    final = _tables(t) | {
+        "unit": t.registrations.withColumn("unit_id", F.col("request_id")),
+        "slot": t.slot_changes,
+        "spec": t.delete_requests,
+    }
+    return _followed(t, final, audit_state.REFERENCE, references=schemas.REFERENCES).drop("kind")
+
+
+@query
+def audit_followed_checks(t):
+    wide = t.registrations
+    final = _tables(t) | {"unit": wide, "spec": wide, "munition": wide, "slot": t.slot_changes}
+    found = _followed(t, final, audit_state.CHECK, keys=schemas.KEYS[:1], checks=schemas.checks(GAME_MODES))
+    return found.drop("kind", "rows_involved")
+
+
 @query
 def intake_validate(t):
     checked = intake.intake_validate(

@@ -72,9 +72,8 @@ def peer_benchmark(
     """
     # Stored, since both the bands and the rows of the result read them.
     caps = freeze(roster_cap(slots, units))
-    # A row per distinct cap. Stored, its size is known when the join with all rosters is planned: it is
-    # broadcast while that is below the threshold, and only beyond it are rosters shuffled by cap.
-    averages = freeze(peer_averages(units, specs, munitions, caps, half_width=half_width))
+    # A row per distinct cap: sent to all rosters while there are few enough, see ``band_totals``.
+    averages = peer_averages(units, specs, munitions, caps, half_width=half_width)
     shots = munitions.where("is_representative").select(
         "unit_id",
         "munition_id",

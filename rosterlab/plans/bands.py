@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from rosterlab.plans.durable import freeze
 
 LEAF_POINTS = 1 << 18
+# A result of so many rows, some 100 bytes each, is sent to every task that joins it.
+SMALL_RESULT = 1 << 18
 
 _AT, _SIDE, _LEAF = "_at", "_side", "_leaf"
 _BELOW, _ROW, _ABOVE = 0, 1, 2
@@ -77,6 +79,8 @@ def band_totals(
     """
     names = list(totals)
     points = band_points(rows, value, totals, centres, centre, half_width, leaf_points)
+    # Two points a centre are stored, so their number, and with it the result's, is known.
+    few = points.count() <= 2 * SMALL_RESULT
     in_leaf = Window.partitionBy(_LEAF).orderBy(_AT, _SIDE).rowsBetween(Window.unboundedPreceding, 0)
     per_leaf = points.groupBy(_LEAF).agg(*[F.sum(name).alias(name) for name in names])
     earlier = Window.orderBy(_LEAF).rowsBetween(Window.unboundedPreceding, -1)
@@ -84,10 +88,11 @@ def band_totals(
         _LEAF, *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}{_LEAF}") for name in names]
     )
     sign = F.when(F.col(_SIDE) == _ABOVE, 1).otherwise(-1)
-    return (
+    found = (
         points.select(centre, _LEAF, _SIDE, *[F.sum(name).over(in_leaf).alias(name) for name in names])
         .where(F.col(_SIDE) != _ROW)
-        .join(before, _LEAF)
+        .join(F.broadcast(before), _LEAF)  # a row per leaf
         .groupBy(centre)
         .agg(*[F.sum(sign * (F.col(name) + F.col(f"{name}{_LEAF}"))).alias(name) for name in names])
     )
+    return F.broadcast(found) if few else found

@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlab.plans.durable import freeze
+from rosterlab.plans.durable import freeze, freeze_counted
 
 LEAF_POINTS = 1 << 18
 # A result of so many rows, some 100 bytes each, is sent to every task that joins it.
@@ -33,8 +33,8 @@ def band_points(
     centre: str,
     half_width: float,
     leaf_points: int = LEAF_POINTS,
-) -> DataFrame:
-    """The distinct values with their totals, the edges of all bands, and the leaf of each."""
+) -> tuple[DataFrame, int]:
+    """The distinct values with their totals, the edges of all bands, the leaf of each, and how many."""
     names = list(totals)
     low, high = F.col(centre) - half_width, F.col(centre) + half_width
     distinct = centres.select(centre).where(F.col(centre).isNotNull()).distinct()
@@ -55,12 +55,12 @@ def band_points(
             )
         ).alias("edge"),
     ).select(centre, f"edge.{_AT}", f"edge.{_SIDE}", *nothing)
-    points = freeze(per_value.unionByName(edges))
-    leaves = max(1, -(-points.count() // leaf_points))
+    points, n = freeze_counted(per_value.unionByName(edges))
+    leaves = max(1, -(-n // leaf_points))
     if leaves == 1:
-        return points.withColumn(_LEAF, F.lit(0))
+        return points.withColumn(_LEAF, F.lit(0)), n
     # A repeated task might cut the axis elsewhere, so the leaves are stored.
-    return freeze(points.repartitionByRange(leaves, _AT, _SIDE).withColumn(_LEAF, F.spark_partition_id()))
+    return freeze(points.repartitionByRange(leaves, _AT, _SIDE).withColumn(_LEAF, F.spark_partition_id())), n
 
 
 def band_totals(
@@ -78,9 +78,9 @@ def band_totals(
     sums), which keeps the difference of two running totals exact.
     """
     names = list(totals)
-    points = band_points(rows, value, totals, centres, centre, half_width, leaf_points)
-    # Two points a centre are stored, so their number, and with it the result's, is known.
-    few = points.count() <= 2 * SMALL_RESULT
+    points, n = band_points(rows, value, totals, centres, centre, half_width, leaf_points)
+    # Two points a centre: the result's number of rows is known.
+    few = n <= 2 * SMALL_RESULT
     in_leaf = Window.partitionBy(_LEAF).orderBy(_AT, _SIDE).rowsBetween(Window.unboundedPreceding, 0)
     per_leaf = points.groupBy(_LEAF).agg(*[F.sum(name).alias(name) for name in names])
     earlier = Window.orderBy(_LEAF).rowsBetween(Window.unboundedPreceding, -1)

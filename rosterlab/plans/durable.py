@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -40,3 +41,9 @@ def freeze(df: DataFrame) -> DataFrame:
     path = new_folder(spark, "frozen")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def freeze_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Stored rows and their number, counted while they are written."""
+    seen = Observation()
+    return freeze(df.observe(seen, F.count(F.lit(1)).alias("rows"))), seen.get["rows"]

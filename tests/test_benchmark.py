@@ -129,7 +129,8 @@ def test_a_million_ratings_close_together(spark):
     totals = {"n": F.count(F.lit(1)), "w": F.sum("w")}
     half = 1000 * step
     given = (values.union(far), "v", totals, asked, "c", half)
-    points = band_points(*given, leaf_points=50_000)
+    points, counted = band_points(*given, leaf_points=50_000)
+    assert counted == points.count()
     sizes = [r["count"] for r in points.groupBy("_leaf").count().collect()]
     assert len(sizes) > 15 and max(sizes) < 100_000 and sum(sizes) == n + 50 + 2 * len(centres)
     got = {r["c"]: (r["n"], r["w"]) for r in band_totals(*given, leaf_points=50_000).collect()}

@@ -61,7 +61,7 @@ def ordered(rows):
     return sorted(found, key=lambda r: (-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["h"]))
 
 
-def cut_by_brute_force(rows, length=100):
+def cut_by_brute_force(rows, length=100, texts=False):
     seen, out = set(), {}
     for r in ordered(rows):
         text, mask = (r["text"] or "").encode(), []
@@ -74,6 +74,8 @@ def cut_by_brute_force(rows, length=100):
         left = bytes(b for b, m in zip(text, mask) if not m)
         runs = sum(m and (i == 0 or not mask[i - 1]) for i, m in enumerate(mask))
         out[r["doc_id"], r["text"]] = (len(text), sum(mask), runs, hashlib.sha256(left).hexdigest())
+        if texts:
+            out[r["doc_id"], r["text"]] = left.decode("utf-8", "ignore")
     return out
 
 
@@ -493,14 +495,56 @@ def test_models_on_odd_and_empty_tables(spark, docs, empty):
 
 
 def test_pipeline_stages(spark, small):
+    """Each stage's rows against the same decision made document by document."""
     from rosterlab.llm.common import stored
 
+    def ids(df):
+        return sorted(r["doc_id"] for r in df.select("doc_id").collect())
+
     docs = small.withColumn("score", F.lit("clash"))
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stored(stage(spark, docs, SMALL), name)
-        assert after.columns == docs.columns
-        assert 0 < after.count() <= docs.count()
-        docs = after
-    assert suffix_dedup.remove_repeats(docs).where("n_bytes < 0").count() == 0
-    packed = corpus_pipeline.packed(spark, docs, SMALL)
-    assert packed.select("doc_id").distinct().count() == docs.count()
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["language", "toxicity", "near_copies", "repeats", "packing"]
+
+    trees = queries.language_trees(docs)
+    rows = docs.select("doc_id", "text").collect()
+    names, scores, _ = language_id.judged([(r["text"] or "").encode() for r in rows], trees, language_id.Learning())
+    least = corpus_pipeline.LEAST_LANGUAGE_SCORE
+    known = sorted(r["doc_id"] for r, n, s in zip(rows, names, scores) if n != "und" and s >= least)
+    after = stored(stages["language"](spark, docs, SMALL), "language")
+    assert after.columns == docs.columns and ids(after) == known and 0 < len(known) < len(rows)
+
+    model = queries.toxicity_model(spark, SMALL, after)
+    rows = after.select("doc_id", "text").collect()
+    marked = model.scores([r["text"].encode() for r in rows]) >= 0.5
+    clean = stored(stages["toxicity"](spark, after, SMALL), "toxicity")
+    assert clean.columns == docs.columns and marked.any()
+    assert ids(clean) == sorted(r["doc_id"] for r, m in zip(rows, marked) if not m)
+
+    prints = {r["doc_id"]: fingerprint(r["text"]) for r in clean.select("doc_id", "text").collect()}
+    group = {i: i for i in prints}
+    for _ in prints:
+        new = {i: min(group[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 4) for i in prints}
+        if new == group:
+            break
+        group = new
+    single = stored(stages["near_copies"](spark, clean, SMALL), "near_copies")
+    assert single.columns == docs.columns and ids(single) == sorted(set(group.values()))
+    assert len(set(group.values())) < len(prints)
+
+    left = cut_by_brute_force(single, texts=True)
+    cut = stored(stages["repeats"](spark, single, SMALL), "repeats")
+    assert cut.columns == docs.columns
+    texts = {r["doc_id"]: r["text"] for r in single.collect()}
+    for r in cut.collect():
+        assert r["text"] == left[r["doc_id"], texts[r["doc_id"]]] and r["n_chars"] == len(r["text"])
+    assert ids(cut) == ids(single) and any(left[k] != k[1] for k in left)
+
+    packed = stages["packing"](spark, cut, SMALL).collect()
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(queries.BYTE_TOKENIZER)
+    sizes = {r["doc_id"]: len(slow.encode(r["text"], add_special_tokens=False).ids) + 1 for r in cut.collect()}
+    found = {}
+    for r in packed:
+        found[r["doc_id"]] = found.get(r["doc_id"], 0) + r["length"]
+    assert found == sizes

@@ -2,13 +2,16 @@
 
 The rows go to reliable storage as Parquet, so the loss of an executor never loses them and later
 stages read only the columns they use. The folder is the one the cluster names in
-``spark.checkpoint.dir``.
+``spark.checkpoint.dir``. Results read these rows until they are written themselves, so only who asked for
+them knows when they can go: ``scratch`` deletes what was stored inside it.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +34,31 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_open_scopes: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    for made in _open_scopes:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the folders that were made inside: results have to be written by then."""
+    made: list[str] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        # Not remove(), which would take another scope with equal paths.
+        _open_scopes[:] = [scope for scope in _open_scopes if scope is not made]
+        settings = spark._jsc.hadoopConfiguration()
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(settings).delete(path, True)
 
 
 def freeze(df: DataFrame) -> DataFrame:

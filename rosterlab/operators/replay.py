@@ -7,8 +7,10 @@ walked in order in Python; a free change meets them only as "this slot holds no
 more", which the first one after a contended change of the slot says for all that follow. The rest,
 the outcome of every change and the final slots, are windows and aggregates per (roster, slot).
 
-A roster all of whose changes are contended stays sequential by meaning; its task streams and
-holds the contended units of its slots alone.
+Contended units tie the slots that they meet together; slots that no unit ties are independent of each
+other. So the walk goes by such groups of slots, and the changes of one roster, however many, are walked
+in as many tasks as it has groups. One group stays sequential by meaning; its task streams and holds the
+contended units of its slots alone.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rosterlab.operators.changes import static_reason
@@ -50,14 +52,14 @@ def place(held: dict[int, set[int]], slot_no: int, unit_id: int) -> bool:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    roster, held = None, {}
-    names = ("roster_id", "step", "slot_no", "unit_id", "contended")
+    group, held = None, {}
+    names = ("roster_id", "slots", "step", "slot_no", "unit_id", "contended")
     for batch in batches:
         taken: list[bool | None] = []
         for row in zip(*[batch.column(n).to_pylist() for n in names], strict=True):
-            this_roster, step, slot_no, unit_id, contended = row
-            if this_roster != roster:
-                roster, held = this_roster, {}
+            roster_id, slots, step, slot_no, unit_id, contended = row
+            if (roster_id, slots) != group:
+                group, held = (roster_id, slots), {}
             outcome = None
             if step == 0:
                 held.setdefault(slot_no, set()).add(unit_id)
@@ -73,26 +75,64 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield walked.filter(pc.is_valid(flags))
 
 
-def contended_pairs(slots: DataFrame, movable: DataFrame) -> DataFrame:
-    """(roster, unit) pairs that a change asks for and that meet more than one slot number."""
+def slot_bit(slot_no: Column) -> Column:
+    """A bit for a slot number; slots without a number share one, as do numbers 62 apart."""
+    place = F.pmod(F.coalesce(slot_no, F.lit(-1)), F.lit(62)).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+
+
+def contended_masks(slots: DataFrame, movable: DataFrame) -> DataFrame:
+    """Contended (roster, unit) pairs with the bits of all slots that the unit meets."""
     asked = movable.groupBy("roster_id", "unit_id").agg(
-        F.min("slot_no").alias("_low"), F.max("slot_no").alias("_high")
+        F.min("slot_no").alias("_low"), F.max("slot_no").alias("_high"),
+        F.bit_or(slot_bit(F.col("slot_no"))).alias("_asked"),
     )
     # A stored slot without a number is a place of its own.
     number = F.coalesce(F.col("slot_no"), F.lit(-1))
     stored = slots.groupBy("roster_id", "unit_id").agg(
-        F.min(number).alias("_stored_low"), F.max(number).alias("_stored_high")
+        F.min(number).alias("_stored_low"), F.max(number).alias("_stored_high"),
+        F.bit_or(slot_bit(F.col("slot_no"))).alias("_held"),
     )
     return (
         asked.join(stored, ["roster_id", "unit_id"], "left")
         .where(F.least("_low", "_stored_low") < F.greatest("_high", "_stored_high"))
-        .select("roster_id", "unit_id")
+        .select("roster_id", "unit_id", F.col("_asked").bitwiseOR(F.coalesce("_held", F.lit(0))).alias("_mask"))
     )
 
 
-def walk_input(slots: DataFrame, flagged: DataFrame, pairs: DataFrame) -> DataFrame:
-    """What the walk has to see: where contended units are, then (step 1) changes in order."""
-    start = slots.join(pairs, ["roster_id", "unit_id"], "left_semi").select(
+def contended_pairs(slots: DataFrame, movable: DataFrame) -> DataFrame:
+    """(roster, unit) pairs that a change asks for and that meet more than one slot number."""
+    return contended_masks(slots, movable).drop("_mask")
+
+
+def slot_groups(masks: DataFrame) -> DataFrame:
+    """(roster, groups): the slots of each roster that contended units tie together, as disjoint bit sets."""
+    def joined(groups: Column, mask: Column) -> Column:
+        meets = lambda g: g.bitwiseAND(mask) != 0
+        apart = F.filter(groups, lambda g: ~meets(g))
+        tied = F.aggregate(F.filter(groups, meets), mask, lambda a, g: a.bitwiseOR(g))
+        return F.concat(apart, F.array(tied))
+
+    none = F.array().cast("array<bigint>")
+    return masks.groupBy("roster_id").agg(
+        F.aggregate(F.collect_set("_mask"), none, joined).alias("_groups")
+    )
+
+
+def walk_input(slots: DataFrame, flagged: DataFrame, masks: DataFrame) -> DataFrame:
+    """What the walk has to see, by group of slots: where contended units are, then (step 1) changes."""
+    groups = slot_groups(masks)
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        of_slot = F.filter("_groups", lambda g: g.bitwiseAND(slot_bit(F.col("slot_no"))) != 0)
+        return (
+            rows.join(groups, "roster_id")
+            .withColumn("slots", F.get(of_slot, F.lit(0)))
+            .where("slots IS NOT NULL")
+            .drop("_groups")
+        )
+
+    start = slots.join(masks, ["roster_id", "unit_id"], "left_semi").select(
         "roster_id", "slot_no", "unit_id"
     ).distinct().select(
         F.lit(None).cast("bigint").alias("change_id"),
@@ -105,12 +145,12 @@ def walk_input(slots: DataFrame, flagged: DataFrame, pairs: DataFrame) -> DataFr
     )
     follows_free = F.lag(~F.col("contended")).over(_in_slot())
     moves = (
-        flagged.join(pairs.select("roster_id").distinct(), "roster_id", "left_semi")
+        grouped(flagged.select(*_CHANGE, "contended"))
         .withColumn("_seen", F.coalesce(follows_free, F.lit(False)) & ~F.col("contended"))
         .where("NOT _seen")
-        .select(*_CHANGE, "contended", F.lit(1).alias("step"))
+        .select(*_CHANGE, "contended", "slots", F.lit(1).alias("step"))
     )
-    return start.unionByName(moves)
+    return grouped(start).select(*moves.columns).unionByName(moves)
 
 
 @dataclass(frozen=True)
@@ -146,14 +186,15 @@ def apply_slot_changes(
         F.col("unit_id").cast("bigint").alias("unit_id"),
     )
     base = slots.select(*_SLOT)
-    pairs = freeze(contended_pairs(base, movable))
+    masks = freeze(contended_masks(base, movable))
+    pairs = masks.drop("_mask")
     flagged = movable.join(
         pairs.withColumn("contended", F.lit(True)), ["roster_id", "unit_id"], "left"
     ).withColumn("contended", F.coalesce("contended", F.lit(False)))
     walked = (
-        walk_input(base, flagged, pairs)
-        .repartition("roster_id")
-        .sortWithinPartitions("roster_id", "step", "change_ts", "change_id", "unit_id", "slot_no")
+        walk_input(base, flagged, masks)
+        .repartition("roster_id", "slots")
+        .sortWithinPartitions("roster_id", "slots", "step", "change_ts", "change_id", "unit_id", "slot_no")
         .mapInArrow(_walk, _WALKED)
     )
     free = flagged.where("NOT contended").select(*_CHANGE, F.lit(True).alias("taken"))

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from rosterlab.operators.changes import slot_change_verdicts
-from rosterlab.operators.replay import apply_slot_changes, contended_pairs, walk_input
+from rosterlab.operators.replay import apply_slot_changes, contended_masks, slot_groups, walk_input
 from tests.conftest import rows
 
 START = datetime(2024, 1, 1)
@@ -127,8 +127,8 @@ def test_few_rows_of_a_hot_roster_are_walked(spark, make):
         expected, key=repr
     )
     assert dict(rows(done.log, "change_id", "verdict")) == log
-    pairs = contended_pairs(stored, frame)
-    assert rows(pairs) == [(1, 500)]
+    pairs = contended_masks(stored, frame)
+    assert rows(pairs, "roster_id", "unit_id") == [(1, 500)]
     flagged = frame.selectExpr("*", "roster_id = 1 AND unit_id = 500 AS contended")
     contended = flagged.where("contended").count()
     # Each contended change is followed by at most one free change of its slot.
@@ -145,3 +145,41 @@ def test_a_slot_with_several_units_counts_each_of_them(spark, make, world):
         done = apply_slot_changes(slots, change, *others)
         assert dict(rows(done.log, "change_id", "verdict")) == verdicts
         assert rows(done.slots, "slot_no", "unit_id") == [(1, unit)]
+
+
+def test_independent_slots_of_a_hot_roster_are_walked_apart(spark, make):
+    """Units move between the two slots of a pair, never between pairs: five groups, the same log."""
+    rng = random.Random(9)
+    changes = []
+    for i in range(1500):
+        roster, pair = (1, rng.randrange(5)) if i % 3 == 0 else (2 + i % 50, 0)
+        slot, unit = 2 * pair + rng.randrange(1, 3), 10 * pair + rng.randrange(1, 6)
+        changes.append((i, START + timedelta(seconds=i // 2), roster, slot, unit))
+    slots = [(1, 1, 2, "old"), (1, 44, 9, "old"), (3, 2, 1, "")]
+    rosters, units = {r: 1 for r in range(1, 60)}, {u: 1 for u in range(1, 60)}
+    stored, frame = make("slot", slots), spark.createDataFrame(changes, CHANGE).repartition(5)
+    done = apply_slot_changes(
+        stored, frame,
+        make("roster", [(r, 1, "t", "Arcade", 1.0, START) for r in rosters]),
+        make("unit", [(u, 1, 1, f"u{u}", 1, 1.0, 1, None) for u in units]),
+        make("nation", [(1, "a", None)]), make("category", [(1, "c", None)]),
+    )
+    expected, log = one_by_one(slots, changes, rosters, units)
+    assert dict(rows(done.log, "change_id", "verdict")) == log
+    assert rows(done.slots, "roster_id", "unit_id", "slot_no", "role_note") == sorted(expected, key=repr)
+    masks = contended_masks(stored, frame)
+    found = {r["roster_id"]: sorted(r["_groups"]) for r in slot_groups(masks).collect()}
+    assert found[1] == [0b11 << 1, 0b11 << 3, 0b11 << 5, 0b11 << 7, 0b11 << 9]
+    flagged = frame.join(masks.drop("_mask").selectExpr("*", "true AS contended"), ["roster_id", "unit_id"], "left")
+    walked = walk_input(stored, flagged.fillna(False, ["contended"]), masks).where("roster_id = 1")
+    sizes = sorted(r["count"] for r in walked.groupBy("slots").count().collect())
+    assert len(sizes) == 5 and sizes[-1] < 2 * sizes[0]
+
+
+def test_one_unit_ties_slots_together(spark):
+    masks = spark.createDataFrame(
+        [(1, 7, 0b0011), (1, 8, 0b1100), (1, 9, 0b0110), (2, 7, 0b11), (2, 8, 0b1100), (3, 1, 0b101)],
+        "roster_id long, unit_id long, _mask long",
+    )
+    found = {r["roster_id"]: sorted(r["_groups"]) for r in slot_groups(masks).collect()}
+    assert found == {1: [0b1111], 2: [0b11, 0b1100], 3: [0b101]}

@@ -8,8 +8,9 @@ from workload.check import compare, duckdb_over
 
 SMALL = "/root/testdata/sf0.001"
 MAY_BE_EMPTY = {"unit_search"}
-# Walking ordered changes is the one step that runs in Python.
+# Walking ordered changes and writing bitmaps out are the steps that run in Python.
 PYTHON_STEPS = {
+    "available_bitmaps",
     "apply_slot_changes",
     "apply_slot_changes_log",
     "apply_mixed_changes",

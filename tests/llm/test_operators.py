@@ -494,14 +494,18 @@ def test_models_on_odd_and_empty_tables(spark, docs, empty):
         assert out.count() == 0
 
 
-def test_pipeline_stages(spark, small):
+def test_pipeline_stages(spark):
     """Each stage's rows against the same decision made document by document."""
     from rosterlab.llm.common import stored
 
     def ids(df):
         return sorted(r["doc_id"] for r in df.select("doc_id").collect())
 
-    docs = small.withColumn("score", F.lit("clash"))
+    folder = "/root/testdata/sf0.01"
+    given = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = given.limit(3).withColumn("doc_id", F.col("doc_id") + 90_000)
+    odd = odd.withColumn("text", F.when(F.col("doc_id") != 90_001, F.lit("12 34 !!"))).withColumn("lang", F.lit(None).cast("string"))
+    docs = stored(given.union(odd).withColumn("score", F.lit("clash")), "docs")
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language", "toxicity", "near_copies", "repeats", "packing"]
 
@@ -510,13 +514,13 @@ def test_pipeline_stages(spark, small):
     names, scores, _ = language_id.judged([(r["text"] or "").encode() for r in rows], trees, language_id.Learning())
     least = corpus_pipeline.LEAST_LANGUAGE_SCORE
     known = sorted(r["doc_id"] for r, n, s in zip(rows, names, scores) if n != "und" and s >= least)
-    after = stored(stages["language"](spark, docs, SMALL), "language")
+    after = stored(stages["language"](spark, docs, folder), "language")
     assert after.columns == docs.columns and ids(after) == known and 0 < len(known) < len(rows)
 
-    model = queries.toxicity_model(spark, SMALL, after)
+    model = queries.toxicity_model(spark, folder, after)
     rows = after.select("doc_id", "text").collect()
     marked = model.scores([r["text"].encode() for r in rows]) >= 0.5
-    clean = stored(stages["toxicity"](spark, after, SMALL), "toxicity")
+    clean = stored(stages["toxicity"](spark, after, folder), "toxicity")
     assert clean.columns == docs.columns and marked.any()
     assert ids(clean) == sorted(r["doc_id"] for r, m in zip(rows, marked) if not m)
 
@@ -527,19 +531,19 @@ def test_pipeline_stages(spark, small):
         if new == group:
             break
         group = new
-    single = stored(stages["near_copies"](spark, clean, SMALL), "near_copies")
+    single = stored(stages["near_copies"](spark, clean, folder), "near_copies")
     assert single.columns == docs.columns and ids(single) == sorted(set(group.values()))
     assert len(set(group.values())) < len(prints)
 
     left = cut_by_brute_force(single, texts=True)
-    cut = stored(stages["repeats"](spark, single, SMALL), "repeats")
+    cut = stored(stages["repeats"](spark, single, folder), "repeats")
     assert cut.columns == docs.columns
     texts = {r["doc_id"]: r["text"] for r in single.collect()}
     for r in cut.collect():
         assert r["text"] == left[r["doc_id"], texts[r["doc_id"]]] and r["n_chars"] == len(r["text"])
     assert ids(cut) == ids(single) and any(left[k] != k[1] for k in left)
 
-    packed = stages["packing"](spark, cut, SMALL).collect()
+    packed = stages["packing"](spark, cut, folder).collect()
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(queries.BYTE_TOKENIZER)

@@ -82,17 +82,18 @@ def band_totals(
     # Two points a centre: the result's number of rows is known.
     few = n <= 2 * SMALL_RESULT
     in_leaf = Window.partitionBy(_LEAF).orderBy(_AT, _SIDE).rowsBetween(Window.unboundedPreceding, 0)
-    per_leaf = points.groupBy(_LEAF).agg(*[F.sum(name).alias(name) for name in names])
-    earlier = Window.orderBy(_LEAF).rowsBetween(Window.unboundedPreceding, -1)
-    before = per_leaf.select(
-        _LEAF, *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}{_LEAF}") for name in names]
-    )
+    running = points.select(
+        centre, _LEAF, _SIDE, *[F.sum(name).over(in_leaf).alias(name) for name in names]
+    ).where(F.col(_SIDE) != _ROW)
+    if n > leaf_points:
+        per_leaf = points.groupBy(_LEAF).agg(*[F.sum(name).alias(name) for name in names])
+        earlier = Window.orderBy(_LEAF).rowsBetween(Window.unboundedPreceding, -1)
+        before = per_leaf.select(
+            _LEAF, *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}{_LEAF}") for name in names]
+        )
+        running = running.join(F.broadcast(before), _LEAF).select(  # a row per leaf
+            centre, _SIDE, *[(F.col(name) + F.col(f"{name}{_LEAF}")).alias(name) for name in names]
+        )
     sign = F.when(F.col(_SIDE) == _ABOVE, 1).otherwise(-1)
-    found = (
-        points.select(centre, _LEAF, _SIDE, *[F.sum(name).over(in_leaf).alias(name) for name in names])
-        .where(F.col(_SIDE) != _ROW)
-        .join(F.broadcast(before), _LEAF)  # a row per leaf
-        .groupBy(centre)
-        .agg(*[F.sum(sign * (F.col(name) + F.col(f"{name}{_LEAF}"))).alias(name) for name in names])
-    )
+    found = running.groupBy(centre).agg(*[F.sum(sign * F.col(name)).alias(name) for name in names])
     return F.broadcast(found) if few else found

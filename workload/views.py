@@ -11,6 +11,8 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rosterlab.session import sized_by_input
+
 # Declared types of the test tables, so that reading one starts no job to look at its files.
 TABLES = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -301,6 +303,12 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir.rstrip("/"), {}
+        sized_by_input(spark, sum(self._bytes(name) for name in TABLES))
+
+    def _bytes(self, table: str) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{table}.parquet")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return files.getContentSummary(path).getLength() if files.exists(path) else 0
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

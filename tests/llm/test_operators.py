@@ -441,6 +441,50 @@ def test_thresholds_are_kept_for_the_most_frequent_languages():
     assert model.languages == ["mm", "zz"]
 
 
+def test_toxicity_is_learned_from_every_labelled_row(spark):
+    """More rows of a label than any sample took, in many parts, however the tables are cut."""
+    n = 8000
+    rows = [(i, f"w{i}x beside {'nasty' if i % 2 else 'kind'}", "aa", i % 2) for i in range(n)]
+    both = spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string, lang string, toxic int")
+    net = toxicity.Network(buckets=1 << 16, part_bytes=20_000, rounds=2)
+    fresh = toxicity.Classifier(net)
+    found = []
+    for cut in (1, 7):
+        docs = both.select("doc_id", "text", "lang").repartition(cut)
+        found.append(toxicity.learn(docs, both.select("doc_id", "toxic").distinct(), net))
+    model = found[0]
+    own = [toxicity.word_ids(f"w{i}x".encode(), net.buckets)[0, 0] for i in range(n)]
+    # Two thirds train; all texts count for the languages.
+    assert (model.words[own] != fresh.words[own]).any(axis=1).mean() > 0.6
+    stems = [toxicity.word_ids(text.encode(), net.buckets)[0, 1] for _, text, _, _ in rows]
+    floor = model.by_language.min()
+    assert all(model.by_language[stem, 0] > floor for stem in stems)
+    counts = np.bincount(
+        np.concatenate([toxicity.word_ids(text.encode(), net.buckets)[:, 1] for _, text, _, _ in rows]),
+        minlength=net.buckets,
+    )
+    want = np.log((counts + 0.5) / (counts + 0.5).sum())
+    assert model.by_language[1:, 0] == pytest.approx(want[1:], abs=1e-5)
+    assert np.array_equal(model.words, found[1].words) and np.array_equal(model.thresholds, found[1].thresholds)
+    scores = model.scores([b"w99999x beside nasty", b"w99999x beside kind"])
+    assert scores[0] > 0.5 > scores[1]
+
+
+def test_peaks_of_long_texts_are_found_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = toxicity.Classifier(toxicity.Network(buckets=512, size=4, filters=5))
+    ids = [rng.integers(1, 512, (n, 3)) for n in (40, 1, 0, 7, 90)]
+    flat, starts, ends = toxicity.laid_out(ids, 4)
+    whole = model.peaks(flat, starts, ends)
+    monkeypatch.setattr(toxicity, "_CHUNK_WORDS", 8)
+    for (place, peak), (at, value) in zip(model.peaks(flat, starts, ends), whole):
+        assert np.array_equal(place, at) and peak == pytest.approx(value, abs=1e-6)
+    assert np.concatenate([peak for _, peak in whole], axis=1) == pytest.approx(model.pooled(flat, starts, ends), abs=1e-6)
+    order = rng.permutation(len(ids))
+    cut = list(model.batches(ids, order))
+    assert np.array_equal(np.concatenate(cut), order) and len(cut) > 1
+
+
 def test_toxicity_forward_pass_and_thresholds_by_slow_loops():
     """Scores from the weights one multiplication at a time; the threshold by trying every line."""
     rng = np.random.default_rng(8)

@@ -12,6 +12,10 @@ by run, ``runs`` (how many units each has), and ``names`` split by a hash of the
 parts that its keywords' rarest runs fall in and the names' parts that hold candidates. At most
 ``parts`` small numbers reach the driver for that. Runs that very many units have are chosen only for
 keywords that have no rarer one; what a join does with them Spark splits while running.
+
+A short name has many runs and sorted postings take few bytes, so neither files nor shuffled bytes say how many
+rows a task makes of them. Names and candidates are dealt to tasks by the number of rows that follows from the names'
+lengths and from the counts in ``runs``; a file of postings holds a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from rosterlab.plans.durable import freeze
 
 _ESCAPE = "\x01"
 _LONGEST = 3
+# Rows of (run, unit) or (keyword, unit) that meet in one task, some 130 bytes each while they are told apart.
+ROWS_PER_TASK = 1 << 18
 
 
 def runs_of(text: Column, size: int) -> Column:
@@ -71,11 +77,17 @@ class NameIndex:
     def _part(self, column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.parts)).cast("int").alias("part")
 
-    def build(self, units: DataFrame) -> None:
-        """Write the index of the units' names; units without id or name are left out."""
+    def named(self, units: DataFrame) -> DataFrame:
+        """Units with id and name, dealt by unit before their runs are made: equal runs of one are in one task."""
         own = units.where("unit_id IS NOT NULL AND name IS NOT NULL").select(
             F.col("unit_id").cast("bigint").alias("unit_id"), "name"
         )
+        most = F.sum(1 + _LONGEST * F.length("name").cast("bigint"))
+        return own.repartition(self._tasks(own, most), "unit_id")
+
+    def build(self, units: DataFrame) -> None:
+        """Write the index of the units' names; units without id or name are left out."""
+        own = self.named(units)
         postings = own.select(F.explode(name_runs(F.col("name"))).alias("run"), "unit_id").distinct()
         for table, rows, order in (
             ("postings", postings.select("*", self._part("run")), ["run", "unit_id"]),
@@ -83,12 +95,19 @@ class NameIndex:
         ):
             # One file a part where they are small; a part that is large is split.
             laid = rows.hint("rebalance", "part").sortWithinPartitions("part", *order)
-            laid.write.mode("overwrite").partitionBy("part").parquet(self._path(table))
+            laid.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_TASK).partitionBy("part").parquet(
+                self._path(table)
+            )
         stored = self._read(units, "postings", "run string, unit_id bigint, part int")
         stored.groupBy("run").agg(F.count(F.lit(1)).alias("units")).write.mode("overwrite").parquet(
             self._path("runs")
         )
 
+    @staticmethod
+    def _tasks(rows: DataFrame, made: Column) -> int:
+        """Tasks for the rows that ``made`` adds up."""
+        return max(1, -(-(rows.agg(made.alias("made")).first()["made"] or 0) // ROWS_PER_TASK))
+
     def _read(self, near: DataFrame, table: str, schema: str) -> DataFrame:
         return near.sparkSession.read.schema(schema).parquet(self._path(table))
 
@@ -98,7 +117,7 @@ class NameIndex:
         return table.where(F.col("part").isin(found))
 
     def chosen_runs(self, keywords: DataFrame) -> DataFrame:
-        """(keyword, run, part, needs): the rarest runs of each keyword; none if one is in no name."""
+        """(keyword, run, part, needs, units): the rarest runs of each keyword; none if one is in no name."""
         asked = keywords.where("keyword IS NOT NULL").select("keyword").distinct()
         runs = asked.select("keyword", F.explode(keyword_runs(F.col("keyword"))).alias("run"))
         counts = self._read(keywords, "runs", "run string, units bigint")
@@ -109,7 +128,7 @@ class NameIndex:
             .withColumn("_n", F.row_number().over(of.orderBy("units", "run")))
             .where(~F.col("_missing") & (F.col("_n") <= self.most_runs))
             .withColumn("needs", F.count(F.lit(1)).over(of))
-            .select("keyword", "run", self._part("run"), "needs")
+            .select("keyword", "run", self._part("run"), "needs", "units")
         )
 
     def search(self, keywords: DataFrame) -> DataFrame:
@@ -119,6 +138,8 @@ class NameIndex:
         candidates = freeze(
             self._pruned(postings, chosen)
             .join(chosen, ["part", "run"])
+            .select("keyword", "unit_id", "needs")
+            .repartition(self._tasks(chosen, F.sum("units")), "keyword", "unit_id")
             .groupBy("keyword", "unit_id")
             .agg(F.count(F.lit(1)).alias("_n"), F.first("needs").alias("needs"))
             .where("_n = needs")

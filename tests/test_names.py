@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlab.functions import expressions as ex
+from rosterlab.operators import names
 from rosterlab.operators.names import NameIndex, indexed_unit_search, keyword_runs
 from tests.conftest import rows
 
@@ -66,3 +67,23 @@ def test_search_rows_by_keyword(spark, world, tmp_path):
     want = [(k, u) for k in ("A", "ta") for u, n in rows(every, "unit_id", "name") if k.lower() in n.lower()]
     assert got == sorted(want, key=repr)
     assert index.search(asked.limit(0)).count() == 0
+
+
+def test_tasks_follow_the_rows_that_are_made(spark, units, tmp_path, monkeypatch):
+    """Names in one small partition become many rows, which neither files nor shuffled bytes tell."""
+    monkeypatch.setattr(names, "ROWS_PER_TASK", 40)
+    index = NameIndex(str(tmp_path / "index"), parts=1)
+    made = sum(1 + 3 * len(n) for n in [*NAMES, *NAMES[:4]] if n is not None)
+    assert index.named(units.coalesce(1)).rdd.getNumPartitions() == -(-made // 40)
+    index.build(units.coalesce(1))
+    stored = spark.read.parquet(str(tmp_path / "index" / "postings"))
+    sizes = stored.groupBy(F.input_file_name()).count().select("count").collect()
+    assert max(r["count"] for r in sizes) <= 40
+    plans, freeze = [], names.freeze
+    monkeypatch.setattr(
+        names, "freeze", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or freeze(df)
+    )
+    index.search(spark.createDataFrame([("%",), ("_",), ("alp",), ("a",)], "keyword string")).count()
+    hits = 2 * stored.where("run = ''").count() + stored.where("run IN ('alp', 'a')").count()
+    dealt = re.search(r"hashpartitioning\(keyword#\d+, unit_id#\d+L, (\d+)\), REPARTITION_BY_NUM", plans[-1])
+    assert int(dealt[1]) == -(-hits // 40)

@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlab import schemas
-from rosterlab.plans.durable import freeze
 
 UNIQUE, REFERENCE, REQUIRED, CHECK = "unique", "reference", "required", "check"
 _RULE = ("kind", "table_name", "rule")
@@ -50,26 +49,32 @@ class AuditLog:
     buckets: int = 64
 
     def tally(self, changes: Mapping[str, DataFrame]) -> DataFrame:
-        """Signed counts of a change set (by table, with ``weight``), per rule and value."""
+        """Signed counts of a change set (by table, with ``weight``), per rule and value.
+
+        A rule's rows are added up once, by the columns of the key where one table holds them all, so
+        the values become text after they have met.
+        """
+        named: dict[tuple[str, str, str], list[DataFrame]] = {}
         parts = []
+        weight = F.sum("weight").cast("bigint")
+        nothing = F.lit(0).cast("bigint")
+
+        def labelled(rule: tuple[str, str, str], rows: DataFrame) -> DataFrame:
+            names = [F.lit(text).alias(column) for text, column in zip(rule, _RULE, strict=True)]
+            return rows.where("held <> 0 OR parents <> 0").select(*names, "value", "held", "parents")
 
         def add(kind: str, table: str, rule: str, rows: DataFrame, value: Column, parents: bool = False) -> None:
-            weight = F.sum("weight").cast("bigint")
-            nothing = F.lit(0).cast("bigint")
-            summed = rows.groupBy(value.alias("value")).agg(weight.alias("w")).where("w <> 0")
-            held, named = (nothing, F.col("w")) if parents else (F.col("w"), nothing)
-            parts.append(
-                summed.select(
-                    F.lit(kind).alias("kind"), F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "value",
-                    held.alias("held"), named.alias("parents"),
-                )
+            held, of = (nothing, F.col("weight")) if parents else (F.col("weight"), nothing)
+            named.setdefault((kind, table, rule), []).append(
+                rows.select(value.alias("value"), held.cast("bigint").alias("held"), of.cast("bigint").alias("parents"))
             )
 
         for key in self.keys:
             if key.table in changes:
                 whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key.columns])
-                rows = changes[key.table].where(whole)
-                add(UNIQUE, key.table, ",".join(key.columns), rows, _value(key.columns))
+                summed = changes[key.table].where(whole).groupBy(*key.columns).agg(weight.alias("held"))
+                valued = summed.select(_value(key.columns).alias("value"), "held", nothing.alias("parents"))
+                parts.append(labelled((UNIQUE, key.table, ",".join(key.columns)), valued))
         for ref in self.references:
             if ref.table in changes:
                 rows = changes[ref.table].where(F.col(ref.column).isNotNull())
@@ -85,49 +90,70 @@ class AuditLog:
             if check.table in changes:
                 broken = changes[check.table].where(~F.expr(check.holds))
                 add(CHECK, check.table, check.name, broken, F.lit(""))
+        both = [F.sum(c).cast("bigint").alias(c) for c in ("held", "parents")]
+        parts += [
+            labelled(rule, reduce(DataFrame.unionByName, rows).groupBy("value").agg(*both))
+            for rule, rows in named.items()
+        ]
         if not parts:
             raise ValueError("no rule looks at these tables")
-        both = [F.sum(c).cast("bigint").alias(c) for c in ("held", "parents")]
-        return reduce(DataFrame.unionByName, parts).groupBy(*_RULE, "value").agg(*both)
+        return reduce(DataFrame.unionByName, parts)
 
     def _path(self, table: str) -> str:
         return f"{self.target.rstrip('/')}/{table}"
 
     @staticmethod
-    def _figures(counts: DataFrame, sign: int) -> DataFrame:
-        """Violations and the rows in them, per rule."""
+    def _figures(held: str, parents: str) -> tuple[Column, Column]:
+        """Violations and the rows in them, of one value."""
+        held, parents = F.col(held), F.col(parents)
         broken = (
-            F.when(F.col("kind") == UNIQUE, F.col("held") > 1)
-            .when(F.col("kind") == REFERENCE, (F.col("held") > 0) & (F.col("parents") <= 0))
-            .otherwise(F.col("held") > 0)
+            F.when(F.col("kind") == UNIQUE, held > 1)
+            .when(F.col("kind") == REFERENCE, (held > 0) & (parents <= 0))
+            .otherwise(held > 0)
         )
         # A missing value or a broken check is a violation a row.
-        one = F.when(F.col("kind").isin(UNIQUE, REFERENCE), F.lit(1)).otherwise(F.col("held"))
-        return counts.where(broken).select(
-            *_RULE, (one * sign).cast("bigint").alias("violations"), (F.col("held") * sign).alias("rows_involved")
-        )
+        one = F.when(F.col("kind").isin(UNIQUE, REFERENCE), F.lit(1)).otherwise(held)
+        return tuple(F.when(broken, figure).otherwise(0).cast("bigint") for figure in (one, held))
 
     def apply(self, changes: Mapping[str, DataFrame], version: int) -> None:
         """Take in one change set as ``version``; versions are applied in order, from 0 on."""
         place = F.pmod(F.xxhash64(*_RULE, "value"), F.lit(self.buckets)).cast("int")
-        delta = freeze(self.tally(changes).withColumn("bucket", place))
-        spark = delta.sparkSession
-        before = spark.createDataFrame([], f"{_COUNTS}, bucket int")
+        own = f"{self._path('counts')}/version={version}"
+        counted = self.tally(changes).withColumn("bucket", place)
+        counted.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(own)
+        spark = counted.sparkSession
+        delta = spark.read.schema(f"{_COUNTS}, bucket int").parquet(own)
+        nothing = F.lit(0).cast("bigint")
+        met = delta.select(
+            *_RULE, "value", F.lit(True).alias("touched"), nothing.alias("was"), nothing.alias("had"), "held", "parents"
+        )
         if version > 0:
-            found = [r["bucket"] for r in delta.select("bucket").distinct().collect()]
+            found = delta.groupBy(*_RULE).agg(F.collect_set("bucket").alias("buckets")).collect()
             stored = spark.read.schema(f"{_COUNTS}, bucket int, version int").parquet(self._path("counts"))
-            earlier = stored.where((F.col("version") < version) & F.col("bucket").isin(found)).drop("version")
-            touched = delta.select(*_RULE, "value", "bucket")
-            before = earlier.join(touched, [*_RULE, "value", "bucket"], "left_semi")
-        sums = [F.sum(c).cast("bigint").alias(c) for c in ("held", "parents")]
-        old = freeze(before.groupBy(*_RULE, "value").agg(*sums))
-        new = old.unionByName(delta.drop("bucket")).groupBy(*_RULE, "value").agg(*sums)
-        moved = self._figures(new, 1).unionByName(self._figures(old, -1)).groupBy(*_RULE)
-        report = moved.agg(*[F.sum(c).cast("bigint").alias(c) for c in ("violations", "rows_involved")])
-        delta.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{self._path('counts')}/version={version}"
-        )
-        report.write.mode("overwrite").parquet(f"{self._path('report')}/version={version}")
+            buckets = {bucket for r in found for bucket in r["buckets"]}
+            # Rules that the change set does not move are left out while reading.
+            moved = reduce(
+                lambda a, b: a | b,
+                [reduce(lambda a, b: a & b, [F.col(c) == r[c] for c in _RULE]) for r in found], F.lit(False),
+            )
+            earlier = stored.where((F.col("version") < version) & F.col("bucket").isin(buckets) & moved)
+            met = met.unionByName(
+                earlier.select(
+                    *_RULE, "value", F.lit(False).alias("touched"), F.col("held").alias("was"),
+                    F.col("parents").alias("had"), "held", "parents",
+                )
+            )
+            # Stored counts and those of the change set meet once, in one row a value; a tally alone has one already.
+            sums = [F.sum(c).cast("bigint").alias(c) for c in ("was", "had", "held", "parents")]
+            met = met.groupBy(*_RULE, "value").agg(F.max("touched").alias("touched"), *sums).where("touched")
+        now, before = self._figures("held", "parents"), self._figures("was", "had")
+        names = ("violations", "rows_involved")
+        report = met.select(
+            *_RULE, *[(new - old).alias(name) for name, new, old in zip(names, now, before, strict=True)]
+        ).where("violations <> 0 OR rows_involved <> 0")
+        report.groupBy(*_RULE).agg(*[F.sum(c).cast("bigint").alias(c) for c in names]).write.mode(
+            "overwrite"
+        ).parquet(f"{self._path('report')}/version={version}")
 
     def report(self, spark) -> DataFrame:
         """(kind, table_name, rule, violations, rows_involved) of every rule, also of those without any."""

@@ -73,3 +73,12 @@ def test_texts_in_keys_are_kept_apart(spark, make, tmp_path):
     units = make("unit", [(1, 1, 1, 'a","b', 1, 1.0, 1, None), (2, 1, 1, "a|b", 1, 1.0, 1, None), (3, 1, 1, "a", 1, 1.0, 1, None)])
     log.apply({"unit": weighted(came=units)}, 0)
     assert log.report(spark).where("kind = 'unique' AND violations > 0").count() == 0
+
+
+def test_rows_of_a_rule_are_shuffled_once(world, tmp_path):
+    log = AuditLog(str(tmp_path / "audit"), references=(), required={})
+    plan = log.tally({"slot": weighted(came=world["slot"])})._jdf.queryExecution().executedPlan().toString()
+    keys = [k for k in log.keys if k.table == "slot"]
+    assert len(keys) == 2 and plan.count("Exchange") == len(keys)
+    # They meet by their key columns and become text afterwards.
+    assert "to_json" not in "".join(line for line in plan.splitlines() if "Exchange" in line or "HashAggregate" in line)

@@ -1,9 +1,12 @@
 """Settings that bound what the driver broadcasts and what a task holds."""
 
+import re
+
 import pytest
 
 from rosterlab.plans.durable import freeze
 from rosterlab.session import INITIAL, sized_by_input, tune
+from workload.queries import registered
 
 
 @pytest.fixture
@@ -39,3 +42,18 @@ def test_what_a_task_reads_is_bounded(apart):
         apart.conf.unset(key)
         tune(apart)
         assert apart.conf.get(key) == "16MB"
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["audit_unique", "audit_unique_keys", "audit_not_null", "unit_munitions", "delete_units_munitions",
+     "remove_slots_by_unit"],
+)
+def test_shuffles_of_a_query_start_with_partitions_by_its_input(apart, name):
+    """What one task adds up or sorts follows from them; merging small ones has a bound of its own."""
+    apart.conf.set("spark.sql.shuffle.partitions", "2")
+    apart.conf.unset(INITIAL)
+    found = registered()[name](apart, "/root/testdata/sf0.1")
+    dealt = re.findall(r"(?:hash|range)partitioning\(.*?, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())
+    # Twenty megabytes of files.
+    assert dealt and set(dealt) == {"3"}

@@ -51,16 +51,24 @@ def contains_ci(col: Column, keyword: str) -> Column:
     return F.like(F.lower(col), F.lit(f"%{word}%"), F.lit(escape))
 
 
+def read_int(text: Column) -> Column:
+    """Whole number in stripped text, NULL when the text is not one."""
+    return F.when(text.rlike(INT_FORM), text.try_cast("int"))
+
+
+def read_float(text: Column) -> Column:
+    """Decimal number in stripped text, NULL when the text is not one."""
+    return F.when(text.rlike(FLOAT_FORM), text.try_cast("double"))
+
+
 def parse_int(col: Column) -> Column:
     """Whole number in the text, NULL when the text is not one."""
-    text = strip(col)
-    return F.when(text.rlike(INT_FORM), text.try_cast("int"))
+    return read_int(strip(col))
 
 
 def parse_float(col: Column) -> Column:
     """Decimal number in the text, NULL when the text is not one."""
-    text = strip(col)
-    return F.when(text.rlike(FLOAT_FORM), text.try_cast("double"))
+    return read_float(strip(col))
 
 
 def percent_gap(selected: Column, average: Column) -> Column:

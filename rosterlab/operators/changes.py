@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rosterlab.functions import expressions as ex
 from rosterlab.functions import fixed_values as fv
 from rosterlab.operators.catalog import known_units
+from rosterlab.plans.durable import freeze
 from rosterlab.plans.numbering import highest, number_rows
 
 
@@ -154,12 +155,16 @@ def register_units(
     munitions: DataFrame,
     nations: DataFrame,
     categories: DataFrame,
+    tops: tuple[int, int] | None = None,
 ) -> Registration:
-    """Register a batch of wide unit rows (``request_id`` and the staged columns)."""
-    judged = register_verdicts(batch, units, nations, categories)
+    """Register a batch of wide unit rows (``request_id`` and the staged columns).
+
+    ``tops`` are the highest unit and munition id, if they are known.
+    """
+    # Stored, since numbering reads the accepted rows twice and the others are read once more.
+    judged = freeze(register_verdicts(batch, units, nations, categories))
     accepted = judged.where(F.col("reason").isNull()).drop("reason")
-    shot_top = highest(munitions, "munition_id")
-    unit_top = highest(units, "unit_id")
+    unit_top, shot_top = tops or (highest(units, "unit_id"), highest(munitions, "munition_id"))
     numbered = number_rows(accepted, ["request_id"], "_n").withColumns(
         {"unit_id": F.col("_n") + unit_top, "munition_id": F.col("_n") + shot_top}
     )

@@ -14,6 +14,8 @@ TEXT_FIELDS = ("name", "munition_name")
 INT_FIELDS = ("nation_id", "category_id", "tier", "cost", "front", "side", "rear", "pen")
 FLOAT_FIELDS = ("rating",)
 
+_READ = "_read_"
+
 
 def intake_validate(
     raw: DataFrame,
@@ -26,18 +28,19 @@ def intake_validate(
     A blank field gives ``<field>:required``, text that is not a number ``<field>:malformed``.
     Columns that are not named are carried along. Texts are stripped.
     """
-    parsed = {c: ex.strip(F.col(c)) for c in texts}
-    parsed |= {c: ex.parse_int(F.col(c)) for c in ints}
-    parsed |= {c: ex.parse_float(F.col(c)) for c in floats}
-    order = [c for c in raw.columns if c in parsed]
+    kinds = dict.fromkeys(texts, None) | dict.fromkeys(ints, "int") | dict.fromkeys(floats, "double")
+    order = [c for c in raw.columns if c in kinds]
+    # One step after the other, so that each field is stripped once and read once.
+    stripped = raw.withColumns({c: ex.strip(F.col(c)) for c in order})
+    read = {"int": ex.read_int, "double": ex.read_float}
+    typed = stripped.withColumns({f"{_READ}{c}": read[kinds[c]](F.col(c)) for c in order if kinds[c]})
+    value = {c: F.col(f"{_READ}{c}" if kinds[c] else c) for c in order}
     faults = [
-        F.when(ex.is_blank(F.col(c)), f"{c}:required").when(
-            parsed[c].isNull(), f"{c}:malformed"
-        )
+        F.when(F.col(c).isNull() | (F.col(c) == ""), f"{c}:required").when(value[c].isNull(), f"{c}:malformed")
         for c in order
     ]
-    return raw.select(
-        *[parsed[c].alias(c) if c in parsed else F.col(c) for c in raw.columns],
+    return typed.select(
+        *[value.get(c, F.col(c)).alias(c) for c in raw.columns],
         F.array_compact(F.array(*faults)).alias("reasons"),
     )
 

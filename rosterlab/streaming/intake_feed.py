@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from rosterlab.operators.changes import register_units
 from rosterlab.operators.intake import FLOAT_FIELDS, INT_FIELDS, TEXT_FIELDS, intake_validate, split_intake
 from rosterlab.plans.durable import freeze
+from rosterlab.plans.numbering import highest
 
 ACCEPTED, REJECTED, QUARANTINE = "accepted", "rejected", "quarantine"
 
@@ -70,16 +72,15 @@ class IntakeFeed:
         new = self.table(ACCEPTED, before).select(*self.units.columns)
         return self.units.unionByName(new)
 
-    def _munitions(self, before: int) -> DataFrame:
-        new = self.table(ACCEPTED, before).select(
-            "munition_id",
-            "unit_id",
-            F.col("munition_name").alias("name"),
-            F.col("munition_kind").alias("kind"),
-            "pen",
-            F.lit(True).alias("is_representative"),
-        )
-        return self.munitions.unionByName(new.select(*self.munitions.columns))
+    @cached_property
+    def _first_tops(self) -> tuple[int, int]:
+        """Highest unit and munition id before the feed, worked out once for all batches."""
+        return highest(self.units, "unit_id"), highest(self.munitions, "munition_id")
+
+    def _tops(self, before: int) -> tuple[int, int]:
+        """Highest unit and munition id before a version."""
+        new = self.table(ACCEPTED, before).agg(F.max("unit_id"), F.max("munition_id")).first()
+        return tuple(top if added is None else max(top, added) for top, added in zip(self._first_tops, new, strict=True))
 
     def _write(self, rows: DataFrame, kind: str, version: int) -> None:
         rows.select(*self._schema(kind).names).write.mode("overwrite").parquet(
@@ -89,14 +90,12 @@ class IntakeFeed:
     def apply_batch(self, batch: DataFrame, version: int) -> None:
         """Parse, register and write one micro-batch of raw rows (all columns text but ``request_id``)."""
         known = [self.table(kind, version).select("request_id") for kind in (ACCEPTED, REJECTED, QUARANTINE)]
-        once = batch.dropDuplicates(["request_id"])
-        for earlier in known:
-            once = once.join(earlier, "request_id", "left_anti")
+        once = batch.dropDuplicates(["request_id"]).join(reduce(DataFrame.union, known), "request_id", "left_anti")
         judged = freeze(intake_validate(once, self.texts, self.ints, self.floats))
         good, bad = split_intake(judged)
         fitting = good.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.fields.fields])
         result = register_units(
-            fitting, self.registered(version), self._munitions(version), self.nations, self.categories
+            fitting, self.registered(version), self.munitions, self.nations, self.categories, self._tops(version)
         )
         # The two others first: a request is known by its version in any of the three.
         self._write(bad, QUARANTINE, version)

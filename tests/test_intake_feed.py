@@ -4,8 +4,11 @@ import random
 
 import pytest
 
+from rosterlab.operators import changes
 from rosterlab.operators.changes import register_units
 from rosterlab.operators.intake import intake_validate, split_intake
+from rosterlab.plans.numbering import highest
+from rosterlab.streaming import intake_feed
 from rosterlab.streaming.intake_feed import ACCEPTED, QUARANTINE, REJECTED, IntakeFeed
 from tests.conftest import rows
 
@@ -72,3 +75,16 @@ def test_a_batch_run_again_gives_the_same_ids(spark, feed):
     before = rows(feed.table(ACCEPTED)), rows(feed.table(QUARANTINE))
     feed.apply_batch(raw(spark, given[15:]), 1)
     assert (rows(feed.table(ACCEPTED)), rows(feed.table(QUARANTINE))) == before
+
+
+def test_ids_before_the_feed_are_looked_for_once(spark, feed, monkeypatch):
+    """Whatever the stored munitions are made of, the feed does not make them again for every batch."""
+    asked = []
+    for module in (changes, intake_feed):
+        monkeypatch.setattr(module, "highest", lambda df, column: asked.append(column) or highest(df, column))
+    given = requests(30)
+    feed.apply_batch(raw(spark, given[:15]), 0)
+    feed.apply_batch(raw(spark, given[15:]), 1)
+    assert sorted(asked) == ["munition_id", "unit_id"]
+    ids = rows(feed.table(ACCEPTED), "unit_id", "munition_id")
+    assert ids == [(10 + i, 10 + i) for i in range(len(ids))] and len(ids) > 15

@@ -58,3 +58,11 @@ def test_intake_names_every_bad_field(spark):
         (2, "name:required tier:required rating:malformed"),
         (3, "name:required tier:malformed rating:required"),
     ]
+
+
+def test_intake_strips_and_reads_each_field_once(spark):
+    raw = spark.createDataFrame([(1, " a ", " 1 ", "2.5")], "line int, name string, tier string, rating string")
+    checked = intake.intake_validate(raw, texts=["name"], ints=["tier"], floats=["rating"])
+    assert rows(checked, "name", "tier", "rating") == [("a", 1, 2.5)]
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") == 3 and plan.count("RLIKE") == 2

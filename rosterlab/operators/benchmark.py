@@ -72,9 +72,13 @@ def peer_benchmark(
     """
     # Stored, since both the bands and the rows of the result read them.
     caps = freeze(roster_cap(slots, units))
+    # Stored for the same reason.
+    shown = freeze(
+        munitions.where("is_representative").select("unit_id", "munition_id", "name", "kind", "pen", "is_representative")
+    )
     # A row per distinct cap: sent to all rosters while there are few enough, see ``band_totals``.
-    averages = peer_averages(units, specs, munitions, caps, half_width=half_width)
-    shots = munitions.where("is_representative").select(
+    averages = peer_averages(units, specs, shown, caps, half_width=half_width)
+    shots = shown.select(
         "unit_id",
         "munition_id",
         F.col("name").alias("munition_name"),

@@ -138,3 +138,13 @@ def test_a_million_ratings_close_together(spark):
         inside = range(max(0, 4001 * k - 1000), min(n - 1, 4001 * k + 1000) + 1)
         assert got[c] == (len(inside), sum(i % 1000 for i in inside))
     assert got[4.5] == (0, 0) and got[120.0] == (1, 7) and got[149.5] == (0, 0)
+
+
+def test_munitions_are_worked_out_once(spark, golden, tmp_path):
+    """Bands and rows both read the representative ones, however costly these are to find."""
+    golden["munition"].write.parquet(str(tmp_path / "munitions"))
+    stored = golden | {"munition": spark.read.parquet(str(tmp_path / "munitions"))}
+    pairs = spark.createDataFrame([(1, 103)], "roster_id long, unit_id long")
+    result = wide(stored, pairs, one_munition=True)
+    assert result.inputFiles() and not any("munitions" in name for name in result.inputFiles())
+    assert result.first()["peer_count"] == 12

@@ -25,20 +25,22 @@ from rosterlab.operators.catalog import Labels, category_names, nation_names
 
 _KEY = ("roster_id", "nation_id", "category_id", "rating")
 _SUMS = ("units", "priced", "cost")
+_COUNTS = "units <> 0 OR priced <> 0 OR cost <> 0"
 
 
 def tally(moves: DataFrame, units: DataFrame) -> DataFrame:
     """Signed tallies of ``moves`` (roster_id, unit_id, weight); moves of unknown units count nothing."""
-    weighed = moves.groupBy("roster_id", "unit_id").agg(F.sum("weight").alias("weight")).where("weight <> 0")
     known = units.select("unit_id", "nation_id", "category_id", "rating", "cost")
     return (
-        weighed.join(known, "unit_id")
+        moves.select("roster_id", "unit_id", "weight")
+        .join(known, "unit_id")
         .groupBy(*_KEY)
         .agg(
             F.sum("weight").alias("units"),
             F.coalesce(F.sum(F.when(F.col("cost").isNotNull(), F.col("weight"))), F.lit(0)).alias("priced"),
             F.coalesce(F.sum(F.col("weight") * F.col("cost")), F.lit(0)).alias("cost"),
         )
+        .where(_COUNTS)
         .select(F.col("roster_id").cast("bigint").alias("roster_id"), *_KEY[1:], *[F.col(c).cast("bigint") for c in _SUMS])
     )
 
@@ -67,7 +69,8 @@ class FigureLog:
         columns = ["roster_id bigint", *[f"{c} {kinds[c]}" for c in _KEY[1:]], *[f"{c} bigint" for c in _SUMS]]
         stored = self.units.sparkSession.read.schema(", ".join(columns)).parquet(self.target)
         sums = [F.sum(c).alias(c) for c in _SUMS]
-        return stored.groupBy(*_KEY).agg(*sums).where("units <> 0 OR priced <> 0 OR cost <> 0")
+        # Figures are of a roster's own nation: dealt by both, they are added up and meet the rosters without another shuffle.
+        return stored.repartition("roster_id", "nation_id").groupBy(*_KEY).agg(*sums).where(_COUNTS)
 
     def compact(self, into: FigureLog) -> None:
         into._write(self.tallies(), 0)
@@ -106,10 +109,10 @@ class FigureLog:
         """The rows of ``category_counts``."""
         return (
             self.tallies()
+            .join(rosters.select("roster_id", "nation_id"), ["roster_id", "nation_id"], "left_semi")
             .join(category_names(categories, "category", category_labels), "category_id")
             .groupBy("roster_id", "nation_id", "category")
             .agg(F.sum("units").alias("unit_count"))
             .where("unit_count > 0")
-            .join(rosters.select("roster_id", "nation_id"), ["roster_id", "nation_id"], "left_semi")
             .select("roster_id", "category", "unit_count")
         )

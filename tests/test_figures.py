@@ -6,7 +6,7 @@ from datetime import timedelta
 import pytest
 
 from rosterlab.operators import roster
-from rosterlab.operators.figures import FigureLog
+from rosterlab.operators.figures import FigureLog, tally
 from rosterlab.streaming.live import LiveSlots
 from tests.conftest import rows
 from tests.test_mixed import CHANGE, START
@@ -76,3 +76,26 @@ def test_a_batch_writes_only_its_rosters(spark, make, tables, tmp_path):
     assert rows(written, "roster_id", "units") == [(3, -1), (3, 1)]
     plan = figures.tallies().where("roster_id = 3")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(roster_id,3)" in plan
+
+
+def test_each_row_of_the_log_is_dealt_out_once(spark, make, tables, tmp_path):
+    """Tallies, figures and the join with the rosters share one shuffle by roster and nation."""
+    figures = FigureLog(str(tmp_path / "figures"), tables["unit"])
+    slots = make("slot", [(r, r, 1, "") for r in range(1, 8)])
+    figures.start(slots)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moves = slots.selectExpr("roster_id", "unit_id", "1 AS weight")
+        plans = [
+            found._jdf.queryExecution().executedPlan().toString().splitlines()
+            for found in (figures.tallies(), figures.summary(tables["roster"], tables["nation"]), tally(moves, tables["unit"]))
+        ]
+        same(figures, slots, tables)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64MB")
+    tallies, summary, start = ([line for line in plan if "Exchange hashpartitioning(" in line] for plan in plans)
+    assert len(tallies) == 1 and not any("rating" in line for line in tallies + summary)
+    # A side each of the joins with nations and with rosters; the log is one of them.
+    assert len(summary) == 4
+    # By unit on both sides, then by what is added up.
+    assert len(start) == 3

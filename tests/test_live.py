@@ -3,9 +3,10 @@
 import random
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 
-from rosterlab.streaming.live import LiveSlots, RosterState
+from rosterlab.streaming.live import ChangeIds, LiveSlots, RosterState, _Processor
 from tests.conftest import rows
 from tests.test_mixed import CHANGE, START, one_by_one
 
@@ -101,3 +102,78 @@ def test_an_emptied_slot_keeps_its_stamp():
     assert state.apply("place", 1, 4, (11, 3)) == "add"
     assert state.apply("place", 2, 4, (12, 4)) == "already_placed"
     assert state.slots == {1: ([4], [""], (11, 3))} and state.touched == {1}
+
+
+class Entries:
+    """A map of the state that counts the calls."""
+
+    def __init__(self):
+        self.kept, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.kept[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.kept[key]
+
+
+def test_a_chunk_of_changes_takes_a_few_calls():
+    """A call into the state for each change took longer than all else."""
+    step = _Processor()
+    step.start, step.held, step.seen = Entries(), Entries(), Entries()
+    step.start.kept[(5,)] = ('{"roster_id":[1,2,1],"slot_no":[1,1,2],"unit_id":[7,8,null],"role_note":["x",null,"y"]}',)
+
+    def given(ids):
+        made = [(i, i, True, 1 + i % 2 * 2, 4 + i % 3, False, 100 + i, "place", None, 5) for i in ids]
+        names = ["change_id", "changed_us", "known", "roster_id", "slot_no", "no_unit", "unit_id", "kind", "reason", "chunk"]
+        return pd.concat(step.handleInputRows((0,), iter([pd.DataFrame(made, columns=names)]), None))
+
+    assert len(given(range(600))) == 600
+    assert step.start.calls + step.held.calls + step.seen.calls <= 6
+    assert step.start.kept == {(5,): ('{"roster_id":[2],"slot_no":[1],"unit_id":[8],"role_note":[null]}',)}
+    before = step.held.calls
+    assert len(given(range(300, 600))) == 0 and step.held.calls == before + 1
+    assert sorted(given(range(500, 700))["change_id"]) == list(range(600, 700))
+
+
+def test_ids_of_a_busy_roster_lie_in_blocks():
+    rng = random.Random(3)
+    blocks, known = Entries(), set()
+    ids = ChangeIds(blocks, (5, True, 1), [], 0, 0)
+    for count in (500, 500, 1000, 9000, 40000, 3):
+        some = [rng.randrange(60000) * 4096 - (1 << 27) for _ in range(count)] + [-(1 << 63), (1 << 63) - 1]
+        fresh = []
+        for i in some:
+            fresh.append(i not in known)
+            known.add(i)
+        assert ids.take(some) == fresh and ids.count == len(known)
+        ids = ChangeIds(blocks, ids.key, ids.ids, ids.bits, ids.count)
+    assert ids.bits and not ids.ids and {key[3] for key in blocks.kept} == {ids.bits}
+    assert max(len(value) for value, in blocks.kept.values()) <= 8 * 2048
+    before = blocks.calls
+    assert ids.take([1, 2, 3]) == [True] * 3
+    assert blocks.calls - before <= 6
+
+
+def test_slots_before_the_feed_stay_packed(spark, feed):
+    """Every note and number comes back, of rosters with changes and of those without."""
+    notes = ['a"b\\n\u0001', "é😀", "", None, "null", "[1,2]"]
+    large = (1 << 62) + 1
+    slots = [(large + r, large - r, r % 5, notes[r % 6]) for r in range(90)] + [(large, None, None, "x"), (large + 1, 3, 9, None)]
+    deliver = feed(slots, {large + r: 1 for r in range(90)}, {5: 1}, parts=2, chunks=3)
+    kept = deliver([(1, START, large, 7, 5, "place"), (2, START, large + 2, 2, None, "remove_slot")])
+    want = [s for s in slots if s[:1] + s[2:3] != (large + 2, 2)] + [(large, 5, 7, "")]
+    assert rows(kept.slots(), *SLOT) == sorted(want, key=repr)
+    for name, rosters in (("start", 88), ("slots", 2)):
+        state = spark.read.format("statestore").option("path", kept._progress).option("stateVarName", name).load()
+        assert state.count() <= 6
+        packed = "from_json(user_map_value.held, 'struct<roster_id: array<bigint>>').roster_id"
+        live = "from_json(user_map_value.held, 'array<struct<roster_id: bigint>>').roster_id"
+        held = state.selectExpr(f"explode({packed if name == 'start' else live}) AS roster_id")
+        assert held.distinct().count() == rosters

@@ -25,7 +25,7 @@ from rosterlab.operators import (
     roster,
     sync,
 )
-from rosterlab.plans.durable import new_folder
+from rosterlab.plans.durable import freeze, new_folder
 from rosterlab.plans.numbering import highest, number_rows
 from rosterlab.session import tune
 from rosterlab.sources import provider, tables
@@ -539,11 +539,13 @@ def _live(t, with_figures=False):
     """The mixed log in four deliveries by time, the first of them twice, each a micro-batch."""
     target = new_folder(t.spark, "live-slots")
     inbox = f"{target}/inbox"
-    kept = live.LiveSlots(target, t.slot_clean, t.rosters, t.units, t.nations, t.categories)
+    # What several steps read is worked out once.
+    start, log = t.store("slot_clean"), t.store("mixed_changes")
+    rosters = freeze(t.rosters.select("roster_id", "nation_id"))
+    kept = live.LiveSlots(target, start, rosters, t.units, t.nations, t.categories)
     followed = figures.FigureLog(f"{target}/figures", t.units)
     if with_figures:
-        followed.start(t.slot_clean)
-    log = t.mixed_changes
+        followed.start(start)
     edges = t.spark.sql(
         "SELECT percentile_approx(change_ts, array(0.25, 0.5, 0.75)) AS at FROM {log}", log=log
     ).first()["at"]

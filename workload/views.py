@@ -11,6 +11,7 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rosterlab.plans.durable import freeze
 from rosterlab.session import sized_by_input
 
 # Declared types of the test tables, so that reading one starts no job to look at its files.
@@ -310,6 +311,11 @@ class Inputs:
         files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return files.getContentSummary(path).getLength() if files.exists(path) else 0
 
+    def store(self, name: str) -> DataFrame:
+        """A view that several others and steps need, worked out once: what is made from now on reads its rows."""
+        self._made[name] = freeze(getattr(self, name))
+        return self._made[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
